@@ -31,7 +31,7 @@ MARK = "▁"
 #: Segments of more characters are joined by a heap instead of in step with the others.
 LONG = 64
 #: Characters of new segments that are indexed at once, and segments whose ids a worker remembers.
-CHUNK, REMEMBERED = 250_000, 200_000
+CHUNK, REMEMBERED = 500_000, 400_000
 
 
 class Vocabulary:
@@ -74,48 +74,54 @@ class Matcher:
         self.known: dict[str, bytes] = {}
         longer = sorted(p for p in vocabulary.rank if len(p) > 1)
         self.piece_rank = np.array([vocabulary.rank[p] for p in longer], np.int64)
+        self.piece_id = np.array([vocabulary.id[p] for p in longer], np.int32)
         self.piece_len = np.array([len(p) for p in longer], np.int64)
         self.depth = -(-vocabulary.longest // 4) * 4
-        self.piece_points = np.zeros((len(longer), self.depth), np.uint32)
+        points = np.zeros((len(longer), self.depth), np.uint32)
         for i, p in enumerate(longer):
-            self.piece_points[i, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
+            points[i, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
+        self.points, piece_point = np.unique(points, return_inverse=True)
+        self.piece_point = piece_point.reshape(points.shape)
 
     def single(self, symbol: str) -> bytes:
         found = self.v.id.get(symbol)
         return (self.v.bytes[list(symbol.encode("utf-8", "surrogatepass"))] if found is None else np.array([found], np.int32)).tobytes()
 
     def edges(self, text: np.ndarray) -> np.ndarray:
-        """rank[position, length] of the piece that starts there, or a large number.
+        """piece[position, length] that starts there, as 1 + its number, or 0.
 
         ``text`` holds code points, with zeros between segments.
         """
-        n, none = len(text), np.int32(2**31 - 1)
+        n = len(text)
         alphabet = np.unique(text)
+        bits = 8 if len(alphabet) < 255 else 16
+        packed, top = 64 // bits, (1 << bits) - 1
         code = np.searchsorted(alphabet, text).astype(np.uint64) + np.uint64(1)
         padded = np.concatenate([code, np.zeros(self.depth, np.uint64)])
         keys = []
-        for k in range(0, self.depth, 4):
+        for k in range(0, self.depth, packed):
             key = np.zeros(n, np.uint64)
-            for j in range(4):
-                key = (key << np.uint64(16)) | padded[k + j : k + j + n]
+            for j in range(k, min(k + packed, self.depth)):
+                key = (key << np.uint64(bits)) | padded[j : j + n]
             keys.append(key)
         suffixes = np.lexsort(keys[::-1])
         keys = [k[suffixes] for k in keys]
-        points = self.piece_points
-        spot = np.minimum(np.searchsorted(alphabet, points), len(alphabet) - 1)
-        here = np.flatnonzero(((alphabet[spot] == points) | (points == 0)).all(1))
-        lengths = self.piece_len[here]
+        spot = np.minimum(np.searchsorted(alphabet, self.points), len(alphabet) - 1)
+        code_of = np.where(alphabet[spot] == self.points, spot + 1, 0).astype(np.uint64)
+        codes = code_of[self.piece_point]
+        lengths = self.piece_len
         inside = np.arange(self.depth)[None] < lengths[:, None]
-        code = spot[here].astype(np.uint64) + np.uint64(1)
+        here = np.flatnonzero(((codes > 0) | ~inside).all(1))
+        codes, lengths, inside = codes[here], lengths[here], inside[here]
 
         def bound(fill: int) -> np.ndarray:
             """For each piece, the first suffix above the piece padded with ``fill``."""
-            full = np.where(inside, code, np.uint64(fill))
+            full = np.where(inside, codes, np.uint64(fill))
             want = []
-            for k in range(0, self.depth, 4):
+            for k in range(0, self.depth, packed):
                 key = np.zeros(len(here), np.uint64)
-                for j in range(4):
-                    key = (key << np.uint64(16)) | full[:, k + j]
+                for j in range(k, min(k + packed, self.depth)):
+                    key = (key << np.uint64(bits)) | full[:, j]
                 want.append(key)
             lo, hi = np.zeros(len(here), np.int64), np.full(len(here), n, np.int64)
             while len(lo) and (lo < hi).any():
@@ -130,13 +136,13 @@ class Matcher:
                 lo = np.where(go, mid + 1, lo)
             return lo
 
-        begin, end = bound(0), bound(0xFFFF)
+        begin, end = bound(0), bound(top)
         total = end - begin
         which = np.repeat(np.arange(len(here)), total)
         at = suffixes[np.repeat(begin, total) + np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)]
-        order = np.argsort(at, kind="stable")  # edges by position
-        table_ = np.full((n + 1, self.v.longest + 1), none, np.int32)
-        table_[at[order], lengths[which[order]]] = self.piece_rank[here][which[order]]
+        # edges in order of position, then of length: each has a cell of its own
+        table_ = np.zeros(n * (self.v.longest + 1), np.int32)
+        table_[at * (self.v.longest + 1) + lengths[which]] = here[which] + 1
         return table_
 
     def join(self, segments: list[str]) -> list[bytes]:
@@ -144,36 +150,47 @@ class Matcher:
         text = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(s) for s in segments], np.int64)
         first = np.cumsum(sizes + 1) - sizes - 1
-        rank, none = self.edges(text), 2**31 - 1
+        edge, none, wide = self.edges(text), 2**31 - 1, self.v.longest
+        rank = np.append(none, self.piece_rank)
         segment = np.repeat(np.arange(len(segments)), sizes)
         start = np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[segment]
         end = start + 1
-        done_s, done_e, done_g = [], [], []
-        wide = self.v.longest
+        done_s, done_e = [], []
         while len(start):
             m = len(start)
             best = np.full(m, none, np.int64)
             span = end[1:] - start[:-1]
             ok = np.flatnonzero((segment[1:] == segment[:-1]) & (span <= wide))
-            best[ok] = rank[start[ok], span[ok]]
+            best[ok] = rank[edge[start[ok] * (wide + 1) + span[ok]]]
             head = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
             size = np.diff(np.append(head, m))
             pick = np.minimum.reduceat(best * m + np.arange(m), head)
             live = pick < none * m
             gone = np.repeat(~live, size)
             if gone.any():
-                done_s.append(start[gone]), done_e.append(end[gone]), done_g.append(segment[gone])
+                done_s.append(start[gone]), done_e.append(end[gone])
             pick = (pick % m)[live]
             end[pick] = end[pick + 1]
             gone[pick + 1] = True
             start, end, segment = start[~gone], end[~gone], segment[~gone]
-        s, e, g = np.concatenate(done_s), np.concatenate(done_e), np.concatenate(done_g)
-        order = np.argsort(s, kind="stable")
-        s, e, g = (s[order] - first[g[order]]).tolist(), (e[order] - first[g[order]]).tolist(), g[order].tolist()
-        out: list[list[bytes]] = [[] for _ in segments]
-        for a, b, i in zip(s, e, g, strict=True):
-            out[i].append(self.single(segments[i][a:b]))
-        return [b"".join(x) for x in out]
+        s, e = np.concatenate(done_s), np.concatenate(done_e)
+        order = np.argsort(s)
+        s, e = s[order], e[order]
+        ids, count = np.empty(len(s), np.int32), np.ones(len(s), np.int64)
+        multi = e - s > 1
+        ids[multi] = self.piece_id[edge[s[multi] * (wide + 1) + (e - s)[multi]] - 1]
+        points, back = np.unique(text[s[~multi]], return_inverse=True)
+        lone = [self.single(chr(c)) for c in points.tolist()]
+        ids[~multi] = np.array([np.frombuffer(x, np.int32)[0] for x in lone], np.int32)[back] if lone else 0
+        count[~multi] = np.array([len(x) // 4 for x in lone], np.int64)[back] if lone else 1
+        if (count > 1).any():  # characters that become several bytes
+            many = np.flatnonzero(count > 1)
+            tail = [np.frombuffer(self.single(chr(c)), np.int32)[1:] for c in text[s[many]].tolist()]
+            ids = np.insert(ids, np.repeat(many + 1, count[many] - 1), np.concatenate(tail))
+        edge_of = np.append(0, np.cumsum(count))
+        cut = (4 * edge_of[np.append(np.searchsorted(s, first), len(s))]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def join_long(self, segment: str) -> bytes:
         """The same for one long segment, with a heap of the edges that span two neighbours."""
@@ -223,11 +240,11 @@ class Matcher:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.pattern.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         new = set()
         for c in cut:
             new.update(c)
+        if len(self.known) > REMEMBERED:  # what this batch uses stays
+            self.known = {s: self.known[s] for s in new.intersection(self.known)}
         self.learn(new.difference(self.known))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
@@ -238,7 +255,7 @@ def decode(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def groups(texts: list[str | None], chars: int = 1 << 20):
+def groups(texts: list[str | None], chars: int = 3 << 19):
     """(first, end) of runs of texts of about so many characters."""
     lo = total = 0
     for i, t in enumerate(texts):
