@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from quarry.plans import retrieval_queries, table_queries, text_queries
+
+MODULES: tuple = (text_queries, retrieval_queries, table_queries)
 
 
 def queries() -> dict:
