@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import textkit as tk
 from quarry.llm.shared import table
@@ -222,7 +223,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     names = [c for c in docs.columns if c not in ("score", "predicted", "n_lines", "n_bad_lines")]
     docs = docs.select(*names)
     spot = names.index("text")
-    schema = docs.schema.add("score", "double").add("predicted", "int").add("n_lines", "bigint").add("n_bad_lines", "bigint")
+    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_lines", T.LongType()), T.StructField("n_bad_lines", T.LongType())])
 
     def run(batches):
         for batch in batches:
