@@ -167,8 +167,9 @@ def train(texts: list[str | None], quality: list[int], fit: Fit = Fit()) -> Mode
         share = np.clip(y_doc.mean() if len(y_doc) else 0.5, 1e-3, 1 - 1e-3)
         return Model(np.zeros(3 * N_OWN), np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
     short = ["\n".join((t or "").split("\n")[: fit.max_lines]) for t in texts]
-    data, at = tk.buffers(pa.array(short, pa.string()))
-    x, weight, first = line_features(data, at)
+    parts = [line_features(data, at) for _, _, data, at in tk.blocks(pa.array(short, pa.string()))]
+    x, weight = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    first = np.append(0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))
     y = np.repeat(y_doc, np.diff(first))
     n = len(y)
     observed = np.zeros((2, 2))
