@@ -8,11 +8,14 @@ document according to its count alone. A slot keeps its earliest point; two sign
 with a probability that equals the weighted Jaccard similarity. All shingles of a block advance one
 point at a time until no later point can be the earliest of any slot.
 
-Whole-text copies are folded first. Signatures are cut into bands; each bucket links its members to
-its smallest one, links are verified against the shingle multisets themselves, and components are
-built. Buckets that still hold members of several components then compare across components, one
-member at a time against each other component's members, until nothing changes: no link that a bucket
-offers between different components is skipped, and members of one component are not paired again.
+Whole-text copies are folded first. Signatures are cut into bands. Shingles that no other candidate has
+cannot overlap, so they bound every similarity from above: documents with too many are set aside, and
+the member with the least share of them is its bucket's centre. Centres are verified against their
+members by the shingle multisets themselves, and components are built. Buckets that still hold several
+components compare their members with their most central ones, and then, where the bound allows a link,
+all members of different components that share a shingle which few candidates have, or whose other
+shingles alone could reach the threshold, until nothing changes:
+no possible link between components is skipped, and members of one component are not paired again.
 
 Defined results: null texts equal empty texts; texts without words are a class by whole text; texts of
 one to four words are one shingle; rows repeated with the same doc_id are one document; rows without a
@@ -26,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm import textkit as tk
@@ -42,6 +46,8 @@ class Params:
     bands: int = 24
     slots: int = 4
     seed: int = 7
+    centres: int = 4
+    few: int = 8
 
     @property
     def size(self) -> int:
@@ -159,7 +165,6 @@ def _verified(pairs: DataFrame, items: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose multisets overlap by the threshold or more."""
     left = items.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = items.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    # a pair whose sizes alone rule it out never fetches its second multiset
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def run(batches):
@@ -171,8 +176,6 @@ def _verified(pairs: DataFrame, items: DataFrame, p: Params) -> DataFrame:
             yo = np.concatenate([[0], np.cumsum(y.value_lengths().to_numpy(zero_copy_only=False))])
             for i in range(len(batch)):
                 u, v = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
-                if min(len(u), len(v)) < p.threshold * max(len(u), len(v)):
-                    continue
                 at = np.searchsorted(u, v)
                 same = int((u[np.minimum(at, len(u) - 1)] == v).sum()) if len(u) else 0
                 keep[i] = same >= p.threshold * (len(u) + len(v) - same) - 1e-9
@@ -181,6 +184,15 @@ def _verified(pairs: DataFrame, items: DataFrame, p: Params) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def _possible(p: Params) -> F.Column:
+    """Whether documents of (na, ua) and (nb, ub) shingles and shingles of their own can reach the threshold.
+
+    What no other candidate has cannot overlap, which bounds the similarity from above.
+    """
+    most = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
+    return most >= F.lit(p.threshold) * (F.col("na") + F.col("nb") - most) - 1e-9
+
+
 def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, class_id, rep_id, is_class_rep, n_class): class_id is the smallest doc_id of the class.
 
@@ -194,32 +206,66 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     member = stash.keep(ids.join(folded, "digest").select("doc_id", "rep_id"), "member")
     bands = stash.keep(_banded(rows, p), "bands")
     # copies of a text have the same bands: only representatives go on
-    band = bands.join(member.filter("doc_id = rep_id"), "doc_id").select("doc_id", F.explode("bands").alias("band"))
-    center = band.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("top")).filter("a < top")
-    bucket = stash.keep(band.join(center, "band").select("band", "doc_id", "a"), "bucket")
+    band = bands.join(member.filter("doc_id = rep_id"), "doc_id").select("doc_id", F.explode("bands").alias("band")).distinct()
+    crowd = band.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("band")
+    bucket = stash.keep(band.join(crowd, "band"), "bucket")
     stash.drop("bands")
     needed = bucket.select("doc_id").distinct()
     items = stash.keep(_multisets(rows.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), p), "items")
-    pairs = bucket.filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    links = stash.keep(_verified(pairs, items, p), "links-star")
+    # u: shingles that one candidate alone has; v: those that few have
+    each = items.select("doc_id", F.explode("items").alias("item"))
+    few = each.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") <= p.few)
+    scarce = each.join(few, "item").groupBy("doc_id").agg(F.count_if(F.col("holders") == 1).alias("u"), F.count(F.lit(1)).alias("v"))
+    traits = items.select("doc_id", F.size("items").cast("bigint").alias("n")).join(scarce, "doc_id", "left")
+    traits = traits.select("doc_id", "n", F.coalesce("u", F.lit(0)).alias("u"), F.coalesce("v", F.lit(0)).alias("v"))
+    # a document with too many of its own is like no other
+    traits = traits.filter(F.col("n") - F.col("u") >= F.lit(p.threshold) * F.col("n") - 1e-9)
+    bucket = stash.keep(bucket.join(traits, "doc_id"), "able")
+    # the member with the least of its own is the centre of its bucket
+    centre = bucket.groupBy("band").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"))).alias("c")).select("band", "c.a", "c.na", "c.ua")
+    pairs = bucket.select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub")).join(centre, "band").filter(F.col("a") != F.col("b")).filter(_possible(p))
+    pairs = stash.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = stash.keep(_verified(pairs, items, p), "links-0")
     seen, turn = pairs, 0
-    root = components(links, stash, "star")
+    root = components(links, stash, "turn-0")
     while True:
         turn += 1
-        tagged = bucket.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        tagged = bucket.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", "u", "v", F.coalesce("root", "doc_id").alias("root"))
         mixed = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
         open_ = stash.keep(tagged.join(mixed, "band"), f"open-{turn}")
-        # each component of a mixed bucket against the members of the others
-        one, two = open_.select("band", F.col("doc_id").alias("a"), F.col("root").alias("ra")), open_.select("band", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-        fresh = one.join(two, "band").filter("ra <> rb AND a < b").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
-        fresh = stash.keep(fresh, f"fresh-{turn}")
+        # what may still link different components of a bucket: first with its most central members only,
+        # then every two that share a shingle that few have, or that can do without any such shingle
+        bound = "u" if turn == 1 else "v"
+        one = open_.select("band", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col(bound).alias("ua"))
+        two = open_.select("band", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col(bound).alias("ub"))
+        apart = (F.col("ra") != F.col("rb")) & _possible(p)
+        if turn == 1:
+            order = W.partitionBy("band").orderBy(F.col("ua") / F.col("na"), "a")
+            one = one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= p.centres).drop("place")
+        else:  # each pair in the least of the buckets that it shares; a document has one bucket in each band
+            of = open_.groupBy("doc_id").agg(F.collect_list("band").alias("bands"))
+            one = one.join(of.select(F.col("doc_id").alias("a"), F.col("bands").alias("bands_a")), "a")
+            two = two.join(of.select(F.col("doc_id").alias("b"), F.col("bands").alias("bands_b")), "b")
+            apart = apart & (F.col("a") < F.col("b")) & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band"))
+        fresh = one.withColumnRenamed("band", "band_a").join(two, (F.col("band_a") == F.col("band")) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if turn > 1:
+            held = each.join(open_.select("doc_id", "root").distinct(), "doc_id")
+            split = held.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter((F.col("holders") <= p.few) & (F.col("lo") < F.col("hi"))).select("item")
+            held = stash.keep(held.join(split, "item"), f"held-{turn}")
+            x, y = held.select("item", F.col("doc_id").alias("a"), F.col("root").alias("ra")), held.select("item", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
+            fresh = fresh.unionByName(x.join(y, "item").filter("ra <> rb AND a < b").select("a", "b"))
+        fresh = stash.keep(fresh.distinct().join(seen, ["a", "b"], "left_anti"), f"fresh-{turn}")
         if not fresh.limit(1).count():
+            if turn == 1:
+                continue
             break
         found = stash.keep(_verified(fresh, items, p), f"links-{turn}")
-        if not found.limit(1).count():
+        seen = seen.unionByName(fresh)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            root = components(links, stash, f"turn-{turn}")
+        elif turn > 1:
             break
-        seen, links = seen.unionByName(fresh), links.unionByName(found)
-        root = components(links, stash, f"turn-{turn}")
     classes = member.join(root.select(F.col("node").alias("rep_id"), "root"), "rep_id", "left").select("doc_id", "rep_id", F.coalesce("root", "rep_id").alias("class_id"))
     size = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_class"))
     return classes.join(size, "class_id").select("doc_id", "class_id", "rep_id", (F.col("doc_id") == F.col("class_id")).alias("is_class_rep"), "n_class")
