@@ -110,7 +110,7 @@ def probabilities(cells: DataFrame, mix: Mix) -> DataFrame:
 def mixed(docs: DataFrame, mix: Mix = Mix(), topic: Column | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, sampled) of every row."""
     stash = Stash(docs.sparkSession, "mixing")
-    rows = weighted(docs, topic)
+    rows = stash.keep(weighted(docs, topic), "rows")  # no texts: the expressions run over them once
     cells = stash.keep(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     chance = stash.keep(probabilities(calibrate(cells, mix, stash), mix), "chance")
     out = rows.join(chance, list(DIMENSIONS))
