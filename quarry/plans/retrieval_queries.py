@@ -44,12 +44,12 @@ add("w06_first_position", lambda spark, d: docs_of(spark, d).select("doc_id", F.
 
 VEC = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 DOT = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))"
-PAIR = f"v AS (SELECT vec_id, label, {VEC} AS v FROM embeddings), sim AS (SELECT b.vec_id AS query_id, a.vec_id, a.label, round(greatest({DOT} / sqrt(list_sum(list_transform(a.v, lambda x: x * x))) / sqrt(list_sum(list_transform(b.v, lambda x: x * x))), 0.0), 6) AS similarity FROM v a, v b WHERE b.vec_id < 20)"
+PAIR = f"v AS (SELECT vec_id, label, {VEC} AS v FROM embeddings), sim AS (SELECT b.vec_id AS query_id, a.vec_id, a.label, round(greatest({DOT} / sqrt(list_sum(list_transform(a.v, lambda x: x * x))) / sqrt(list_sum(list_transform(b.v, lambda x: x * x))), 0.0), 6) AS similarity FROM v a, v b WHERE b.vec_id % 100 = 0)"
 
 
 def sims(spark, d):
     emb = table(spark, d, "embeddings")
-    return vectors.similarities(emb, emb.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return vectors.similarities(emb, emb.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
 TOPV = "SELECT query_id, vec_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sim {}) WHERE rank <= 10"
@@ -57,20 +57,20 @@ add("m01_l2_normalize", lambda spark, d: table(spark, d, "embeddings").select("v
 add("m02_cosine", lambda spark, d: sims(spark, d).select("query_id", "vec_id", "similarity"), f"WITH {PAIR} SELECT query_id, vec_id, similarity FROM sim")
 add("t01_vector_top_k", lambda spark, d: bm25.best(sims(spark, d), 10, "similarity", "vec_id").select("query_id", "vec_id", "similarity", "rank"), f"WITH {PAIR} {TOPV.replace('{}', '')}")
 add("r04_vector_query_filtered", lambda spark, d: bm25.best(sims(spark, d).filter(F.col("label").cast("string").isin("3", "7")), 10, "similarity", "vec_id").select("query_id", "vec_id", "similarity", "rank"), f"WITH {PAIR} {TOPV.replace('{}', 'WHERE label IN (3, 7)')}")
-add("a20_reciprocal_rank_fusion", lambda spark, d: fusion.reciprocal_ranks(bm25.best(sims(spark, d), 20, "similarity", "vec_id").select((F.col("query_id") % 4).alias("query_id"), F.col("vec_id").alias("item"), "rank")), f"WITH {PAIR}, r AS (SELECT query_id % 4 AS query_id, vec_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sim) SELECT query_id, item, round(sum(1 / (60 + rank)), 6) AS rrf FROM r WHERE rank <= 20 GROUP BY ALL")
+add("a20_reciprocal_rank_fusion", lambda spark, d: fusion.reciprocal_ranks(bm25.best(sims(spark, d), 20, "similarity", "vec_id").select((F.col("query_id") % 400).alias("query_id"), F.col("vec_id").alias("item"), "rank")), f"WITH {PAIR}, r AS (SELECT query_id % 400 AS query_id, vec_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sim) SELECT query_id, item, round(sum(1 / (60 + rank)), 6) AS rrf FROM r WHERE rank <= 20 GROUP BY ALL")
 
 
 def hybrid(spark, d, k=8, pool=24):
-    """Dense and sparse candidates of the same ids; queries 0..19 are both vectors and benchmark texts."""
+    """Dense and sparse candidates of the same ids; the queries are all benchmark texts, and every hundredth vector."""
     dense = bm25.best(sims(spark, d), pool, "similarity", "vec_id").select("query_id", F.lit(0).alias("variant"), F.col("vec_id").alias("item"), F.col("similarity").alias("score"))
-    sparse = bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d).filter("query_id < 20")), pool).select("query_id", F.lit(0).alias("variant"), F.col("doc_id").alias("item"), "score")
+    sparse = bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d)), pool).select("query_id", F.lit(0).alias("variant"), F.col("doc_id").alias("item"), "score")
     return bm25.best(fusion.fuse(dense, sparse), k, "score", "item")
 
 
 NORM = "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
 FUSED = (
     SCORE
-    + f", {PAIR}, dl AS (SELECT query_id, vec_id AS item, similarity AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM sim) WHERE r <= 24), sl AS (SELECT query_id, doc_id AS item, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc WHERE query_id < 20) WHERE r <= 24), dn AS (SELECT query_id, item, {NORM} AS x FROM dl WINDOW w AS (PARTITION BY query_id)), sn AS (SELECT query_id, item, {NORM} AS x FROM sl WINDOW w AS (PARTITION BY query_id)), fu AS (SELECT query_id, item, round(coalesce(dn.x, 0), 6) AS dense, round(coalesce(sn.x, 0), 6) AS sparse, round(0.7 * coalesce(dn.x, 0) + 0.3 * coalesce(sn.x, 0), 6) AS score FROM dn FULL JOIN sn USING (query_id, item)), top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS INT) AS rank FROM fu) WHERE rank <= 8)"
+    + f", {PAIR}, dl AS (SELECT query_id, vec_id AS item, similarity AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM sim) WHERE r <= 24), sl AS (SELECT query_id, doc_id AS item, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 24), dn AS (SELECT query_id, item, {NORM} AS x FROM dl WINDOW w AS (PARTITION BY query_id)), sn AS (SELECT query_id, item, {NORM} AS x FROM sl WINDOW w AS (PARTITION BY query_id)), fu AS (SELECT query_id, item, round(coalesce(dn.x, 0), 6) AS dense, round(coalesce(sn.x, 0), 6) AS sparse, round(0.7 * coalesce(dn.x, 0) + 0.3 * coalesce(sn.x, 0), 6) AS score FROM dn FULL JOIN sn USING (query_id, item)), top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS INT) AS rank FROM fu) WHERE rank <= 8)"
 )
 add("r06_hybrid_retrieve", hybrid, FUSED + " SELECT * FROM top")
 add("j01_hydrate_ranked", lambda spark, d: hybrid(spark, d).join(docs_of(spark, d), F.col("item") == F.col("doc_id")).select("query_id", "rank", "doc_id", "source", F.length("text").alias("n")), FUSED + " SELECT query_id, rank, doc_id, source, CAST(length(text) AS INT) AS n FROM top JOIN documents ON item = doc_id")
@@ -78,7 +78,7 @@ add("j01_hydrate_ranked", lambda spark, d: hybrid(spark, d).join(docs_of(spark,
 
 def reranked(spark, d):
     """Local reranking of the sparse candidates: coverage, rare words, proximity, score and position."""
-    pool = bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d).filter("query_id < 20")), 8)
+    pool = bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d)), 8)
     pool = pool.join(docs_of(spark, d), "doc_id").join(asked(spark, d).withColumnRenamed("text", "query"), "query_id")
     pool = pool.withColumn("qt", F.filter(tx.tokens(F.col("query")), lambda t: F.length(t) > 1)).withColumn("t", tx.tokens(F.col("text")))
     q, t = F.array_distinct("qt"), F.array_distinct("t")
@@ -97,14 +97,14 @@ def reranked(spark, d):
     return out.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank"), "doc_id")))
 
 
-add("r07_local_rerank", reranked, SCORE + f""", pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE query_id < 20) WHERE rank <= 8),
+add("r07_local_rerank", reranked, SCORE + f""", pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 8),
   x AS (SELECT query_id, doc_id, score, rank, count(*) OVER (PARTITION BY query_id) AS n, d.text, {TOKEN_SQL.format('b.text')} AS qa, list_filter({TOKEN_SQL.format('b.text')}, lambda z: length(z) > 1) AS qt, {TOKEN_SQL.format('d.text')} AS t FROM pool JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
   y AS (SELECT *, list_distinct(qt) AS q, list_filter(list_distinct(qt), lambda z: length(z) > 4) AS rare, list_filter(list_transform(range(len(t)), lambda i: CASE WHEN list_contains(qt, t[i + 1]) THEN i END), lambda i: i IS NOT NULL) AS spots, left(array_to_string(list_filter(qa, lambda z: regexp_matches(z, '^\\p{{L}}+$')), ' '), 60) AS phrase FROM x),
   z AS (SELECT *, CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END AS cov FROM y),
   s AS (SELECT query_id, doc_id, text, phrase, 0.34 * cov + 0.18 * CASE WHEN len(rare) > 0 THEN len(list_intersect(rare, t)) / len(rare) ELSE cov END + 0.16 * CASE WHEN len(qt) < 2 THEN CASE WHEN len(qt) = 1 AND len(spots) > 0 THEN 1 ELSE 0 END WHEN len(spots) < 2 THEN 0 ELSE least(1.0, len(qt) / (list_max(spots) - list_min(spots) + 1)) END + 0.10 * least(score, 1.0) + 0.10 * (1 - (rank - 1) / n) AS sc2 FROM z),
   r AS (SELECT query_id, doc_id, round(CASE WHEN phrase <> '' AND contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), phrase) THEN least(1.0, sc2 + 0.12) ELSE sc2 END, 6) AS rerank FROM s)
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, doc_id) AS INT) AS place FROM r""")
-add("f15_local_relevance", lambda spark, d: asked(spark, d).filter("query_id < 5").join(docs_of(spark, d).withColumnRenamed("text", "body")).select("query_id", "doc_id", F.round(F.size(F.array_intersect(F.array_distinct(tx.tokens(F.col("text"))), tx.tokens(F.col("body")))) / F.size(F.array_distinct(tx.tokens(F.col("text")))), 6).alias("relevance")), f"SELECT item_id AS query_id, doc_id, round(len(list_intersect(q, t)) / len(q), 6) AS relevance FROM (SELECT item_id, list_distinct({TOKEN_SQL.format('text')}) AS q FROM benchmark WHERE item_id < 5), (SELECT doc_id, list_distinct({TOKEN_SQL.format('text')}) AS t FROM documents)")
+add("f15_local_relevance", lambda spark, d: asked(spark, d).filter("query_id % 100 = 0").join(docs_of(spark, d).withColumnRenamed("text", "body")).select("query_id", "doc_id", F.round(F.size(F.array_intersect(F.array_distinct(tx.tokens(F.col("text"))), tx.tokens(F.col("body")))) / F.size(F.array_distinct(tx.tokens(F.col("text")))), 6).alias("relevance")), f"SELECT item_id AS query_id, doc_id, round(len(list_intersect(q, t)) / len(q), 6) AS relevance FROM (SELECT item_id, list_distinct({TOKEN_SQL.format('text')}) AS q FROM benchmark WHERE item_id % 100 = 0), (SELECT doc_id, list_distinct({TOKEN_SQL.format('text')}) AS t FROM documents)")
 add("u05_missing_terms", lambda spark, d: docs_of(spark, d).select("doc_id", F.size(F.array_except(tx.words_and_numbers(F.col("text")), F.array(*map(F.lit, ("the", "of", "and"))))).alias("n")), "SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(text), '[A-Za-z][A-Za-z''\\-]*|\\d+(?:\\.\\d+)?', 0)), lambda w: w NOT IN ('the', 'of', 'and'))) AS INT) AS n FROM documents")
 add("w04_context_budget", lambda spark, d: _budget(spark, d), """WITH b AS (SELECT source, doc_id, n_chars + 20 AS size FROM documents), c AS (SELECT *, coalesce(sum(size + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b), o AS (SELECT *, before + size > 12000 AS over FROM c), p AS (SELECT *, coalesce(max(CAST(over AS INT)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM o)
   SELECT source, doc_id, CAST(CASE WHEN over THEN 12000 - before ELSE size END AS BIGINT) AS used, over AS truncated FROM p WHERE past = 0 AND (NOT over OR 12000 - before > 400)""")

@@ -39,7 +39,7 @@ add("k15_render_conversation", lambda s, d: T(s, d, "conversations").groupBy("co
 add("j05_left_outer_responses", lambda s, d: T(s, d, "conversations").filter("role = 'user'").alias("q").join(T(s, d, "conversations").filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply")), ["conv_id", "turn"], "left").select("conv_id", "turn", F.length(F.coalesce("reply", F.lit(""))).alias("n")), "SELECT q.conv_id, q.turn, CAST(length(coalesce(a.text, '')) AS INT) AS n FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'")
 add("j06_left_semi", lambda s, d: T(s, d, "orders").join(T(s, d, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
 add("j07_left_anti", lambda s, d: T(s, d, "documents").join(T(s, d, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-add("j08_positional_zip", lambda s, d: T(s, d, "embeddings").filter("vec_id < 50").select("vec_id", F.posexplode(F.arrays_zip(F.slice("embedding", 1, 4).alias("a"), F.slice("embedding", 5, 4).alias("b"))).alias("i", "x")).select("vec_id", "i", F.round(F.col("x.a").cast("double") + F.col("x.b").cast("double"), 6).alias("y")), "SELECT vec_id, CAST(i - 1 AS INT) AS i, round(CAST(embedding[i] AS DOUBLE) + CAST(embedding[i + 4] AS DOUBLE), 6) AS y FROM embeddings, range(1, 5) t(i) WHERE vec_id < 50")
+add("j08_positional_zip", lambda s, d: T(s, d, "embeddings").select("vec_id", F.posexplode(F.arrays_zip(F.slice("embedding", 1, 4).alias("a"), F.slice("embedding", 5, 4).alias("b"))).alias("i", "x")).select("vec_id", "i", F.round(F.col("x.a").cast("double") + F.col("x.b").cast("double"), 6).alias("y")), "SELECT vec_id, CAST(i - 1 AS INT) AS i, round(CAST(embedding[i] AS DOUBLE) + CAST(embedding[i + 4] AS DOUBLE), 6) AS y FROM embeddings, range(1, 5) t(i)")
 add("j09_parent_child", lambda s, d: T(s, d, "orders").join(T(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("items"), F.max("l_linenumber").alias("last")), "SELECT o_orderkey, count(*) AS items, max(l_linenumber) AS last FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
 add("j11_revision_due", lambda s, d: _due(s, d), "WITH f AS (SELECT user_id, event_type, CAST(min(ts) AS DATE) AS day FROM events GROUP BY ALL) SELECT user_id, event_type, strftime(day + CAST(k AS INT), '%Y-%m-%d') AS due FROM f, (SELECT unnest([1, 3, 7, 14]) AS k)")
 
