@@ -84,13 +84,13 @@ def calibrate(cells: DataFrame, mix: Mix, stash: Stash) -> DataFrame:
         margin = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("tokens"))
         targets[name] = stash.keep(_target(margin, name, mix), f"target-{name}")
     at = stash.keep(cells.join(F.broadcast(whole)).select(*DIMENSIONS, "tokens", (F.col("tokens") / F.col("whole")).alias("fitted")), "cells-0")
-    for turn in range(1, mix.rounds + 1):
-        for name in DIMENSIONS:
-            # each task first sums its own cells, so a margin that holds most of them stays small
-            scale = at.groupBy(name).agg(F.sum("fitted").alias("have")).join(targets[name], name).select(name, (F.col("want") / F.col("have")).alias("scale"))
-            at = at.join(scale, name).select(*DIMENSIONS, "tokens", (F.col("fitted") * F.col("scale")).alias("fitted"))
-        at = stash.keep(at, f"cells-{turn}")
-        stash.drop(f"cells-{turn - 1}")
+    # each step is written: a step reads its cells twice, so plans of several steps would double with each
+    for step in range(1, mix.rounds * len(DIMENSIONS) + 1):
+        name = DIMENSIONS[(step - 1) % len(DIMENSIONS)]
+        # each task first sums its own cells, so a margin that holds most of them stays small
+        scale = at.groupBy(name).agg(F.sum("fitted").alias("have")).join(targets[name], name).select(name, (F.col("want") / F.col("have")).alias("scale"))
+        at = stash.keep(at.join(scale, name).select(*DIMENSIONS, "tokens", (F.col("fitted") * F.col("scale")).alias("fitted")), f"cells-{step}")
+        stash.drop(f"cells-{step - 1}")
     return at
 
 
