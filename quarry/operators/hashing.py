@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 
 WORD = re.compile(tx.WORD_OR_NUMBER)
+STOP = frozenset(tx.CONTENT_STOPWORDS)
 #: Width, gram sizes and weights.
 WIDTH, GRAMS, GRAM_WEIGHT, KEY_BOOST, STEM_WEIGHT, KEY_TERMS = 384, (3, 4, 5), 0.35, 1.6, 0.4, 8
 
@@ -30,12 +31,14 @@ def _places(word: str, width: int) -> tuple[int, int, np.ndarray]:
     return bucket(word, width), bucket(f"{word}~stem", width), np.array([bucket(g, width) for g in grams])
 
 
-def vector(text: str, keys: list[str], width: int = WIDTH) -> np.ndarray:
-    """Unit length, or zeros for a text without words."""
+def vector(text: str, width: int = WIDTH) -> np.ndarray:
+    """Of a lower-case text; unit length, or zeros for a text without words. Its most frequent content words count for more."""
     counts: dict[str, int] = {}
     for word in WORD.findall(text):
         counts[word] = counts.get(word, 0) + 1
-    out, boosted = np.zeros(width), set(keys)
+    content = [w for w in counts if len(w) >= 2 and "a" <= w[0] <= "z" and w not in STOP]
+    boosted = set(sorted(content, key=lambda w: -counts[w])[:KEY_TERMS])  # ties: in the order of the text
+    out = np.zeros(width)
     for word, n in counts.items():
         own, stem, grams = _places(word, width)
         weight = (1.0 + np.log(n)) * (KEY_BOOST if word in boosted else 1.0)
@@ -49,12 +52,12 @@ def vector(text: str, keys: list[str], width: int = WIDTH) -> np.ndarray:
 def embed(docs: DataFrame, key: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """(key, embedding) of every row of (key, text), in Arrow batches: the digest is no function of Spark's. Null texts get zeros."""
     lower = F.lower(F.coalesce("text", F.lit("")))
-    rows = docs.select(key, lower.alias("text"), tx.key_terms(lower, KEY_TERMS).alias("keys"))
+    rows = docs.select(key, lower.alias("text"))
 
     def run(batches):
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            flat = np.concatenate([vector(t, k, width) for t, k in zip(texts, keys, strict=True)]) if texts else np.zeros(0, np.float32)
+            texts = batch.column(1).to_pylist()
+            flat = np.concatenate([vector(t, width) for t in texts]) if texts else np.zeros(0, np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "embedding"])
 
