@@ -9,6 +9,11 @@ Topics are registers that the text shows: tables, licences, markup, dialogue or
 any expression over the input instead. A target margin gives the shares wanted; values without one get
 their share to the power ``flatten``.
 
+The query cuts the chance of a cell at 1, as its SQL does, so its sample has less of such cells than was
+fitted. The pipeline's stage rakes under that bound: cells at 1 stay there, the others take what is
+missing, until the sample expected has the margins wanted. Where ``keep`` asks more of a value than
+there is, the sample is smaller, and a warning says so.
+
 Defined results: null and empty texts weigh one token; null sources, languages and topics are a value
 of their own; a null doc_id is drawn as the text "null"; an empty table gives an empty result; rows
 repeated with one doc_id share its draw; extra columns are ignored (stage: kept).
@@ -16,6 +21,7 @@ repeated with one doc_id share its draw; extra columns are ignored (stage: kept)
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -76,13 +82,15 @@ def _target(margin: DataFrame, name: str, mix: Mix) -> DataFrame:
     return raw.join(F.broadcast(total)).select(name, (F.col("raw") / F.col("whole")).alias("want"))
 
 
+def _targets(cells: DataFrame, mix: Mix, stash: Stash) -> dict[str, DataFrame]:
+    margins = {name: cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("tokens")) for name in DIMENSIONS}
+    return {name: stash.keep(_target(margin, name, mix), f"target-{name}") for name, margin in margins.items()}
+
+
 def calibrate(cells: DataFrame, mix: Mix, stash: Stash) -> DataFrame:
     """Cells (source, lang, topic, tokens) with ``fitted``: token weights raked to the margins."""
     whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))  # one row
-    targets = {}
-    for name in DIMENSIONS:
-        margin = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("tokens"))
-        targets[name] = stash.keep(_target(margin, name, mix), f"target-{name}")
+    targets = _targets(cells, mix, stash)
     at = stash.keep(cells.join(F.broadcast(whole)).select(*DIMENSIONS, "tokens", (F.col("tokens") / F.col("whole")).alias("fitted")), "cells-0")
     # each step is written: a step reads its cells twice, so plans of several steps would double with each
     for step in range(1, mix.rounds * len(DIMENSIONS) + 1):
@@ -107,6 +115,49 @@ def probabilities(cells: DataFrame, mix: Mix) -> DataFrame:
     return cells.join(F.broadcast(whole)).select(*DIMENSIONS, chance.alias("probability"))
 
 
+def _margin(at: DataFrame, name: str, target: DataFrame) -> DataFrame:
+    """(value, want, fixed, free): shares of all tokens expected from cells at 1 and from the others."""
+    full = F.col("factor") >= 1
+    sums = at.groupBy(name).agg(F.sum(F.when(full, F.col("share")).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("share") * F.col("factor"))).alias("free"))
+    return sums.join(target, name)
+
+
+def bounded(cells: DataFrame, mix: Mix, stash: Stash, near: float = 1e-3, patience: int = 15, most: int = 60) -> DataFrame:
+    """Cells with the chance of a document, such that the sample expected has the margins wanted.
+
+    A chance is least(1, product of a factor for each margin). The sample has ``keep`` of all tokens, or
+    what the scarcest value allows. Rounds go on until each margin is met within ``near``; after each
+    ``patience`` rounds without that, as values that are scarce together can cause, the sample is made a
+    fifth smaller. Targets that ``most`` rounds do not meet are warned of.
+    """
+    whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))  # one row
+    targets = _targets(cells, mix, stash)
+    at = cells.join(F.broadcast(whole)).select(*DIMENSIONS, (F.col("tokens") / F.col("whole")).alias("share"), F.lit(1.0).alias("factor"))
+    there = [_margin(at, name, targets[name]).filter("want > 0").select((F.col("fixed") / F.col("want")).alias("room")) for name in DIMENSIONS]
+    room = there[0].unionByName(there[1]).unionByName(there[2]).agg(F.min("room")).head()[0]
+    keep = mix.keep if room is None else min(mix.keep, room)
+    at = stash.keep(at.withColumn("factor", F.lit(keep)), "bounded-0")
+    for turn in range(most + 1):
+        misses = [_margin(at, name, targets[name]).select(F.abs(F.col("fixed") + F.col("free") - keep * F.col("want")).alias("miss"), (keep * F.col("want")).alias("goal")) for name in DIMENSIONS]
+        miss = misses[0].unionByName(misses[1]).unionByName(misses[2]).agg(F.max(F.col("miss") / F.greatest("goal", F.lit(1e-12)))).head()[0] or 0.0
+        if miss <= near or turn == most:
+            break
+        if turn and turn % patience == 0:
+            keep *= 0.8
+        relax = 1.3 if turn < patience else 1.0  # longer steps need half the rounds, but need not settle
+        for place, name in enumerate(DIMENSIONS, turn * len(DIMENSIONS) + 1):
+            goal, have = keep * F.col("want"), F.col("fixed") + F.col("free")
+            scale = F.when((F.col("free") > 0) & (goal > F.col("fixed")), F.try_divide(goal - F.col("fixed"), F.col("free"))).otherwise(F.coalesce(F.try_divide(goal, have), F.lit(1.0)))
+            steps = _margin(at, name, targets[name]).select(name, F.pow(scale, F.lit(relax)).alias("scale"))
+            at = stash.keep(at.join(steps, name).select(*DIMENSIONS, "share", (F.col("factor") * F.col("scale")).alias("factor")), f"bounded-{place}")
+            stash.drop(f"bounded-{place - 1}")
+    if miss > near:
+        warnings.warn(f"the targets cannot be met: a margin of the sample is off by {miss:.3g} of its target", stacklevel=2)
+    elif keep < mix.keep:
+        warnings.warn(f"the targets leave {keep:.3g} of the tokens, not {mix.keep:.3g}: of some values there is no more", stacklevel=2)
+    return at.select(*DIMENSIONS, F.least(F.lit(1.0), "factor").alias("probability"))
+
+
 def mixed(docs: DataFrame, mix: Mix = Mix(), topic: Column | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, sampled) of every row."""
     stash = Stash(docs.sparkSession, "mixing")
@@ -128,7 +179,7 @@ def draw(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = weighted(docs)
     cells = stash.keep(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    chance = stash.keep(probabilities(calibrate(cells, mix, stash), mix), "chance").select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], F.col("probability").alias("_p"))
+    chance = bounded(cells, mix, stash).select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], F.col("probability").alias("_p"))
     key = {"source": F.coalesce(F.col("source").cast("string"), F.lit("(null)")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("(null)")), "topic": topic_of(text)}
     on = [key[c] == F.col(f"_{c}") for c in DIMENSIONS]
     return docs.join(chance, on).filter(uniform(F.col("doc_id"), mix.seed) < F.col("_p")).select(*docs.columns)

@@ -218,6 +218,44 @@ def test_op7_margins_and_targets(spark, docs):
     assert abs(sum(r.fitted for r in fitted if r.lang == "en") - 0.25) < 0.01
 
 
+def expected_margins(spark, docs, mix):
+    """Largest relative miss of the expected sample's margins, and its share of the tokens, by (cells, chances) of the stage."""
+    cells = op07_mixing.weighted(docs).groupBy(*op07_mixing.DIMENSIONS).agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "tokens").cache()
+    stash = Stash(spark, "t7")
+    chance = op07_mixing.bounded(cells, mix, stash)
+    rows = cells.join(chance, list(op07_mixing.DIMENSIONS)).collect()
+    assert len(rows) == cells.count() and all(0 <= r.probability <= 1 for r in rows)
+    sample = sum(r.tokens * r.probability for r in rows)
+    worst = 0.0
+    for name in op07_mixing.DIMENSIONS:
+        has, got = collections.Counter(), collections.Counter()
+        for r in rows:
+            has[r[name]] += r.tokens
+            got[r[name]] += r.tokens * r.probability
+        named = mix.targets.get(name, {})
+        raw = {v: n**mix.flatten for v, n in has.items() if v not in named}
+        want = {v: x / sum(raw.values()) * (1 - sum(named.values())) for v, x in raw.items()} | dict(named)
+        worst = max([worst, *(abs(got[v] / sample - w) / w for v, w in want.items())])
+    return worst, sample / sum(r.tokens for r in rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_op7_expected_sample_has_the_margins(spark, sf):
+    frame = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    with pytest.warns(UserWarning, match="leave"):
+        worst, share = expected_margins(spark, frame, op07_mixing.Mix())
+    assert worst < 3e-3
+    assert 0.15 < share < 0.5 if sf == "sf0.1" else share > 0
+    worst, share = expected_margins(spark, frame, op07_mixing.Mix(keep=0.02, targets={"lang": {"en": 0.25}}))
+    assert worst < 3e-3 and abs(share - 0.02) < 1e-4
+
+
+def test_op7_infeasible_targets_are_said(spark):
+    cells = spark.createDataFrame([("a", "en", "prose", 10), ("b", "de", "prose", 10)], "source string, lang string, topic string, tokens bigint")
+    with pytest.warns(UserWarning, match="cannot be met"):
+        op07_mixing.bounded(cells, op07_mixing.Mix(targets={"source": {"a": 0.9}, "lang": {"en": 0.1}}), Stash(spark, "t7"), patience=2, most=4)
+
+
 def brute_removed(texts):
     seen, out = {}, {}
     for i in sorted(texts):
