@@ -19,7 +19,8 @@ no possible link between components is skipped, and members of one component are
 
 Defined results: null texts equal empty texts; texts without words are a class by whole text; texts of
 one to four words are one shingle; rows repeated with the same doc_id are one document; rows without a
-doc_id carry no class and are left out; extra columns are ignored.
+doc_id carry no class and are left out of the query, but not of the pipeline's stage, which gives every
+row a key of its own; extra columns are ignored (stage: kept).
 """
 
 from __future__ import annotations
@@ -276,6 +277,16 @@ def op3_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class stays, that of the smallest doc_id."""
-    stay = near_duplicates(docs).filter("is_class_rep").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: one row of each class stays, that of the smallest doc_id.
+
+    Rows are classed by their texts under keys of their own, so rows without a doc_id take part (and stay
+    only where no row with one is like them), repeated rows leave one, and different texts under one
+    doc_id are judged each for itself.
+    """
+    stash = Stash(spark, "keep-one")
+    # written, so that a key stays with its row
+    rows = stash.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row")))
+    stay = rows.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(least.alias("first")).select("first._row")
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)

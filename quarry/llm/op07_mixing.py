@@ -15,7 +15,8 @@ missing, until the sample expected has the margins wanted. Where ``keep`` asks m
 there is, the sample is smaller, and a warning says so.
 
 Defined results: null and empty texts weigh one token; null sources, languages and topics are a value
-of their own; a null doc_id is drawn as the text "null"; an empty table gives an empty result; rows
+of their own; a null doc_id is drawn as the text "null" (stage: by the
+digest of its text); an empty table gives an empty result; rows
 repeated with one doc_id share its draw; extra columns are ignored (stage: kept).
 """
 
@@ -182,7 +183,8 @@ def draw(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chance = bounded(cells, mix, stash).select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], F.col("probability").alias("_p"))
     key = {"source": F.coalesce(F.col("source").cast("string"), F.lit("(null)")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("(null)")), "topic": topic_of(text)}
     on = [key[c] == F.col(f"_{c}") for c in DIMENSIONS]
-    return docs.join(chance, on).filter(uniform(F.col("doc_id"), mix.seed) < F.col("_p")).select(*docs.columns)
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.md5(text.cast("binary")))  # rows without a doc_id by text, not all at once
+    return docs.join(chance, on).filter(uniform(drawn, mix.seed) < F.col("_p")).select(*docs.columns)
 
 
 def oracle(mix: Mix = Mix(), docs: str = "documents") -> str:

@@ -141,6 +141,36 @@ def test_op3_classes(docs, texts):
     assert got == {i: find(i) for i in ids}
 
 
+def plain_keep_one(rows):
+    """Rows (id, text, ...) that stay: of each class of alike texts the one of the smallest id, null ids last."""
+    bags, parent = [shingle_bag(r[1] or "") for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x in range(len(rows)):
+        for y in range(x):
+            same = sum((bags[x] & bags[y]).values())
+            if (rows[x][1] or "") == (rows[y][1] or "") or (same and same >= 0.8 * (sum(bags[x].values()) + sum(bags[y].values()) - same)):
+                parent[find(x)] = find(y)
+    classes = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        classes[find(i)].append(r)
+    return [min(c, key=lambda r: (r[0] is None, r[0] or 0)) for c in classes.values()]
+
+
+def test_op3_stage_keeps_rows_without_id_and_one_of_repeated_rows(spark, texts):
+    clean = [(None if i % 3 == 0 else i, texts[i]) for i in sorted(texts)[:60]]
+    other = " ".join(f"z{i}" for i in range(70))
+    rows = [(r[0], r[1]) for r in odd_rows()] + clean + [(1000, PASSAGE), (1000, other), (1001, other), (None, other), (1002, PASSAGE + " more")]
+    got = op03_bagminhash.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()
+    # copies under one class may differ in null and empty text only
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=repr) == sorted(((i, t or "") for i, t in plain_keep_one(rows)), key=repr)
+    assert sum(r.doc_id is None for r in got) > 10
+
+
 def test_op3_signatures_estimate_weighted_jaccard():
     pair = ["a b c d e f g " * 3 + " ".join(f"w{i}" for i in range(100)), "a b c d e f g " * 2 + " ".join(f"w{i}" for i in range(10, 110))]
     row, value, count = op03_bagminhash.shingles(*tk.buffers(pa.array(pair)), 5)
