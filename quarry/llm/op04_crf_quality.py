@@ -6,8 +6,9 @@ their document. Forward-backward gives each line's marginal probability of being
 weighted by line length, is calibrated by a logistic curve into the document's score.
 
 The field is fitted on at most ``Fit.max_documents`` labelled documents whose crc32(doc_id) mod 3 is
-not 1, and on the first ``Fit.max_lines`` lines of each (training only; scores read whole texts). The
-sample is the one of lowest hash, so it does not depend on the layout of the input.
+not 1, whole ones: in the order of a hash, so that the layout of the input does not matter, a document
+is passed over if the sample would have more than ``Fit.max_bytes`` bytes with it, or more than
+``Fit.max_lines`` lines for each of ``Fit.max_documents``.
 
 Defined results: null and empty texts have one empty line and get that line's score; a null doc_id is
 never a training row and not held out; repeated rows get equal scores; with no labels, or only one
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import textkit as tk
-from quarry.llm.shared import table
+from quarry.llm.shared import Stash, table
 
 HELD_OUT_MOD, HELD_OUT = 3, 1
 
@@ -34,6 +35,7 @@ HELD_OUT_MOD, HELD_OUT = 3, 1
 class Fit:
     max_documents: int = 3000
     max_lines: int = 200
+    max_bytes: int = 1 << 25
     rounds: int = 60
     rate: float = 0.25
     ridge: float = 1e-4
@@ -166,8 +168,7 @@ def train(texts: list[str | None], quality: list[int], fit: Fit = Fit()) -> Mode
     if not len(y_doc) or y_doc.min() == y_doc.max():
         share = np.clip(y_doc.mean() if len(y_doc) else 0.5, 1e-3, 1 - 1e-3)
         return Model(np.zeros(3 * N_OWN), np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
-    short = ["\n".join((t or "").split("\n")[: fit.max_lines]) for t in texts]
-    parts = [line_features(data, at) for _, _, data, at in tk.blocks(pa.array(short, pa.string()))]
+    parts = [line_features(data, at) for _, _, data, at in tk.blocks(pa.array([t or "" for t in texts], pa.string()))]
     x, weight = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     first = np.append(0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))
     y = np.repeat(y_doc, np.diff(first))
@@ -212,9 +213,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataF
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
-    rows = training_rows(docs, labels, fit).select(
-        "doc_id", "quality", F.xxhash64("text").alias("h"), F.substring_index("text", "\n", fit.max_lines).alias("text")
-    ).dropDuplicates(["doc_id"])
+    sample = Stash(docs.sparkSession, "quality").keep(training_rows(docs, labels, fit).dropDuplicates(["doc_id"]), "sample")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sizes = sample.select("doc_id", F.octet_length(text).alias("bytes"), (F.regexp_count(text, F.lit("\n")) + 1).alias("lines")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    room, lines, chosen = fit.max_bytes, fit.max_lines * fit.max_documents, []
+    for r in sizes:
+        if r.bytes <= room and r.lines <= lines:
+            room, lines, chosen = room - r.bytes, lines - r.lines, [*chosen, r.doc_id]
+    rows = sample if len(chosen) == len(sizes) else sample.filter(F.col("doc_id").isin(chosen))
     rows = sorted(rows.collect(), key=lambda r: r.doc_id)
     return train([r.text for r in rows], [r.quality for r in rows], fit)
 

@@ -192,6 +192,18 @@ def test_op4_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_op4_learns_from_whole_documents(spark):
+    good, bad = "A plain line of words that reads well.", "#### $$$ ||| %%% <<>> ### $$$ |||"
+    rows = [(i, "\n".join([good] * 220 + [good if i % 2 else bad] * 500)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], LABELS)
+    got = op04_crf_quality.score_documents(docs, op04_crf_quality.fit_model(docs, labels)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
+    # a sample bounded below one document has no rows, and no parts of them
+    none = op04_crf_quality.fit_model(docs, labels, op04_crf_quality.Fit(max_bytes=1000))
+    assert none.slope == 0.0 and none.offset == 0.0
+
+
 def test_op4_forward_backward_sums_over_all_labellings():
     rng = np.random.default_rng(1)
     unary, trans, first = rng.normal(size=5), rng.normal(size=(2, 2)), np.array([0, 2, 5])
