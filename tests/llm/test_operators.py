@@ -353,3 +353,98 @@ def test_pipeline_stages(spark):
     rows = out.collect()
     assert rows and all(r.round_trip for r in rows)
     assert len({r.doc_id for r in rows}) == len(rows)
+
+
+def plain_good(rows, model):
+    """The chain's marginals line by line, for one document at a time."""
+    for r in rows:
+        x, weight, _ = op04_crf_quality.line_features(*tk.buffers(pa.array([r["text"] or ""])))
+        up, step = np.exp(np.clip(x @ model.weights, -30, 30)), np.exp(model.trans)
+        ahead, behind = [np.array([1, up[0]])], [np.ones(2)]
+        for u in up[1:]:
+            ahead.append((ahead[-1] @ step) * [1, u])
+            ahead[-1] /= ahead[-1].sum()
+        for u in up[:0:-1]:
+            behind.append(step @ ([1, u] * behind[-1]))
+            behind[-1] /= behind[-1].sum()
+        both = np.array(ahead) * np.array(behind[::-1])
+        mean = (both[:, 1] / both.sum(1) * weight).sum() / weight.sum()
+        if model.slope * mean + model.offset >= 0:
+            yield r
+
+
+def plain_redacted(row):
+    text = row["text"] or ""
+    spans = sorted((m.start(), m.end()) for rule in op10_secrets.RULES for m in re.finditer(rule.pattern, text, re.ASCII) if len(m[rule.secret]) >= rule.least)
+    out, at = "", 0
+    for lo, hi in spans:
+        out, at = (out + text[at:lo] + "[secret]" if lo >= at else out), max(at, hi)
+    text = out + text[at:]
+    return row | {"text": text, "n_chars": len(text)}
+
+
+def plain_drawn(rows, near=1e-3):
+    """Chances under the bound of 1 by the same rounds over dictionaries, and the draw by MD5."""
+    def cell(r):
+        text = r["text"] or ""
+        return r["source"] or "(null)", r["lang"] or "(null)", next((n for n, p in op07_mixing.TOPICS if re.search(p, text)), "prose")
+
+    mix, has = op07_mixing.Mix(), collections.Counter()
+    for r in rows:
+        has[cell(r)] += max(1, len(re.findall(r"[^ \t-\r]+", r["text"] or "")))
+    whole = sum(has.values())
+    share = {c: n / whole for c, n in has.items()}
+    want = []
+    for d in range(3):
+        raw = collections.Counter()
+        for c, n in has.items():
+            raw[c[d]] += n
+        total = sum(n**0.5 for n in raw.values())
+        want.append({v: (n**0.5 / total, n / whole) for v, n in raw.items()})
+    keep = min([mix.keep, *(h / w for m in want for w, h in m.values())])
+    factor = dict.fromkeys(has, keep)
+    sums = lambda d, v: [sum(share[c] * min(1, factor[c]) for c in has if c[d] == v and (factor[c] >= 1) == full) for full in (True, False)]
+    for turn in range(61):
+        if max(abs(sum(sums(d, v)) / (keep * w) - 1) for d in range(3) for v, (w, _) in want[d].items()) <= near:
+            break
+        keep *= 0.8 if turn and turn % 15 == 0 else 1
+        for d in range(3):
+            scale = {}
+            for v, (w, _) in want[d].items():
+                fixed, free = sums(d, v)
+                scale[v] = (keep * w - fixed) / free if free > 0 and keep * w > fixed else keep * w / (fixed + free)
+            factor = {c: f * scale[c[d]] ** (1.3 if turn < 15 else 1) for c, f in factor.items()}
+    for r in rows:
+        key = hashlib.md5((r["text"] or "").encode()).hexdigest() if r["doc_id"] is None else str(r["doc_id"])
+        if int(hashlib.md5(f"{mix.seed}|{key}".encode()).hexdigest()[:13], 16) / (1 << 52) < min(1, factor[cell(r)]):
+            yield r
+
+
+def test_pipeline_equals_plain_stages(spark, docs, tmp_path):
+    """Row by row, each stage on what the one before gave, and the run as a whole."""
+    import corpus_pipeline
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=op02_sentencepiece.MODEL)
+    # few languages and sources, null among them: a scarce one would leave next to no sample
+    own = [(10_000 + r[0] if r[0] is not None else None, r[1], "en", "a", r[4]) for r in odd_rows()]
+    every = docs.selectExpr("IF(doc_id % 7 = 0, NULL, doc_id) AS doc_id", "text", "IF(doc_id % 2 = 0, 'en', NULL) AS lang", "IF(doc_id % 3 = 0, NULL, 'a') AS source", "n_chars").unionByName(spark.createDataFrame(own, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    every.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = op04_crf_quality.fit_model(frame, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    kept_one = lambda rows: [r for _, _, r in plain_keep_one([(r["doc_id"], r["text"], r) for r in rows])]
+    encoded = lambda rows: [{"doc_id": r["doc_id"], "ids": sp.encode(r["text"] or "")} for r in rows]
+    plain = [lambda rows: list(plain_good(rows, model)), kept_one, lambda rows: [plain_redacted(r) for r in rows], lambda rows: list(plain_drawn(rows)), encoded]
+    # a null text and an empty one are copies, of which either may stay
+    order = lambda rows: sorted((repr(sorted((r | ({"text": r["text"] or ""} if "text" in r else {})).items())) for r in rows))
+    rows = [r.asDict() for r in frame.collect()]
+    for (name, stage), step in zip(corpus_pipeline.STAGES, plain, strict=True):
+        want, frame = step(rows), stage(spark, frame, str(tmp_path)).cache()
+        rows = [r.asDict() for r in frame.collect()]
+        if step is encoded:
+            rows = [{k: list(v) if k == "ids" else v for k, v in r.items() if k in ("doc_id", "ids")} for r in rows]
+        assert order(rows) == order(want), name
+        assert rows
+    whole = [{"doc_id": r.doc_id, "ids": list(r.ids)} for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert order(whole) == order(rows)
