@@ -9,7 +9,7 @@ broadcast.
 
 ``earlier_windows`` dedups a corpus against itself. Automata of the whole corpus cannot be broadcast
 (their size grows with the corpus, and every document would pass through every shard), so its windows
-are matched by shuffles instead; the README gives figures. Each window of 50 words is named by the least
+are matched by shuffles instead; the automata were not measured over a whole corpus. Each window of 50 words is named by the least
 hash among its runs of ten words. Names that occur in one document only cannot belong to a repeated
 window, so only windows with a shared name are hashed and shuffled, and the smallest doc_id of each
 decides. No window is left out: equal windows have equal names.
