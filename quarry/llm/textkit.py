@@ -13,23 +13,33 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a block of its own.
 BLOCK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: The prime 2**31 - 1, and two bases: a hash is the value of two polynomials over that field.
+PRIME = np.uint64((1 << 31) - 1)
+_BASES = (1_414_213_562, 1_732_050_807)
+_HALF = np.uint64(31)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[bool, np.ndarray] = {}
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) mod 2**64, or those of its inverse."""
-    have = _powers.get(inverse)
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x mod PRIME, for x below 2**62."""
+    x = (x & PRIME) + (x >> _HALF)
+    x = (x & PRIME) + (x >> _HALF)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
+    """base**0 .. base**(n-1) in the field, or those of its inverse."""
+    have = _powers.get((which, inverse))
     if have is None or len(have) < n:
-        size = max(1 << 12, 1 << int(n - 1).bit_length())
-        have = np.full(size, _INVERSE if inverse else _BASE, np.uint64)
-        have[0] = 1
-        have = _powers[inverse] = np.multiply.accumulate(have)
+        base = pow(_BASES[which], -1, int(PRIME)) if inverse else _BASES[which]
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 12):  # twice as many in each step
+            have = np.concatenate([have, _fold(have * np.uint64(pow(base, len(have), int(PRIME))))])
+        _powers[which, inverse] = have
     return have[:n]
 
 
@@ -41,17 +51,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any ranges of a sequence, by prefix sums of value * base**position."""
+    """Hashes of any ranges of a sequence, by prefix sums of value * base**position.
+
+    Two polynomials over a prime field, of the values' low and high bits: unlike sums mod 2**64, no
+    pattern of the text makes different ranges collide. Sums of 2**31 values fit 64 bits.
+    """
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(n), out=self.prefix[1:])
-        self.back = powers(n + 1, inverse=True)
+        self.prefix = np.zeros((2, n + 1), np.uint64)
+        for i, part in enumerate((values & PRIME, (values >> _HALF) & PRIME)):
+            np.cumsum(_fold(part * powers(n, i)), out=self.prefix[i, 1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def of(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         """Hashes of [start, end); equal content has equal hashes, wherever it stands."""
-        return mix((self.prefix[end] - self.prefix[start]) * self.back[start] + (end - start).astype(np.uint64))
+        back = [powers(self.prefix.shape[1], i, inverse=True)[start] for i in (0, 1)]
+        low, high = (_fold(_fold(p[end] - p[start]) * b) for p, b in zip(self.prefix, back, strict=True))
+        return mix(((high << _HALF) | low) + mix((end - start).astype(np.uint64) + np.uint64(salt)))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
