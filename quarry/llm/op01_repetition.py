@@ -3,8 +3,8 @@
 The words of a block of documents form one array; suffixes are sorted by prefix doubling, of which
 each round only touches suffixes that still tie. Longest common prefixes of neighbours come from the
 ranks of all rounds. Intervals of that array are the repeated substrings; where they cannot be
-extended to the left either, they are maximal. The union of their spans and the longest of them
-decide, after the base rules.
+extended to the left either, they are maximal. After the base rules, the share of words in the union of
+their spans and the length of the longest one decide, and nothing else.
 
 Defined results: a null or empty text has zero words, fails the base rules and has no spans; repeated
 rows are judged each by itself; other columns of the input, whatever their names, are ignored; an
@@ -35,7 +35,6 @@ class Rules:
     span_words: int = 10
     max_covered: float = 0.40
     max_longest: int = 200
-    max_symbol_ratio: float = 0.05
 
 
 def suffix_array(words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +181,7 @@ def judge(ids: list, data: np.ndarray, at: np.ndarray, rules: Rules) -> dict[str
     n_repeat, n_covered = per_word(covered_by(array, lcp, 3)), per_word(covered)
     symbols, chars = tk.count(SYMBOLS[data], at), tk.count(point & words.solid, at)
     failed = (n_words < rules.min_words) | (100 * n_repeat > rules.max_repeat_percent * n_words)
-    kept = ~failed & (n_covered <= rules.max_covered * n_words) & (longest <= rules.max_longest) & (symbols <= rules.max_symbol_ratio * chars)
+    kept = ~failed & (n_covered <= rules.max_covered * n_words) & (longest <= rules.max_longest)
     flag = np.zeros(len(covered) + 2, np.int8)
     flag[1:-1] = covered
     inner = np.zeros(len(covered) + 1, bool)
