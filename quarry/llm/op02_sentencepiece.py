@@ -3,21 +3,25 @@
 The distinct segments of a batch of texts are laid end to end and indexed by a suffix array; a binary
 search of every piece of the vocabulary gives the range of suffixes where it occurs. Each occurrence
 is an edge from its first to its last character. Edges are put in order of position, and relaxed: in
-each round every segment joins the two neighbouring symbols that an edge of the best score spans, the
-leftmost on ties, until no edge spans two neighbours. For a BPE vocabulary this is its definition.
+each round every segment joins neighbouring symbols that an edge of its best score spans, from the left
+and without overlaps, until no edge spans two neighbours. For a BPE vocabulary, which joins one such pair
+at a time, the result is the same: what a join makes possible has a worse score, so it comes after the
+rest of the round. Where a piece can be part of one of a better score, a round joins only pairs so far
+apart that nothing that follows from one reaches another.
 
 A segment is a run of word marks and what follows up to the next mark. Pieces hold marks at their
-start only (checked when the vocabulary is read), and characters that no longer piece holds, such as
-line breaks, join with nothing, so segments are independent, and each is worked out once per batch.
+start only (checked likewise), and characters that no longer piece holds, such as line breaks, join with
+nothing, so segments are independent, and each is worked out once per batch. Segments of any length and
+of any characters go the same way; places that no edge crosses divide them further.
 Characters without a piece become their UTF-8 bytes. Decoding joins pieces and turns marks to spaces.
 
 Defined results: null and empty texts have no ids; texts of any length are encoded whole; a mark
-character in a text decodes as a space, as the format defines; extra columns are ignored.
+character in a text decodes as a space, as the format defines; repeated rows have equal ids; rows without
+a doc_id are encoded like others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -28,8 +32,8 @@ from quarry.llm.shared import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Segments of more characters are joined by a heap instead of in step with the others.
-LONG = 64
+#: Divides segments: no character.
+GAP = 0x110000
 #: Characters of new segments that are indexed at once, and segments whose ids a worker remembers.
 CHUNK, REMEMBERED = 500_000, 400_000
 
@@ -53,6 +57,14 @@ class Vocabulary:
             raise ValueError("a piece holds a word mark after other characters")
         self.rank = {p: int(r) for p, r in zip(pieces, ranks, strict=True)}
         self.id = {p: i for p, i in zip(pieces, usual, strict=True)}
+        # ranks of pieces that, once joined, can be part of a piece of a better rank
+        self.early = np.zeros(len(pieces) + 1, bool)
+        for p, r in self.rank.items():
+            for i in range(1, len(p)):
+                if p[:i] in self.rank and p[i:] in self.rank:
+                    for q in (p[:i], p[i:]):
+                        if len(q) > 1 and self.rank[q] >= r:
+                            self.early[self.rank[q]] = True
         longer = set("".join(p for p in pieces if len(p) > 1))
         alone = "".join(c for c in map(chr, range(32)) if c not in longer)
         self.cut = f"{MARK}+[^{MARK}{re.escape(alone)}]*|[^{MARK}{re.escape(alone)}]+|[{re.escape(alone)}]" if alone else f"{MARK}+[^{MARK}]*"
@@ -90,11 +102,11 @@ class Matcher:
     def edges(self, text: np.ndarray) -> np.ndarray:
         """piece[position, length] that starts there, as 1 + its number, or 0.
 
-        ``text`` holds code points, with zeros between segments.
+        ``text`` holds code points, with GAP between segments.
         """
         n = len(text)
         alphabet = np.unique(text)
-        bits = 8 if len(alphabet) < 255 else 16
+        bits = next(b for b in (8, 16, 32) if len(alphabet) < (1 << b) - 1)
         packed, top = 64 // bits, (1 << bits) - 1
         code = np.searchsorted(alphabet, text).astype(np.uint64) + np.uint64(1)
         padded = np.concatenate([code, np.zeros(self.depth, np.uint64)])
@@ -146,33 +158,53 @@ class Matcher:
         return table_
 
     def join(self, segments: list[str]) -> list[bytes]:
-        """Ids of segments of at most LONG characters."""
-        text = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        """Ids of the segments."""
+        text = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         sizes = np.array([len(s) for s in segments], np.int64)
         first = np.cumsum(sizes + 1) - sizes - 1
+        text[first + sizes] = GAP
         edge, none, wide = self.edges(text), 2**31 - 1, self.v.longest
         rank = np.append(none, self.piece_rank)
         segment = np.repeat(np.arange(len(segments)), sizes)
         start = np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[segment]
         end = start + 1
+        # a place that no edge crosses ends a part: nothing joins over it
+        at, span = np.divmod(np.flatnonzero(edge), wide + 1)
+        crossed = np.zeros(len(text) + 1, np.int64)
+        np.add.at(crossed, at + 1, 1)
+        np.add.at(crossed, at + span, -1)
+        crossed = np.cumsum(crossed) > 0
+        part = np.cumsum(~crossed[start] | np.append(True, segment[1:] != segment[:-1])) if len(start) else start
+        early = np.append(self.v.early, False)
+
+        def clear(of: np.ndarray, place: np.ndarray) -> np.ndarray:
+            """Whether the candidate before, if of the same part, is out of reach."""
+            far = np.append(True, (of[1:] != of[:-1]) | (place[1:] - place[:-1] >= 2 * wide))
+            return far[: len(place)]
+
         done_s, done_e = [], []
         while len(start):
             m = len(start)
             best = np.full(m, none, np.int64)
             span = end[1:] - start[:-1]
-            ok = np.flatnonzero((segment[1:] == segment[:-1]) & (span <= wide))
+            ok = np.flatnonzero((part[1:] == part[:-1]) & (span <= wide))
             best[ok] = rank[edge[start[ok] * (wide + 1) + span[ok]]]
-            head = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+            head = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             size = np.diff(np.append(head, m))
-            pick = np.minimum.reduceat(best * m + np.arange(m), head)
-            live = pick < none * m
+            least = np.minimum.reduceat(best, head)
+            live = least < none
             gone = np.repeat(~live, size)
             if gone.any():
                 done_s.append(start[gone]), done_e.append(end[gone])
-            pick = (pick % m)[live]
+            # of a run of candidates that follow each other, every other one from the left
+            hit = (best == np.repeat(least, size)) & ~gone
+            pick = np.flatnonzero(hit)
+            opens = np.append(True, pick[1:] != pick[:-1] + 1)[: len(pick)]
+            turn = np.arange(len(pick)) - np.maximum.accumulate(np.where(opens, np.arange(len(pick)), 0))
+            pick = pick[np.where(early[best[pick]], clear(part[pick], start[pick]), turn % 2 == 0)]
             end[pick] = end[pick + 1]
             gone[pick + 1] = True
-            start, end, segment = start[~gone], end[~gone], segment[~gone]
+            start, end, part = start[~gone], end[~gone], part[~gone]
         s, e = np.concatenate(done_s), np.concatenate(done_e)
         order = np.argsort(s)
         s, e = s[order], e[order]
@@ -192,44 +224,9 @@ class Matcher:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
-    def join_long(self, segment: str) -> bytes:
-        """The same for one long segment, with a heap of the edges that span two neighbours."""
-        n, rank = len(segment), self.v.rank
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and end[i] < n:
-                stop = end[end[i]]
-                r = rank.get(segment[i:stop]) if stop - i <= self.v.longest else None
-                if r is not None:
-                    heapq.heappush(heap, (r, i, stop))
-
-        for i in range(n - 1):
-            offer(i)
-        alive = [True] * n
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] >= n or end[end[i]] != stop:
-                continue
-            alive[end[i]] = False
-            end[i] = stop
-            if stop < n:
-                before[stop] = i
-            offer(i)
-            offer(before[i])
-        out, i = [], 0
-        while i < n:
-            out.append(self.single(segment[i : end[i]]))
-            i = end[i]
-        return b"".join(out)
-
     def learn(self, segments: set[str]) -> None:
         part, chars = [], 0
         for s in segments:
-            if len(s) > LONG or "\0" in s:
-                self.known[s] = self.join_long(s)
-                continue
             part.append(s)
             chars += len(s) + 1
             if chars >= CHUNK:
