@@ -1,9 +1,12 @@
 """Quality classifier: a linear-chain conditional random field labels every line good or bad.
 
 A line is described by shares of symbols, capitals, digits and pipes, by repetition, word counts and
-lengths, each also taken from the line before and the line after. Training lines carry the label of
-their document. Forward-backward gives each line's marginal probability of being good; their mean,
-weighted by line length, is calibrated by a logistic curve into the document's score.
+lengths, each also taken from the line before and the line after. Labels are of documents, so labels of
+training lines are worked out first: a regression from a line's own features to its document's label gives each line's odds; a line is labelled by them and by its document's label, which counts
+``Fit.trust`` in log odds, so that a bad document may have good lines and a good one bad lines; a document
+whose lines would all contradict its label keeps it at its most likely line. The field is fitted to these
+labels and their neighbourhoods. Forward-backward gives each line's marginal probability of being good;
+their mean, weighted by line length, is calibrated by a logistic curve into the document's score.
 
 The field is fitted on at most ``Fit.max_documents`` labelled documents whose crc32(doc_id) mod 3 is
 not 1, whole ones: in the order of a hash, so that the layout of the input does not matter, a document
@@ -11,8 +14,10 @@ is passed over if the sample would have more than ``Fit.max_bytes`` bytes with i
 ``Fit.max_lines`` lines for each of ``Fit.max_documents``.
 
 Defined results: null and empty texts have one empty line and get that line's score; a null doc_id is
-never a training row and not held out; repeated rows get equal scores; with no labels, or only one
-label, every score is the share of label 1 (0.5 without any); extra columns are ignored.
+never a training row and not held out; of several texts under one labelled doc_id the one of the least
+digest is learned from; repeated rows get equal scores; with no labels, or only one
+label, every score is the share of label 1 (0.5 without any); extra columns are ignored by the query and
+kept by the stage, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import textkit as tk
-from quarry.llm.shared import Stash, table
+from quarry.llm.shared import Stash, table, unused
 
 HELD_OUT_MOD, HELD_OUT = 3, 1
 
@@ -39,6 +44,7 @@ class Fit:
     rounds: int = 60
     rate: float = 0.25
     ridge: float = 1e-4
+    trust: float = 1.0
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -162,6 +168,23 @@ def _adam(value: np.ndarray, gradient: np.ndarray, state: list, rate: float, t:
     return value - rate * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-8)
 
 
+def line_labels(x: np.ndarray, first: np.ndarray, y_doc: np.ndarray, fit: Fit) -> np.ndarray:
+    """A label for each training line, which may differ from its document's; neighbours have no say yet."""
+    x = x[:, :N_OWN]
+    y = np.repeat(y_doc, np.diff(first))
+    weights, state = np.zeros(x.shape[1]), [0.0, 0.0]
+    for t in range(1, fit.rounds + 1):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        weights = _adam(weights, x.T @ (p - y) / len(y) + fit.ridge * weights, state, fit.rate, t)
+    odds = x @ weights
+    out = (odds + fit.trust * (2 * y - 1) >= 0).astype(np.float64)
+    toward = odds * (2 * y - 1)
+    lost = np.flatnonzero(np.add.reduceat((out == y).astype(np.int64), first[:-1]) == 0)
+    for d in lost.tolist():
+        out[first[d] + int(np.argmax(toward[first[d] : first[d + 1]]))] = y_doc[d]
+    return out
+
+
 def train(texts: list[str | None], quality: list[int], fit: Fit = Fit()) -> Model:
     """Maximum likelihood of the line labels, then the calibration of the documents' means."""
     y_doc = np.array(quality, np.float64)
@@ -171,11 +194,13 @@ def train(texts: list[str | None], quality: list[int], fit: Fit = Fit()) -> Mode
     parts = [line_features(data, at) for _, _, data, at in tk.blocks(pa.array([t or "" for t in texts], pa.string()))]
     x, weight = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     first = np.append(0, np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))
-    y = np.repeat(y_doc, np.diff(first))
-    n = len(y)
+    n = len(x)
+    y = line_labels(x, first, y_doc, fit)
+    inner = np.ones(n, bool)
+    inner[first[:-1]] = False  # lines with one before them
+    inner = np.flatnonzero(inner)
     observed = np.zeros((2, 2))
-    for label in (0, 1):
-        observed[label, label] = (np.diff(first)[y_doc == label] - 1).sum()
+    np.add.at(observed, (y[inner - 1].astype(np.int64), y[inner].astype(np.int64)), 1)
     model = Model(np.zeros(x.shape[1]), np.zeros((2, 2)), 1.0, 0.0)
     states = ([0.0, 0.0], [0.0, 0.0])
     for t in range(1, fit.rounds + 1):
@@ -209,11 +234,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataF
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.max_documents)
     )
     # at most max_documents small rows, so the broadcast has a fixed bound
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text").alias("t"), "quality")
+    return rows.groupBy("doc_id", "quality").agg(F.min("t").alias("t")).select("doc_id", "t.text", "quality")
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
-    sample = Stash(docs.sparkSession, "quality").keep(training_rows(docs, labels, fit).dropDuplicates(["doc_id"]), "sample")
+    sample = Stash(docs.sparkSession, "quality").keep(training_rows(docs, labels, fit), "sample")
     text = F.coalesce(F.col("text"), F.lit(""))
     sizes = sample.select("doc_id", F.octet_length(text).alias("bytes"), (F.regexp_count(text, F.lit("\n")) + 1).alias("lines")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     room, lines, chosen = fit.max_bytes, fit.max_lines * fit.max_documents, []
@@ -225,12 +251,12 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     return train([r.text for r in rows], [r.quality for r in rows], fit)
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with columns score, predicted, n_lines, n_bad_lines added; a narrow map without shuffle."""
-    names = [c for c in docs.columns if c not in ("score", "predicted", "n_lines", "n_bad_lines")]
-    docs = docs.select(*names)
-    spot = names.index("text")
-    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_lines", T.LongType()), T.StructField("n_bad_lines", T.LongType())])
+def score_documents(docs: DataFrame, model: Model, names: tuple[str, ...] = ("score", "predicted", "n_lines", "n_bad_lines")) -> DataFrame:
+    """``docs`` with four columns of these names added, in place of columns that have them; a narrow map without shuffle."""
+    kept = [c for c in docs.columns if c not in names]
+    docs = docs.select(*kept)
+    spot = kept.index("text")
+    schema = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.IntegerType(), T.LongType(), T.LongType()), strict=True))])
 
     def run(batches):
         for batch in batches:
@@ -238,7 +264,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 score, lines, bad = model.score(data, at)
                 part = batch.slice(lo, hi - lo)
                 extra = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(lines), pa.array(bad)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*names, "score", "predicted", "n_lines", "n_bad_lines"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*kept, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -254,6 +280,12 @@ def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
+    """Pipeline stage: documents that the classifier rejects go.
+
+    Every row is judged by its own text, so repeated rows stay or go together, and rows without a doc_id
+    are judged like others; null and empty texts have the score of an empty line. An empty table gives an
+    empty one; all columns, whatever their names, are kept as they are.
+    """
     model = fit_model(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model).filter("predicted = 1").select(*docs.columns)
+    names = unused(docs, "score", "predicted", "n_lines", "n_bad_lines")
+    return score_documents(docs, model, tuple(names)).filter(F.col(names[1]) == 1).select(*docs.columns)
