@@ -1,12 +1,13 @@
 """Document fingerprints: a threshold-scaled sketch of every text.
 
 All shingles (12 consecutive UTF-8 bytes; a shorter text is one shingle) are hashed; every hash below a
-fixed fraction of the range is kept. Sketches of very unequal documents are therefore samples at the
-same rate: their union is the sketch of the joined shingle sets, and overlaps estimate resemblance and
-containment. A text that would keep fewer than ``floor`` hashes keeps its ``floor`` smallest instead,
-and states the threshold that this amounts to; two sketches are compared below the lower threshold.
+fixed fraction of the range, one in ``scale``, is kept, whatever the text's length. Sketches of very
+unequal documents are therefore samples at the same rate: their union is the sketch of the joined
+shingle sets, and overlaps estimate resemblance and containment without bias.
 
-A fingerprint is the threshold and the kept hashes in order, in hexadecimal.
+A fingerprint is the kept hashes in order, in hexadecimal; a text whose shingles are all above the
+threshold has an empty one, as texts of few shingles may. Of two empty sketches nothing is known, so
+their likeness is 0.
 
 The next document is found without a global sort in one task: rows are dealt to ranges of doc_id, each
 range is sorted and read in order, and its last row meets a copy of the next range's first row.
@@ -35,29 +36,24 @@ ALL = (1 << 64) - 1
 @dataclass(frozen=True)
 class Sketch:
     width: int = 12
-    scale: int = 32
-    floor: int = 32
+    scale: int = 8
 
     @property
     def threshold(self) -> int:
         return ALL // self.scale
 
 
-def sketches(texts: list[bytes], s: Sketch = Sketch()) -> list[tuple[int, np.ndarray]]:
-    """(threshold, kept hashes in order) of each text."""
-    out: list[tuple[int, np.ndarray]] = []
+def sketches(texts: list[bytes], s: Sketch = Sketch()) -> list[np.ndarray]:
+    """The kept hashes of each text, in order."""
     sizes = np.array([len(t) for t in texts], np.int64)
     at = np.append(0, np.cumsum(sizes))
     data = np.frombuffer(b"".join(texts), np.uint8)
     rolling = tk.byte_hashes(data)
     lo = np.arange(len(data))
-    left = np.repeat(at[1:], sizes) - lo
-    lo = lo[left >= s.width]
-    value = rolling.of(lo, lo + s.width)
-    row = np.searchsorted(at, lo, "right") - 1
-    tiny = np.flatnonzero(sizes < s.width)
-    value = np.concatenate([value, rolling.of(at[tiny], at[tiny + 1])])
-    row = np.concatenate([row, tiny])
+    lo = lo[np.repeat(at[1:], sizes) - lo >= s.width]
+    tiny = np.flatnonzero((sizes < s.width) & (sizes > 0))
+    value = np.concatenate([rolling.of(lo, lo + s.width), rolling.of(at[tiny], at[tiny + 1])])
+    row = np.concatenate([np.searchsorted(at, lo, "right") - 1, tiny])
     low = np.flatnonzero(value < np.uint64(s.threshold))
     order = np.lexsort((value[low], row[low]))
     v, r = value[low][order], row[low][order]
@@ -65,39 +61,23 @@ def sketches(texts: list[bytes], s: Sketch = Sketch()) -> list[tuple[int, np.nda
     fresh[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
     v, r = v[fresh], r[fresh]
     first = np.searchsorted(r, np.arange(len(texts) + 1))
-    begin = np.searchsorted(row[: len(lo)], np.arange(len(texts) + 1))
-    small = {int(t): np.array([h]) for t, h in zip(tiny, value[len(lo) :], strict=True)}
-    for i in range(len(texts)):
-        kept = v[first[i] : first[i + 1]]
-        if len(kept) >= s.floor:
-            out.append((s.threshold, kept))
-            continue
-        every = small[i] if i in small else np.unique(value[begin[i] : begin[i + 1]])
-        kept = every[: s.floor]
-        out.append((ALL if len(every) <= s.floor else max(int(kept[-1]) + 1, s.threshold), kept))
-    return out
-
-
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[float, float, float]:
+    return [v[a:b] for a, b in zip(first, first[1:], strict=False)]
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     """Estimates of resemblance, and of how much of a is in b and of b in a."""
-    least = np.uint64(min(a[0], b[0], ALL))
-    x, y = a[1], b[1]
-    if a[0] != b[0]:
-        x, y = x[: np.searchsorted(x, least, "right")], y[: np.searchsorted(y, least, "right")]
-    same = len(np.intersect1d(x, y, assume_unique=True))
-    whole = len(x) + len(y) - same
-    return (same / whole if whole else 0.0), (same / len(x) if len(x) else 0.0), (same / len(y) if len(y) else 0.0)
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    whole = len(a) + len(b) - same
+    return (same / whole if whole else 0.0), (same / len(a) if len(a) else 0.0), (same / len(b) if len(b) else 0.0)
 
 
-def merged(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of both shingle sets together."""
-    least = min(a[0], b[0])
-    both = np.union1d(a[1], b[1])
-    return least, both[: np.searchsorted(both, np.uint64(least), "right")]
+    return np.union1d(a, b)
 
 
-def written(sketch: tuple[int, np.ndarray]) -> str:
-    return f"{sketch[0]:016x}:{sketch[1].astype('>u8').tobytes().hex()}"
+def written(sketch: np.ndarray) -> str:
+    return sketch.astype(">u8").tobytes().hex()
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -105,7 +85,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     with ``tail`` = 1, of the first rows of the range that follows (the last: of the first)."""
     last = (1 << 63) - 1
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(last)).alias("key"))
-    n = max(2 * docs._jdf.queryExecution().toRdd().getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # what the cluster is set to deal rows to, not what the input has
     cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10000 if n < 5000 else 4 * n)).head()[0]  # a number for each range
     cuts = sorted(set(cuts or []))
     width = max(1, int(len(cuts) ** 0.5))
