@@ -9,10 +9,9 @@ Topics are registers that the text shows: tables, licences, markup, dialogue or
 any expression over the input instead. A target margin gives the shares wanted; values without one get
 their share to the power ``flatten``.
 
-The query cuts the chance of a cell at 1, as its SQL does, so its sample has less of such cells than was
-fitted. The pipeline's stage rakes under that bound: cells at 1 stay there, the others take what is
+A chance is 1 at most, so raking works under that bound: cells at 1 stay there, the others take what is
 missing, until the sample expected has the margins wanted. Where ``keep`` asks more of a value than
-there is, the sample is smaller, and a warning says so.
+there is, the sample is smaller, and a warning says so; so it does where targets cannot be met.
 
 Defined results: null and empty texts weigh one token; null sources, languages and topics are a value
 of their own; a null doc_id is drawn as the text "null" (stage: by the
@@ -29,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import Stash, table
+from quarry.llm.shared import Stash, table, unused
 
 #: Topic names and the expressions that are tried in this order, in the common subset of Java's and RE2's syntax.
 TOPICS = (
@@ -43,7 +42,7 @@ DIMENSIONS = ("source", "lang", "topic")
 
 @dataclass(frozen=True)
 class Mix:
-    """``keep``: the share of all tokens that the sample aims at. ``rounds``: passes over the margins."""
+    """``keep``: the share of all tokens that the sample aims at. ``rounds``: passes of ``calibrate`` over the margins."""
 
     flatten: float = 0.5
     keep: float = 0.5
@@ -109,13 +108,6 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def probabilities(cells: DataFrame, mix: Mix) -> DataFrame:
-    """Cells with the chance of a document: keep * fitted share / share it has, 1 at most."""
-    whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))
-    chance = F.least(F.lit(1.0), F.lit(mix.keep) * F.col("fitted") * F.col("whole") / F.col("tokens"))
-    return cells.join(F.broadcast(whole)).select(*DIMENSIONS, chance.alias("probability"))
-
-
 def _margin(at: DataFrame, name: str, target: DataFrame) -> DataFrame:
     """(value, want, fixed, free): shares of all tokens expected from cells at 1 and from the others."""
     full = F.col("factor") >= 1
@@ -123,7 +115,11 @@ def _margin(at: DataFrame, name: str, target: DataFrame) -> DataFrame:
     return sums.join(target, name)
 
 
-def bounded(cells: DataFrame, mix: Mix, stash: Stash, near: float = 1e-3, patience: int = 15, most: int = 60) -> DataFrame:
+#: A margin is met within this share of its target; rounds without that before the sample is made smaller; rounds in all.
+NEAR, PATIENCE, MOST = 1e-3, 15, 60
+
+
+def bounded(cells: DataFrame, mix: Mix, stash: Stash, near: float = NEAR, patience: int = PATIENCE, most: int = MOST) -> DataFrame:
     """Cells with the chance of a document, such that the sample expected has the margins wanted.
 
     A chance is least(1, product of a factor for each margin). The sample has ``keep`` of all tokens, or
@@ -164,8 +160,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), topic: Column | None = None) -> Dat
     stash = Stash(docs.sparkSession, "mixing")
     rows = stash.keep(weighted(docs, topic), "rows")  # no texts: the expressions run over them once
     cells = stash.keep(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    chance = stash.keep(probabilities(calibrate(cells, mix, stash), mix), "chance")
-    out = rows.join(chance, list(DIMENSIONS))
+    out = rows.join(bounded(cells, mix, stash), list(DIMENSIONS))
     return out.select("doc_id", *DIMENSIONS, "tokens", F.round("probability", 6).alias("probability"), (uniform(F.col("doc_id"), mix.seed) < F.col("probability")).alias("sampled"))
 
 
@@ -174,38 +169,57 @@ def op7_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draw(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the sample. Rows keep the columns of documents."""
+    """Pipeline stage: the sample. Rows keep all their columns, whatever their names.
+
+    Repeated rows are drawn together; rows without a doc_id by the digest of their text; null and empty
+    texts weigh one token; null sources and languages are values of their own; an empty table gives an
+    empty sample.
+    """
     mix = Mix()
+    names = dict(zip((*DIMENSIONS, "p"), unused(docs, *[f"_{c}" for c in DIMENSIONS], "_p"), strict=True))
     stash = Stash(spark, "mixing")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = weighted(docs)
     cells = stash.keep(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    chance = bounded(cells, mix, stash).select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], F.col("probability").alias("_p"))
+    chance = bounded(cells, mix, stash).select(*[F.col(c).alias(names[c]) for c in DIMENSIONS], F.col("probability").alias(names["p"]))
     key = {"source": F.coalesce(F.col("source").cast("string"), F.lit("(null)")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("(null)")), "topic": topic_of(text)}
-    on = [key[c] == F.col(f"_{c}") for c in DIMENSIONS]
+    on = [key[c] == F.col(names[c]) for c in DIMENSIONS]
     drawn = F.coalesce(F.col("doc_id").cast("string"), F.md5(text.cast("binary")))  # rows without a doc_id by text, not all at once
-    return docs.join(chance, on).filter(uniform(drawn, mix.seed) < F.col("_p")).select(*docs.columns)
+    return docs.join(chance, on).filter(uniform(drawn, mix.seed) < F.col(names["p"])).select(*docs.columns)
 
 
 def oracle(mix: Mix = Mix(), docs: str = "documents") -> str:
-    """DuckDB SQL for op7, its rounds unrolled."""
+    """DuckDB SQL for op7 with the default targets: a recursive step is a round of ``bounded``."""
     topic = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TOPICS) + " ELSE 'prose' END"
-    parts = [
-        f"d AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang, {topic} AS topic, CAST(greatest(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 1) AS BIGINT) AS tokens FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM {docs}))",
-        "c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",
-        "f0 AS (SELECT *, tokens / (SELECT sum(tokens) FROM c) AS fitted FROM c)",
-    ]
+    fixed, free = "CASE WHEN factor >= 1 THEN share ELSE 0.0 END", "CASE WHEN factor >= 1 THEN 0.0 ELSE share * factor END"
+
+    def sums(name: str) -> str:
+        return f"sum({fixed}) OVER (PARTITION BY {name}) AS fixed, sum({free}) OVER (PARTITION BY {name}) AS free"
+
+    def step(source: str, name: str) -> str:
+        scale = f"CASE WHEN free > 0 AND keep * want_{name} > fixed THEN (keep * want_{name} - fixed) / free ELSE coalesce(keep * want_{name} / nullif(fixed + free, 0), 1.0) END"
+        return f"SELECT * EXCLUDE (factor, fixed, free), factor * pow({scale}, CASE WHEN turn < {PATIENCE} THEN 1.3 ELSE 1.0 END) AS factor FROM (SELECT *, {sums(name)} FROM ({source}))"
+
+    wants = ", ".join(f"want_{name}" for name in DIMENSIONS)
+    miss = ", ".join(f"max(abs(got_{name} - keep * want_{name}) / greatest(keep * want_{name}, 1e-12)) OVER ()" for name in DIMENSIONS)
+    got = ", ".join(f"sum(share * least(1.0, factor)) OVER (PARTITION BY {name}) AS got_{name}" for name in DIMENSIONS)
+    going = f"SELECT turn, keep * CASE WHEN turn > 0 AND turn % {PATIENCE} = 0 THEN 0.8 ELSE 1.0 END AS keep, {', '.join(DIMENSIONS)}, share, {wants}, factor FROM (SELECT *, greatest({miss}) AS miss FROM (SELECT *, {got} FROM r)) WHERE miss > {NEAR} AND turn < {MOST}"
     for name in DIMENSIONS:
-        parts.append(f"t_{name} AS MATERIALIZED (SELECT {name}, pow(sum(tokens), {mix.flatten}) AS raw FROM c GROUP BY {name})")
-    last = "f0"
-    for turn in range(mix.rounds):
-        for name in DIMENSIONS:
-            here = f"f{turn}_{name}"
-            parts.append(f"{here} AS MATERIALIZED (SELECT p.source, p.lang, p.topic, p.tokens, p.fitted * (t.raw / (SELECT sum(raw) FROM t_{name})) / sum(p.fitted) OVER (PARTITION BY p.{name}) AS fitted FROM {last} p JOIN t_{name} t ON p.{name} = t.{name})")
-            last = here
-    parts.append(f"p AS (SELECT source, lang, topic, least(1.0, {mix.keep} * fitted * (SELECT sum(tokens) FROM c) / tokens) AS probability FROM {last})")
-    return (
-        "WITH " + ",\n".join(parts) + "\nSELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(probability, 6) AS probability, "
-        f"CAST(('0x' || substr(md5('{mix.seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / {float(1 << 52)!r} < probability AS sampled "
-        "FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"
-    )
+        going = step(going, name)
+    columns = f"{', '.join(DIMENSIONS)}, share, {wants}, factor"
+    targets = ", ".join(f"m_{name} AS (SELECT {name}, sum(share) AS has, pow(sum(tokens), {mix.flatten}) / sum(pow(sum(tokens), {mix.flatten})) OVER () AS want_{name} FROM c GROUP BY {name})" for name in DIMENSIONS)
+    room = " UNION ALL ".join(f"SELECT has / want_{name} AS room FROM m_{name} WHERE want_{name} > 0" for name in DIMENSIONS)
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang, {topic} AS topic, CAST(greatest(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 1) AS BIGINT) AS tokens FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM {docs})),
+    c AS (SELECT source, lang, topic, tokens, tokens / sum(tokens) OVER () AS share FROM (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)),
+    {targets},
+    k AS (SELECT least({mix.keep}, min(room)) AS keep FROM ({room})),
+    r AS (
+      SELECT 0 AS turn, keep, {', '.join(DIMENSIONS)}, share, {wants}, keep AS factor FROM c {' '.join(f'JOIN m_{name} USING ({name})' for name in DIMENSIONS)} CROSS JOIN k
+      UNION ALL
+      SELECT turn + 1, keep, {columns} FROM ({going})
+    ),
+    p AS (SELECT source, lang, topic, least(1.0, factor) AS probability FROM r WHERE turn = (SELECT max(turn) FROM r))
+    SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(probability, 6) AS probability,
+      CAST(('0x' || substr(md5('{mix.seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / {float(1 << 52)!r} < probability AS sampled
+    FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""
