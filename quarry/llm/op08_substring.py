@@ -2,26 +2,29 @@
 
 Two operators share this module.
 
-``against_reference`` streams documents through broadcast suffix automata of reference shards: the
-automaton's matching statistics give, at every word, the longest reference passage that ends there, and
-maximal spans of the threshold or more are removed. The reference has a checked bound, since it is
-broadcast.
-
-``earlier_windows`` dedups a corpus against itself. Automata of the whole corpus cannot be broadcast
-(their size grows with the corpus, and every document would pass through every shard), so its windows
-are matched by shuffles instead; the automata were not measured over a whole corpus. Each window of 50 words is named by the least
+``against_reference`` streams documents through suffix automata of reference shards: the automaton's
+matching statistics give, at every word, the longest reference passage that ends there, and maximal
+spans of the threshold or more are removed. Shards are built on the executors, of a bounded number of
+words each, and written; they are broadcast one after the other, so that memory is bounded by a shard
+whatever the reference's size, and the spans of all shards are united by document.
+
+``earlier_windows`` dedups a corpus against itself. With automata every document would pass through
+the shards of the whole corpus, work in the square of its size (README: measured figures), so its
+windows are matched by shuffles instead. Each window of 50 words is named by the least
 hash among its runs of ten words. Names that occur in one document only cannot belong to a repeated
-window, so only windows with a shared name are hashed and shuffled, and the smallest doc_id of each
-decides. No window is left out: equal windows have equal names.
+window, so only windows with a shared name are hashed and shuffled, by 124 bits of two independent
+hashes, and the smallest doc_id of each decides. No window is left out: equal windows have equal names.
 
 Defined results: a null or empty text has no words; rows repeated with one doc_id are one document each
-time, and no repeat of each other; rows without a doc_id come last, keep their words, and remove none;
-shorter texts than a window are kept whole; extra columns are ignored.
+time, and no repeat of each other, whether their texts are equal or not; rows without a doc_id come
+last, keep their words, and remove none; shorter texts than a window are kept whole; extra columns are
+ignored; an empty table gives an empty result, an empty reference removes nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterable
 
 import numpy as np
@@ -118,43 +121,76 @@ def _result(ids: pa.Array, data: np.ndarray, words: tk.Words, drop: np.ndarray)
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
-def against_reference(docs: DataFrame, reference: DataFrame, least: int = WINDOW, shard_words: int = 200_000, max_words: int = 2_000_000) -> DataFrame:
-    """SCHEMA, after the removal of all passages of ``least`` words or more that the reference (text) has.
+SHARD = "shard bigint, automaton binary"
 
-    The reference is collected and broadcast as automata of ``shard_words`` words; beyond ``max_words``
-    words ValueError is raised before any of it is collected.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    total = reference.agg(F.coalesce(F.sum(F.regexp_count(text, F.lit(r"[^ \t-\r]+"))), F.lit(0))).head()[0]
-    if total > max_words:
-        raise ValueError(f"a reference of {total} words is too large to broadcast; the limit is {max_words}")
-    shards, part, size = [], [], 0
-    for (t,) in reference.select(text).collect():
-        data, at = tk.buffers(pa.array([t]))
-        part += [*tk.Words(data, at).hash.tolist(), None]
-        size = len(part)
-        if size >= shard_words:
-            shards, part = [*shards, SuffixAutomaton(part)], []
-    shards = [*shards, SuffixAutomaton(part)] if part or not shards else shards
-    sent = [docs.sparkSession.sparkContext.broadcast((s.next, s.link, s.length)) for s in shards]
+
+def build_shards(reference: DataFrame, shard_words: int) -> DataFrame:
+    """SHARD: pickled automata of about ``shard_words`` words of ``reference`` (text) each, built where the texts lie."""
 
     def run(batches):
-        automata = []
-        for b in sent:
+        part, number = [], 0
+        for batch in batches:
+            for lo, hi, data, at in tk.blocks(batch.column(0)):
+                words = tk.Words(data, at)
+                for i in range(hi - lo):
+                    part += [*words.hash[words.first[i] : words.first[i + 1]].tolist(), None]
+                    if len(part) >= shard_words:
+                        yield _packed(number, SuffixAutomaton(part))
+                        part, number = [], number + 1
+        if part:
+            yield _packed(number, SuffixAutomaton(part))
+
+    return reference.select("text").mapInArrow(run, SHARD)
+
+
+def _packed(number: int, a: SuffixAutomaton) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pickle.dumps((a.next, a.link, a.length))], pa.binary())], ["shard", "automaton"])
+
+
+def against_reference(docs: DataFrame, reference: DataFrame, least: int = WINDOW, shard_words: int = 200_000) -> DataFrame:
+    """SCHEMA, after the removal of all passages of ``least`` words or more that the reference (text) has.
+
+    The driver holds one shard at a time; a pass over ``docs`` for each shard writes the spans found in it.
+    """
+    spark = docs.sparkSession
+    stash = Stash(spark, "reference")
+    rows = stash.keep(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    shards = stash.keep(build_shards(reference, shard_words).withColumn("place", F.monotonically_increasing_id()), "shards")
+    spans_schema, any_shard = "row bigint, start int, end int", False
+    for (place,) in shards.select("place").toLocalIterator():
+        sent = spark.sparkContext.broadcast(shards.filter(F.col("place") == place).head().automaton)  # at most one shard
+
+        def run(batches, sent=sent):
             a = SuffixAutomaton()
-            a.next, a.link, a.length = b.value
-            automata.append(a)
+            a.next, a.link, a.length = pickle.loads(sent.value)
+            for batch in batches:
+                for lo, hi, data, at in tk.blocks(batch.column(1)):
+                    words, out = tk.Words(data, at), []
+                    for i in range(hi - lo):
+                        lengths = a.statistics(words.hash[words.first[i] : words.first[i + 1]].tolist())
+                        drop = np.concatenate([[0], covered(lengths, least).astype(np.int8), [0]])
+                        turns = np.flatnonzero(np.diff(drop)).tolist()
+                        out += [(batch.column(0)[lo + i].as_py(), s, e) for s, e in zip(turns[::2], turns[1::2], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["row", "start", "end"])
+
+        stash.keep(rows.select("row", "text").mapInArrow(run, spans_schema), f"spans/shard={place}")
+        any_shard = True
+        sent.unpersist()
+    found = spark.read.schema(spans_schema).parquet(stash.path("spans")) if any_shard else spark.createDataFrame([], spans_schema)
+    spans = found.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+    def remove(batches):
         for batch in batches:
             for lo, hi, data, at in tk.blocks(batch.column(1)):
                 words = tk.Words(data, at)
-                drop = np.zeros(len(words), bool)
+                change = np.zeros(len(words) + 1, np.int64)
                 for i in range(hi - lo):
-                    own = words.hash[words.first[i] : words.first[i + 1]].tolist()
-                    for a in automata:
-                        drop[words.first[i] : words.first[i + 1]] |= covered(a.statistics(own), least)
-                yield _result(batch.column(0).slice(lo, hi - lo), data, words, drop)
+                    for span in batch.column(2)[lo + i].as_py() or ():
+                        change[words.first[i] + span["start"]] += 1
+                        change[words.first[i] + span["end"]] -= 1
+                yield _result(batch.column(0).slice(lo, hi - lo), data, words, np.cumsum(change[:-1]) > 0)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(remove, SCHEMA)
 
 
 def names_of(words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +209,7 @@ def names_of(words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def earlier_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts): word positions of the windows that also start in a document of a smaller doc_id."""
+    """(doc_id, windows): hashes of the windows that also start in a document of a smaller doc_id."""
     stash = Stash(docs.sparkSession, "substring")
 
     def names(batches):
@@ -202,41 +238,51 @@ def earlier_windows(docs: DataFrame) -> DataFrame:
                 words = tk.Words(data, at)
                 starts, name = names_of(words)
                 row = words.rows()[starts]
-                wanted = batch.column(2).slice(lo, hi - lo)
-                size = wanted.value_lengths().to_numpy(zero_copy_only=False)
-                salt = lambda r: tk.mix(r.astype(np.uint64) + np.uint64(1))
-                keys = np.unique(wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ salt(np.repeat(np.arange(hi - lo), size)))
-                own = name ^ salt(row)
-                spot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                hit = keys[spot] == own
+                hit = among(row, name, batch.column(2).slice(lo, hi - lo))
                 starts, row = starts[hit], row[hit]
-                value = tk.Rolling(words.hash).of(starts, starts + WINDOW)
+                rolling = tk.Rolling(words.hash)
+                value = rolling.of(starts, starts + WINDOW)
+                order = np.lexsort((value, row))  # each window of a row once
+                fresh = np.append(True, (row[order][1:] != row[order][:-1]) | (value[order][1:] != value[order][:-1]))[: len(order)]
+                starts, row, value = starts[order][fresh], row[order][fresh], value[order][fresh]
+                check = tk.Rolling(tk.mix(words.hash)).of(starts, starts + WINDOW)
                 ids = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((starts - words.first[row]).astype(np.int32)), pa.array(value.view(np.int64))], ["doc_id", "start", "window"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(value.view(np.int64)), pa.array(check.view(np.int64))], ["doc_id", "window", "check"])
+
+    window = stash.keep(rows.join(asked, "doc_id").select("doc_id", "text", "names").mapInArrow(windows, "doc_id bigint, window bigint, check bigint"), "windows")
+    first = window.groupBy("window", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("window", "check", "lo")
+    again = window.join(first, ["window", "check"]).filter("doc_id > lo").select("doc_id", "window")
+    return stash.keep(again.groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "again")
+
 
-    window = stash.keep(rows.join(asked, "doc_id").select("doc_id", "text", "names").mapInArrow(windows, "doc_id bigint, start int, window bigint"), "windows")
-    first = window.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("window", "lo")
-    again = window.join(first, "window").filter("doc_id > lo").select("doc_id", "start")
-    return stash.keep(again.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "starts")
+def among(row: np.ndarray, value: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Flags of the values that the list of their row holds; a null list holds none."""
+    size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    salt = lambda r: tk.mix(r.astype(np.uint64) + np.uint64(1))
+    keys = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ salt(np.repeat(np.arange(len(lists)), size)))
+    if not len(keys) or not len(row):
+        return np.zeros(len(row), bool)
+    own = value ^ salt(row)
+    return keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
-    """SCHEMA over every row of ``docs``."""
-    starts = earlier_windows(docs)
+    """SCHEMA over every row of ``docs``. A row loses the windows of its own text that were found again
+    under its doc_id, so rows that share a doc_id do not take each other's."""
+    again = earlier_windows(docs)
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, at in tk.blocks(batch.column(1)):
                 words = tk.Words(data, at)
-                wanted = batch.column(2).slice(lo, hi - lo)
-                size = np.nan_to_num(wanted.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                begin = wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.first[:-1], size)
+                starts, value = words.windows(WINDOW)
+                begin = starts[among(words.rows()[starts], value, batch.column(2).slice(lo, hi - lo))]
                 change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, begin, 1)
-                np.add.at(change, begin + WINDOW, -1)
+                change[begin] += 1
+                change[begin + WINDOW] -= 1
                 yield _result(batch.column(0).slice(lo, hi - lo), data, words, np.cumsum(change[:-1]) > 0)
 
-    return docs.select("doc_id", "text").join(starts, "doc_id", "left").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").join(again, "doc_id", "left").mapInArrow(run, SCHEMA)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
