@@ -1,62 +1,166 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
-Each rule's regular expression gives a Boolean query of trigrams that any match must contain: an OR of
-alternatives, each an AND. The index holds, for the trigrams that occur in some query, the documents
-that contain them; postings are intersected by document, and only candidates are verified with the
-rule's expression. A rule without mandatory trigrams scans every text.
-
-Defined results: a null text is an empty one; rows repeated with one doc_id give one row each; a null
-doc_id is scanned in full by every rule; an empty table gives an empty result; extra columns are ignored.
+Each rule's regular expression is parsed into a Boolean query of trigrams that any match must contain, in
+lower case: literals and small classes give sets of exact strings, sequences join them, alternations unite
+them, and what cannot be listed (wide classes, repeats) ends a string. The index holds, for the trigrams
+that occur in some query, the documents that contain them; postings are intersected by document, and only
+candidates are verified with the rule's expression. A rule without mandatory trigrams scans every text.
+
+Defined results: a null text is an empty one; rows repeated with one doc_id give one row each, and are
+candidates of what any of their texts is; a null doc_id is scanned in full by every rule; an empty table
+gives an empty result; texts of any length are scanned whole; extra columns are ignored by the query, and
+kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
+from re import _constants as rc
+from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import table
+from quarry.llm.shared import table, unused
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``words``: literals in either case, one of which every match contains, as alternatives of ANDed
-    parts; empty: scan fully. ``secret``: the group that ``least`` measures; 0 is the whole match."""
+    """``secret``: the group that ``least`` measures; 0 is the whole match."""
 
     kind: str
     pattern: str
-    words: tuple[tuple[str, ...], ...] = ()
     secret: int = 0
     least: int = 1
 
 
 #: The base rules of the contract, in its order, then the rules that the method adds.
 BASE = (
-    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (("password",), ("passwd",), ("secret",), ("token",), ("api", "key")), 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", (("akia",),), 0, 18),
-    Rule("hex", r"[0-9a-f]{16,}", (), 0, 16),
-)
+    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
+    Rule("hex", r"[0-9a-f]{16,}", 0, 16),
+)
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", (("-----begin ", "private key-----"),)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xox",),)),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", (("aiza",),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", (("eyj", ".eyj"),)),
-    Rule("bearer", r"(?i)bearer\x20+([A-Za-z0-9._~+/-]{20,}=*)", (("bearer",),)),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{1,64}@", (("://",),)),
-)
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("bearer", r"(?i)bearer\x20+([A-Za-z0-9._~+/-]{20,}=*)"),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/@]+@"),
+)
 RULES = BASE + MORE
 
-
-def trigrams(words: tuple[str, ...]) -> list[str]:
-    """The trigrams that a text must hold to contain all the words."""
-    return sorted({w[i : i + 3] for w in words for i in range(len(w) - 2)})
-
-
-def queries_of(rules: tuple[Rule, ...]) -> list[tuple[str, list[str]]]:
-    """(kind, trigrams): a document is a candidate of the kind if it holds them all."""
-    return [(r.kind, trigrams(part)) for r in rules for part in r.words]
+#: Strings that are listed at once, and characters of a class that is listed.
+STRINGS, LETTERS = 32, 12
+
+
+def both(parts: list):
+    """AND of queries; a query is True, a trigram, or ("and" | "or", queries)."""
+    parts = sorted({p for p in parts if p is not True}, key=repr)
+    return True if not parts else parts[0] if len(parts) == 1 else ("and", tuple(parts))
+
+
+def either(parts: list):
+    """OR of queries; one that asks for all that another does, and more, is left out."""
+    if any(p is True for p in parts):
+        return True
+    parts = set(parts)
+    flat = {p: frozenset(p[1]) if isinstance(p, tuple) and p[0] == "and" else frozenset([p]) for p in parts}
+    parts = sorted((p for p in parts if not any(flat[q] < flat[p] for q in parts)), key=repr)
+    return parts[0] if len(parts) == 1 else ("or", tuple(parts))
+
+
+def strings_query(strings: set[str]):
+    """What a text holds that has one of the strings."""
+    return either([both([s[i : i + 3] for i in range(len(s) - 2)]) for s in strings])
+
+
+def _letters(items) -> set[str] | None:
+    """The lower-case characters of a class, or None if they are many."""
+    out: set[str] = set()
+    for op, value in items:
+        if op is rc.LITERAL:
+            out.add(chr(value).lower())
+        elif op is rc.RANGE and value[1] - value[0] < LETTERS:
+            out |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
+        else:
+            return None
+    return out if len(out) <= LETTERS else None
+
+
+def _node(op, value) -> tuple[set[str] | None, object]:
+    """(all strings that the node matches, or None; query of any match)."""
+    if op is rc.LITERAL:
+        return {chr(value).lower()}, True
+    if op is rc.IN:
+        return _letters(value), True
+    if op is rc.SUBPATTERN:
+        return _sequence(value[3])
+    if op is rc.BRANCH:
+        parts = [_sequence(p) for p in value[1]]
+        if all(p[0] is not None for p in parts) and sum(len(p[0]) for p in parts) <= STRINGS:
+            return set().union(*(p[0] for p in parts)), True
+        return None, either([q if s is None else strings_query(s) for s, q in parts])
+    if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, rc.POSSESSIVE_REPEAT):
+        least, most, inner = value
+        strings, query = _sequence(inner)
+        if most == 1 and strings is not None:
+            return (strings if least else strings | {""}), True
+        if not least:
+            return None, True
+        return None, query if strings is None else strings_query(strings)
+    if op is rc.AT:
+        return {""}, True
+    return None, True  # any character, negated classes, look-around, references: nothing is known
+
+
+def _sequence(nodes) -> tuple[set[str] | None, object]:
+    strings, whole, queries = {""}, True, []
+
+    def flush() -> None:
+        queries.append(strings_query(strings))
+
+    def ends(op, value) -> set[str] | None:
+        """Strings that a repeat of a small class is sure to begin (or end) with, to reach over its edge."""
+        if op in (rc.MAX_REPEAT, rc.MIN_REPEAT) and value[0]:
+            found = _sequence(value[2])[0]
+            return found if found and len(found) <= LETTERS else None
+        return None
+
+    for op, value in nodes:
+        found, query = _node(op, value)
+        queries.append(query)
+        if found is not None and len(strings) * len(found) <= STRINGS:
+            strings = {a + b for a, b in product(strings, found)}
+            continue
+        edge = found if found is not None else ends(op, value)
+        if edge and len(strings) * len(edge) <= STRINGS:
+            strings = {a + b for a, b in product(strings, edge)}
+        flush()
+        whole = False
+        strings = set(edge) if edge and (found is not None or op in (rc.MAX_REPEAT, rc.MIN_REPEAT)) else {""}
+    if whole:
+        return strings, True
+    flush()
+    return None, both(queries)
+
+
+def query_of(pattern: str):
+    """The Boolean trigram query that every match of ``pattern`` implies, over lower-cased text."""
+    strings, query = _sequence(_parser.parse(pattern))
+    return query if strings is None else strings_query(strings)
+
+
+def trigrams(query) -> set[str]:
+    if query is True:
+        return set()
+    return {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
+
+
+def wanted_by(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted(set().union(*(trigrams(query_of(r.pattern)) for r in rules)))
 
 
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -64,18 +168,19 @@ def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Only these trigrams are ever asked for, so their number is fixed by the rules, not by the corpus.
     """
-    wanted = sorted({t for _, part in queries_of(rules) for t in part})
     lower = F.lower("text")
-    found = F.filter(F.array(*[F.when(lower.contains(t), F.lit(t)) for t in wanted]), lambda t: t.isNotNull())
+    found = F.filter(F.array(*[F.when(lower.contains(t), F.lit(t)) for t in wanted_by(rules)]), lambda t: t.isNotNull())
     return docs.select("doc_id", F.explode(found).alias("trigram"))
 
 
+#: Trigrams that one integer marks.
+BITS = 60
+
+
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, kinds): postings intersected by document, as one bit for each trigram."""
-    wanted = sorted({t for _, part in queries_of(rules) for t in part})
-    low, high = wanted[:60], wanted[60:120]
-    if len(wanted) > 120:
-        raise ValueError("more than 120 trigrams: split the rules over several calls")
+    wanted = wanted_by(rules)
+    place = {t: divmod(i, BITS) for i, t in enumerate(wanted)}
 
     def bits(part: list[str]) -> Column:
         at = F.lit(None).cast("bigint")
@@ -83,49 +188,69 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
             at = F.when(F.col("trigram") == t, F.lit(1 << i).cast("bigint")).otherwise(at)
         return F.coalesce(F.bit_or(at), F.lit(0).cast("bigint"))
 
-    masks = postings.groupBy("doc_id").agg(bits(low).alias("m0"), bits(high).alias("m1"))
+    groups = [wanted[i : i + BITS] for i in range(0, len(wanted), BITS)]
+    masks = postings.groupBy("doc_id").agg(*[bits(part).alias(f"m{g}") for g, part in enumerate(groups)] or [F.count(F.lit(1))])
 
-    def holds(part: list[str]) -> Column:
-        need0 = sum(1 << low.index(t) for t in part if t in low)
-        need1 = sum(1 << high.index(t) for t in part if t in high)
-        return (F.col("m0").bitwiseAND(F.lit(need0).cast("bigint")) == need0) & (F.col("m1").bitwiseAND(F.lit(need1).cast("bigint")) == need1)
+    def holds(query) -> Column:
+        if isinstance(query, str):
+            g, i = place[query]
+            return F.col(f"m{g}").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
+        out = holds(query[1][0])
+        for part in query[1][1:]:
+            out = (out & holds(part)) if query[0] == "and" else (out | holds(part))
+        return out
 
-    kinds = F.array_distinct(F.filter(F.array(*[F.when(holds(part), F.lit(kind)) for kind, part in queries_of(rules)]), lambda k: k.isNotNull()))
+    asked = [(r.kind, query_of(r.pattern)) for r in rules]
+    kinds = F.filter(F.array(*[F.when(holds(q), F.lit(kind)) for kind, q in asked if q is not True], F.lit(None).cast("string")), lambda k: k.isNotNull())
     return masks.select("doc_id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+def running(values: Column, join, start: int) -> Column:
+    """Inclusive running sums (or whatever ``join`` does) of an array of integers, in log2(n) passes over it."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int"))
+
+    def double(acc: Column, k: Column) -> Column:
+        back = lambda i: i - F.pow(F.lit(2), k).cast("int")
+        return F.transform(acc, lambda v, i: join(v, F.when(back(i) >= 0, F.get(acc, back(i))).otherwise(F.lit(start))))
+
+    return F.aggregate(steps, values, double)
+
+
+NONE = "array<struct<start:int,place:int,kind:string,end:int>>"
+
+
 def spans_of(text: Column, rule: Rule, place: int) -> Column:
     """array<struct<start, place, kind, end>> of a rule's matches, in code points, end exclusive.
 
     What stands between matches and the matches themselves, read in turn, give the positions.
     """
     pattern = F.lit(rule.pattern)
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"), F.regexp_extract_all(text, pattern, F.lit(rule.secret)).alias("secret"))
-    none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
+    size = lambda xs: F.transform(xs, lambda x: F.length(x))
+    secret = F.regexp_extract_all(text, pattern, F.lit(rule.secret))
+    # one array is worked out once as the fold's start, and then taken apart
+    parts = F.arrays_zip(size(F.split(text, rule.pattern, -1)).alias("gap"), size(F.regexp_extract_all(text, pattern, F.lit(0))).alias("hit"), size(secret).alias("secret"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        hit = x["hit"].isNotNull() & (F.length(x["secret"]) >= rule.least)
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(hit, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def place_all(xs: Column) -> Column:
+        ends = running(F.transform(xs, lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0))), lambda a, b: a + b, 0)
+        spans = F.zip_with(xs, ends, lambda x, e: F.when(x["secret"] >= rule.least, F.struct((e - x["hit"]).alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), e.alias("end"))))
+        return F.filter(spans, lambda s: s.isNotNull())
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    found = F.flatten(F.transform(F.array(parts), place_all))
+    return F.when(text.rlike(rule.pattern), found.cast(NONE)).otherwise(F.array().cast(NONE))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``found``: all spans of the rules by start, then by the rules' order."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "found") -> DataFrame:
+    """``docs`` with ``name``: all spans of the rules by start, then by the rules' order; null texts become empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    hits = candidates(index(docs, rules), rules).withColumnRenamed("doc_id", "_doc").withColumnRenamed("kinds", "_kinds")
-    joined = docs.withColumn("text", text).join(hits, F.col("doc_id") == F.col("_doc"), "left")
-    none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
+    doc, kinds = unused(docs, "_doc", "_kinds")
+    hits = candidates(index(docs, rules), rules).withColumnRenamed("doc_id", doc).withColumnRenamed("kinds", kinds)
+    joined = docs.withColumn("text", text).join(hits, F.col("doc_id") == F.col(doc), "left")
     arrays = []
     for place, rule in enumerate(rules):
         every = spans_of(F.col("text"), rule, place)
-        asked = F.array_contains("_kinds", rule.kind) | F.col("doc_id").isNull()
-        arrays.append(every if not rule.words else F.when(asked, every).otherwise(none))
-    return joined.withColumn("found", F.array_sort(F.concat(*arrays))).drop("_doc", "_kinds")
+        asked = F.array_contains(kinds, rule.kind) | F.col("doc_id").isNull()
+        arrays.append(every if query_of(rule.pattern) is True else F.when(asked, every).otherwise(F.array().cast(NONE)))
+    return joined.withColumn(name, F.array_sort(F.concat(*arrays))).drop(doc, kinds)
 
 
 def joined_spans(found: Column) -> Column:
@@ -141,23 +266,30 @@ def op10_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by one) and n_chars set anew."""
-    found = scan(docs)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring("text", acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    clean = found.withColumn("text", F.when(F.size("found") > 0, done).otherwise(F.col("text")))
+    (name,) = unused(docs, "found")
+    found = scan(docs, name=name)
+    ends = running(F.transform(name, lambda s: s["end"]), lambda a, b: F.greatest(a, b), 0)
+    known = F.zip_with(name, ends, lambda s, e: F.struct(s["start"].alias("start"), e.alias("end")))
+
+    def replaced(xs: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(xs, i - 1)["end"]).otherwise(F.lit(0))
+        # a span that begins within one before it adds nothing of its own
+        pieces = F.transform(xs, lambda x, i: F.when(x["start"] >= before(i), F.concat(F.substring("text", before(i) + 1, x["start"] - before(i)), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), F.substring("text", F.element_at(xs, -1)["end"] + 1, F.length("text")))
+
+    done = F.element_at(F.transform(F.array(known), replaced), 1)
+    clean = found.withColumn("text", F.when(F.size(name) > 0, done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return clean.select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: secrets are replaced by a mark; every document stays."""
+    """Pipeline stage: secrets are replaced by a mark; every document stays.
+
+    Null texts become empty ones; repeated rows and rows without a doc_id are redacted each by itself; an
+    empty table gives an empty one; all columns, whatever their names, are kept, n_chars set anew.
+    """
     return redact(docs)
 
 
