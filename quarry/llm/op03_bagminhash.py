@@ -1,26 +1,33 @@
 """MinHash near-dedup: BagMinHash signatures of shingle multisets, bands, and verified overlap.
 
 A document is the multiset of its shingles of five words. The weight axis of a shingle is cut at
-1, 2, 4, 8, ...; each interval below its count carries a Poisson process over (time, weight, signature
-slot) that depends only on shingle and interval. Points above the count are thinned out, which splits
-the last interval at the discretisation step of 1, so the same point is seen or not seen by each
-document according to its count alone. A slot keeps its earliest point; two signatures agree in a slot
-with a probability that equals the weighted Jaccard similarity. All shingles of a block advance one
-point at a time until no later point can be the earliest of any slot.
+1, 2, 4, 8, ...; each dyadic interval below its count carries a Poisson process over (time, weight,
+signature slot) that depends only on shingle and interval. The hierarchy is this dyadic cut: an interval
+that the count cuts is not split further, its points above the count are thinned out instead, which is
+the same process at the discretisation step of 1 and costs at most twice the points of the last interval.
+So the same point is seen or not seen by each document according to its count alone. A slot keeps its
+earliest point; two signatures agree in a slot with a probability that equals the weighted Jaccard
+similarity. All shingles of a block advance one point at a time until no later point can be the earliest
+of any slot; a count of c has log2(c) + 1 processes.
 
 Whole-text copies are folded first. Signatures are cut into bands. Shingles that no other candidate has
-cannot overlap, so they bound every similarity from above: documents with too many are set aside, and
-the member with the least share of them is its bucket's centre. Centres are verified against their
-members by the shingle multisets themselves, and components are built. Buckets that still hold several
-components compare their members with their most central ones, and then, where the bound allows a link,
-all members of different components that share a shingle which few candidates have, or whose other
-shingles alone could reach the threshold, until nothing changes:
-no possible link between components is skipped, and members of one component are not paired again.
+cannot overlap, which bounds every similarity from above: documents with too many are set aside. Links
+are found in three turns, each followed by the components of the links so far:
+1. every document with one other: of the centres of its buckets (in one order over all documents, so the
+   buckets of a group have the same few) the first;
+2. every document with the other centres of its buckets, where their components differ;
+3. in buckets that still hold several components, documents of different components that share a shingle
+   among their rarest: two multisets that reach the threshold must share one of the first
+   n - ceil(threshold * n) + 1 shingles of each in any common order (prefix filter), and have enough left
+   from there on, so no link is missed, and frequent shingles and those of one component are not among them.
+The first two turns make at most a number of pairs for each document; the third joins what is left by rare
+shingles only; members of one component are not paired again.
 
 Defined results: null texts equal empty texts; texts without words are a class by whole text; texts of
-one to four words are one shingle; rows repeated with the same doc_id are one document; rows without a
-doc_id carry no class and are left out of the query, but not of the pipeline's stage, which gives every
-row a key of its own; extra columns are ignored (stage: kept).
+one to four words are one shingle; a document is a doc_id with a text, so repeated rows are one document,
+and different texts under one doc_id are documents each; rows without a doc_id are documents of their
+own, have a class by their text, and their class is named by its smallest doc_id, or, if it has none, by
+a negative number; an empty table gives an empty result; extra columns are ignored (stage: kept).
 """
 
 from __future__ import annotations
@@ -30,12 +37,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm import textkit as tk
 from quarry.llm.components import components
-from quarry.llm.shared import Stash, table
+from quarry.llm.shared import Stash, table, unused
 
 
 @dataclass(frozen=True)
@@ -47,8 +53,6 @@ class Params:
     bands: int = 24
     slots: int = 4
     seed: int = 7
-    centres: int = 4
-    few: int = 8
 
     @property
     def size(self) -> int:
@@ -194,82 +198,110 @@ def _possible(p: Params) -> F.Column:
     return most >= F.lit(p.threshold) * (F.col("na") + F.col("nb") - most) - 1e-9
 
 
-def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """(doc_id, class_id, rep_id, is_class_rep, n_class): class_id is the smallest doc_id of the class.
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rare_pairs(open_: DataFrame, each: DataFrame, p: Params) -> DataFrame:
+    """Pairs of ``open_`` (doc_id, root, n) in different components that could reach the threshold.
 
-    ``rep_id`` is the smallest document with the very same text.
+    ``each`` (doc_id, item) has the shingles. Those of one component only come first in a document's order,
+    then the others from the rarest on. A pair is met at the first shingle that both have; from there on
+    neither may have fewer left than the overlap that the threshold asks for (prefix and positional filter).
     """
-    p, spark = params, docs.sparkSession
-    stash = Stash(spark, "near-dedup")
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.groupBy("doc_id").agg(F.min(F.sha2("text", 256)).alias("digest"))
-    folded = ids.groupBy("digest").agg(F.min("doc_id").alias("rep_id"))
-    member = stash.keep(ids.join(folded, "digest").select("doc_id", "rep_id"), "member")
+    held = each.join(open_, "doc_id")
+    split = held.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("item", "holders")
+    ranked = held.join(split, "item").groupBy("doc_id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "item"))).alias("items"))
+    length = F.col("n") - F.ceil(F.lit(p.threshold) * F.col("n") - 1e-9) + 1
+    own = F.col("n") - F.size("items")
+    prefix = F.slice("items", F.lit(1), F.greatest(length - own, F.lit(0)).cast("int"))
+    first = ranked.select("doc_id", "root", "n", own.alias("own"), F.posexplode(prefix).alias("place", "x"))
+    first = first.select("doc_id", "root", "n", (F.col("n") - F.col("own") - F.col("place")).alias("left"), "x.item")
+    one = first.select("item", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"))
+    two = first.select("item", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    enough = F.least("la", "lb") * (1 + p.threshold) >= F.lit(p.threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    return one.join(two, "item").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough).select("a", "b").distinct()
+
+
+def _roots(rows: DataFrame, chosen: DataFrame, p: Params, stash: Stash) -> DataFrame:
+    """(node, root) of the rows (doc_id, text) among ``chosen`` (doc_id), of which no two have the same text,
+    that are linked with another. Texts are shuffled once, to meet the ids of bucket members."""
     bands = stash.keep(_banded(rows, p), "bands")
-    # copies of a text have the same bands: only representatives go on
-    band = bands.join(member.filter("doc_id = rep_id"), "doc_id").select("doc_id", F.explode("bands").alias("band")).distinct()
+    band = bands.join(chosen, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
     crowd = band.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("band")
     bucket = stash.keep(band.join(crowd, "band"), "bucket")
     stash.drop("bands")
-    needed = bucket.select("doc_id").distinct()
-    items = stash.keep(_multisets(rows.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), p), "items")
-    # u: shingles that one candidate alone has; v: those that few have
+    items = stash.keep(_multisets(rows.join(bucket.select("doc_id").distinct(), "doc_id", "left_semi"), p), "items")
     each = items.select("doc_id", F.explode("items").alias("item"))
-    few = each.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") <= p.few)
-    scarce = each.join(few, "item").groupBy("doc_id").agg(F.count_if(F.col("holders") == 1).alias("u"), F.count(F.lit(1)).alias("v"))
-    traits = items.select("doc_id", F.size("items").cast("bigint").alias("n")).join(scarce, "doc_id", "left")
-    traits = traits.select("doc_id", "n", F.coalesce("u", F.lit(0)).alias("u"), F.coalesce("v", F.lit(0)).alias("v"))
+    # u: shingles that one candidate alone has
+    lone = each.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("doc_id")).filter("holders = 1")
+    lone = lone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
+    traits = items.select("doc_id", F.size("items").cast("bigint").alias("n")).join(lone, "doc_id", "left").select("doc_id", "n", F.coalesce("u", F.lit(0)).alias("u"))
     # a document with too many of its own is like no other
-    traits = traits.filter(F.col("n") - F.col("u") >= F.lit(p.threshold) * F.col("n") - 1e-9)
-    bucket = stash.keep(bucket.join(traits, "doc_id"), "able")
-    # the member with the least of its own is the centre of its bucket
-    centre = bucket.groupBy("band").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"))).alias("c")).select("band", "c.a", "c.na", "c.ua")
-    pairs = bucket.select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub")).join(centre, "band").filter(F.col("a") != F.col("b")).filter(_possible(p))
-    pairs = stash.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = stash.keep(_verified(pairs, items, p), "links-0")
-    seen, turn = pairs, 0
-    root = components(links, stash, "turn-0")
-    while True:
-        turn += 1
-        tagged = bucket.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", "u", "v", F.coalesce("root", "doc_id").alias("root"))
-        mixed = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-        open_ = stash.keep(tagged.join(mixed, "band"), f"open-{turn}")
-        # what may still link different components of a bucket: first with its most central members only,
-        # then every two that share a shingle that few have, or that can do without any such shingle
-        bound = "u" if turn == 1 else "v"
-        one = open_.select("band", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col(bound).alias("ua"))
-        two = open_.select("band", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col(bound).alias("ub"))
-        apart = (F.col("ra") != F.col("rb")) & _possible(p)
-        if turn == 1:
-            order = W.partitionBy("band").orderBy(F.col("ua") / F.col("na"), "a")
-            one = one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= p.centres).drop("place")
-        else:  # each pair in the least of the buckets that it shares; a document has one bucket in each band
-            of = open_.groupBy("doc_id").agg(F.collect_list("band").alias("bands"))
-            one = one.join(of.select(F.col("doc_id").alias("a"), F.col("bands").alias("bands_a")), "a")
-            two = two.join(of.select(F.col("doc_id").alias("b"), F.col("bands").alias("bands_b")), "b")
-            apart = apart & (F.col("a") < F.col("b")) & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band"))
-        fresh = one.withColumnRenamed("band", "band_a").join(two, (F.col("band_a") == F.col("band")) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        if turn > 1:
-            held = each.join(open_.select("doc_id", "root").distinct(), "doc_id")
-            split = held.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter((F.col("holders") <= p.few) & (F.col("lo") < F.col("hi"))).select("item")
-            held = stash.keep(held.join(split, "item"), f"held-{turn}")
-            x, y = held.select("item", F.col("doc_id").alias("a"), F.col("root").alias("ra")), held.select("item", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-            fresh = fresh.unionByName(x.join(y, "item").filter("ra <> rb AND a < b").select("a", "b"))
-        fresh = stash.keep(fresh.distinct().join(seen, ["a", "b"], "left_anti"), f"fresh-{turn}")
-        if not fresh.limit(1).count():
-            if turn == 1:
-                continue
-            break
-        found = stash.keep(_verified(fresh, items, p), f"links-{turn}")
-        seen = seen.unionByName(fresh)
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            root = components(links, stash, f"turn-{turn}")
-        elif turn > 1:
-            break
-    classes = member.join(root.select(F.col("node").alias("rep_id"), "root"), "rep_id", "left").select("doc_id", "rep_id", F.coalesce("root", "rep_id").alias("class_id"))
-    size = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_class"))
-    return classes.join(size, "class_id").select("doc_id", "class_id", "rep_id", (F.col("doc_id") == F.col("class_id")).alias("is_class_rep"), "n_class")
+    able = stash.keep(bucket.join(traits.filter(F.col("n") - F.col("u") >= F.lit(p.threshold) * F.col("n") - 1e-9), "doc_id"), "able")
+    stash.drop("bucket")
+    bucket = able
+    # the member with the least of its own is the centre of its bucket, in an order that all buckets share
+    order = F.struct((F.col("u") / F.col("n")).alias("share"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"))
+    centre = bucket.groupBy("band").agg(F.min(order).alias("c"))
+    member = bucket.select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"))
+    asked = member.join(centre, "band").select("b", "nb", "ub", "c", "c.*").filter(F.col("a") != F.col("b")).filter(_possible(p))
+    asked = stash.keep(asked.select("b", "c").distinct(), "asked")
+    pairs = stash.keep(_ordered(asked.groupBy("b").agg(F.min("c").alias("c")).select("b", "c.a")), "pairs-1")
+    links = stash.keep(_verified(pairs, items, p), "links-1")
+    root = components(links, stash, "turn-1")
+
+    def of(name: str) -> DataFrame:
+        return root.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+
+    rest = asked.select("b", "c.a").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    pairs = stash.keep(_ordered(rest.select("a", "b")).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+    found = stash.keep(_verified(pairs, items, p), "links-2")
+    if found.limit(1).count():
+        links = links.unionByName(found)
+        root = components(links, stash, "turn-2")
+    tagged = bucket.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    mixed = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    open_ = stash.keep(tagged.join(mixed, "band").select("doc_id", "root", "n").distinct(), "open")
+    found = stash.keep(_verified(_rare_pairs(open_, each, p), items, p), "links-3")
+    if found.limit(1).count():
+        root = components(links.unionByName(found), stash, "turn-3")
+    return root
+
+
+def keyed(docs: DataFrame, key: str, stash: Stash) -> DataFrame:
+    """``docs`` with a key of each row: its doc_id where that is one, else a number, written to stay with its row."""
+    n, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).head()
+    if n == distinct:
+        return docs.withColumn(key, F.col("doc_id"))
+    return stash.keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+
+
+def row_classes(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """(row, doc_id, rep, root) of every row of ``rows`` (row, doc_id, text), ``row`` a key: the least row with
+    the same text, and the least of all with texts linked to it."""
+    stash = Stash(rows.sparkSession, "near-dedup")
+    text = F.coalesce("text", F.lit(""))
+    ids = rows.select("row", "doc_id", F.sha2(text, 256).alias("digest"))
+    member = stash.keep(ids.join(ids.groupBy("digest").agg(F.min("row").alias("rep")), "digest").select("row", "doc_id", "rep"), "member")
+    # copies of a text are alike whatever their signatures: only one goes on
+    root = _roots(rows.select(F.col("row").alias("doc_id"), text.alias("text")), member.filter("row = rep").select(F.col("row").alias("doc_id")), params, stash)
+    return member.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("row", "doc_id", "rep", F.coalesce("root", "rep").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """(doc_id, class_id, rep_id, is_class_rep, n_class) of every document: class_id is the smallest doc_id of
+    the class, ``rep_id`` the smallest with the very same text."""
+    stash = Stash(docs.sparkSession, "near-dedup-rows")
+    classes = row_classes(keyed(docs.select("doc_id", "text"), "row", stash), params)
+    one = F.when(F.col("doc_id").isNull(), F.col("row"))
+    documents = stash.keep(classes.groupBy("doc_id", "rep", one.alias("one")).agg(F.min("root").alias("root")), "documents")
+    name = lambda key: F.coalesce(F.min("doc_id"), -1 - F.first(key))
+    same = documents.groupBy("rep").agg(name("rep").alias("rep_id"))
+    whole = documents.groupBy("root").agg(name("root").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
+    out = documents.join(same, "rep").join(whole, "root")
+    return out.select("doc_id", "class_id", "rep_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_class_rep"), "n_class")
 
 
 def op3_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,12 +313,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are classed by their texts under keys of their own, so rows without a doc_id take part (and stay
     only where no row with one is like them), repeated rows leave one, and different texts under one
-    doc_id are judged each for itself.
+    doc_id are judged each for itself. Null and empty texts are copies of each other. An empty table gives
+    an empty one; all columns, whatever their names, are kept.
     """
     stash = Stash(spark, "keep-one")
-    # written, so that a key stays with its row
-    rows = stash.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    classes = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row")))
-    stay = rows.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(least.alias("first")).select("first._row")
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    (key,) = unused(docs, "row")
+    rows = keyed(docs, key, stash)
+    classes = row_classes(rows.select(F.col(key).alias("row"), "doc_id", "text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")))
+    stay = classes.groupBy("root").agg(least.alias("first")).select(F.col("first.row").alias(key))
+    return rows.join(stay, key, "left_semi").select(*docs.columns)
