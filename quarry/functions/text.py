@@ -25,6 +25,15 @@ TOKEN = r"[A-Za-z][A-Za-z'\-]*|\d+(?:\.\d+)?|[^\sA-Za-z\d]"
 WORD_OR_NUMBER = r"[A-Za-z][A-Za-z'\-]*|\d+(?:\.\d+)?"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, wherever and however often ``body`` uses it.
+
+    Spark puts the expression of a column in each place that names it, and so once for each element of an
+    array whose function names it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Control characters to spaces, runs of blanks to one, at most one empty line, trimmed."""
     text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
@@ -66,23 +75,32 @@ def question(text: Column) -> Column:
     return strip(F.regexp_replace(flat, r"^\?+|\?+$", ""))
 
 
+def forms(raw: Column) -> Column:
+    """The terms of one token: words of letters are lower-cased and add one folded form."""
+    low = F.lower(raw)
+    n = F.length(low)
+    cut = lambda k: F.substring(low, F.lit(1), n - k)
+    folded = (
+        F.when(low.endswith("ies") & (n > 5), F.array(low, F.concat(cut(3), F.lit("y"))))
+        .when(low.endswith("sses"), F.array(low, cut(2)))
+        .when(low.endswith("s") & ~low.rlike("(ss|us|is)$"), F.array(low, cut(1)))
+        .when(~low.endswith("s") & low.endswith("ing") & (n > 6), F.array(low, cut(3)))
+        .otherwise(F.array(low))
+    )
+    return F.when(~raw.rlike(r"^\p{L}+$"), F.array(raw)).when(n < 2, F.array(low)).otherwise(folded)
+
+
+def raw_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
-    """Tokens of sparse retrieval; words of letters are lower-cased and add one folded form."""
-
-    def fold(raw: Column) -> Column:
-        low = F.lower(raw)
-        n = F.length(low)
-        cut = lambda k: F.substring(low, F.lit(1), n - k)
-        folded = (
-            F.when(low.endswith("ies") & (n > 5), F.array(low, F.concat(cut(3), F.lit("y"))))
-            .when(low.endswith("sses"), F.array(low, cut(2)))
-            .when(low.endswith("s") & ~low.rlike("(ss|us|is)$"), F.array(low, cut(1)))
-            .when(~low.endswith("s") & low.endswith("ing") & (n > 6), F.array(low, cut(3)))
-            .otherwise(F.array(low))
-        )
-        return F.when(~raw.rlike(r"^\p{L}+$"), F.array(raw)).when(n < 2, F.array(low)).otherwise(folded)
-
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), fold))
+    """Tokens of sparse retrieval, within a row."""
+    return F.flatten(F.transform(raw_tokens(text), forms))
+
+
+def distinct_tokens(text: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(raw_tokens(text)), forms)))
 
 
 def words_and_numbers(text: Column) -> Column:

@@ -47,11 +47,15 @@ def compress(sentences: Column, asked: Column, most: int = 6, floor: float = 0.0
 
     Few sentences stay whole. Earlier ones get a little more, so ties go to them.
     """
-    n = F.size(sentences)
-    scored = F.transform(
-        sentences,
-        lambda s, i: F.struct((-(F.size(F.array_intersect(asked, tx.tokens(s))) / F.greatest(F.size(asked), F.lit(1)) + 0.12 * (1 - i / (2 * n)))).alias("score"), i.alias("i"), s.alias("s")),
-    )
-    best = F.filter(F.slice(F.array_sort(scored), 1, most), lambda x: x["score"] < -floor)
-    ordered = F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
-    return F.when(n <= most, sentences).otherwise(F.transform(ordered, lambda x: x["s"]))
+
+    def pick(v: Column) -> Column:
+        n, wanted = F.size(v["s"]), v["asked"]
+        scored = F.transform(
+            v["s"],
+            lambda s, i: F.struct((-(F.size(F.array_intersect(wanted, tx.tokens(s))) / F.greatest(F.size(wanted), F.lit(1)) + 0.12 * (1 - i / (2 * n)))).alias("score"), i.alias("i"), s.alias("s")),
+        )
+        best = F.filter(F.slice(F.array_sort(scored), 1, most), lambda x: x["score"] < -floor)
+        ordered = F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
+        return F.when(n <= most, v["s"]).otherwise(F.transform(ordered, lambda x: x["s"]))
+
+    return tx.let(F.struct(sentences.alias("s"), asked.alias("asked")), pick)

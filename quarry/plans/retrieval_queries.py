@@ -35,9 +35,9 @@ TOP = "SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *,
 add("r05_bm25_search", lambda spark, d: bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d)), 10), SCORE + TOP.replace("{}", ""))
 add("r05_bm25_filtered", lambda spark, d: bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d), F.col("source").isin("src1", "src2")), 10), SCORE + TOP.replace("{}", "JOIN documents USING (doc_id) WHERE source IN ('src1', 'src2')"))
 add("a15_term_frequency", lambda spark, d: bm25.postings(docs_of(spark, d)), POST + " SELECT doc_id, term, tf FROM post")
-add("a14_document_frequency", lambda spark, d: bm25.document_frequency(bm25.postings(docs_of(spark, d))), POST + " SELECT term, df FROM df")
+add("a14_document_frequency", lambda spark, d: bm25.frequencies(docs_of(spark, d)), POST + " SELECT term, df FROM df")
 add("a16_average_length", lambda spark, d: bm25.corpus_stats(bm25.lengths(docs_of(spark, d))).select("n", F.round("avgdl", 6).alias("avgdl")), POST + " SELECT n, round(avgdl, 6) AS avgdl FROM stats")
-add("a17_idf", lambda spark, d: bm25.document_frequency(bm25.postings(docs_of(spark, d))).join(F.broadcast(docs_of(spark, d).agg(F.count(F.lit(1)).alias("n")))).select("term", F.round(bm25.idf(F.col("n"), F.col("df")), 6).alias("idf")), POST + " SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, stats")
+add("a17_idf", lambda spark, d: bm25.frequencies(docs_of(spark, d)).join(F.broadcast(docs_of(spark, d).agg(F.count(F.lit(1)).alias("n")))).select("term", F.round(bm25.idf(F.col("n"), F.col("df")), 6).alias("idf")), POST + " SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, stats")
 add("k04_index_add", lambda spark, d: bm25.postings(docs_of(spark, d).filter("doc_id % 2 = 0")).unionByName(bm25.postings(docs_of(spark, d).filter("doc_id % 2 = 1"))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), POST + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
 add("k05_index_remove", lambda spark, d: bm25.postings(docs_of(spark, d)).join(docs_of(spark, d).filter("source = 'src3'").select("doc_id"), "doc_id", "left_anti").groupBy("term").agg(F.count(F.lit(1)).alias("df")), POST + " SELECT term, count(*) AS df FROM post JOIN documents USING (doc_id) WHERE source <> 'src3' GROUP BY term")
 add("w06_first_position", lambda spark, d: docs_of(spark, d).select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("i", "term")).groupBy("doc_id", "term").agg(F.min("i").alias("first")), f"SELECT doc_id, term, CAST(min(i) AS INT) AS first FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS term FROM (SELECT doc_id, {TOKEN_SQL.format('text')} AS l FROM documents)) GROUP BY ALL")
@@ -76,21 +76,26 @@ add("r06_hybrid_retrieve", hybrid, FUSED + " SELECT * FROM top")
 add("j01_hydrate_ranked", lambda spark, d: hybrid(spark, d).join(docs_of(spark, d), F.col("item") == F.col("doc_id")).select("query_id", "rank", "doc_id", "source", F.length("text").alias("n")), FUSED + " SELECT query_id, rank, doc_id, source, CAST(length(text) AS INT) AS n FROM top JOIN documents ON item = doc_id")
 
 
-def reranked(spark, d):
-    """Local reranking of the sparse candidates: coverage, rare words, proximity, score and position."""
-    pool = bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d)), 8)
-    pool = pool.join(docs_of(spark, d), "doc_id").join(asked(spark, d).withColumnRenamed("text", "query"), "query_id")
-    pool = pool.withColumn("qt", F.filter(tx.tokens(F.col("query")), lambda t: F.length(t) > 1)).withColumn("t", tx.tokens(F.col("text")))
-    q, t = F.array_distinct("qt"), F.array_distinct("t")
+def _rerank_score(qt, t):
+    """Of a question's and a passage's tokens, with the columns score and prior."""
+    q = F.array_distinct(qt)
     rare = F.filter(q, lambda x: F.length(x) > 4)
     share = lambda part: F.size(F.array_intersect(part, t)) / F.size(part)
     coverage = F.when(F.size(q) > 0, share(q)).otherwise(0.0)
     rare_share = F.when(F.size(rare) > 0, share(rare)).otherwise(coverage)
-    spots = F.filter(F.transform("t", lambda x, i: F.when(F.array_contains("qt", x), i)), lambda i: i.isNotNull())
-    close = F.when(F.size("qt") < 2, F.when((F.size("qt") == 1) & (F.size(spots) > 0), 1.0).otherwise(0.0)).when(F.size(spots) < 2, 0.0).otherwise(F.least(F.lit(1.0), F.size("qt") / (F.array_max(spots) - F.array_min(spots) + 1)))
+    spots = F.filter(F.transform(t, lambda x, i: F.when(F.array_contains(qt, x), i)), lambda i: i.isNotNull())
+    close = tx.let(spots, lambda at: F.when(F.size(qt) < 2, F.when((F.size(qt) == 1) & (F.size(at) > 0), 1.0).otherwise(0.0)).when(F.size(at) < 2, 0.0).otherwise(F.least(F.lit(1.0), F.size(qt) / (F.array_max(at) - F.array_min(at) + 1))))
+    return 0.34 * coverage + 0.18 * rare_share + 0.16 * close + 0.10 * F.least("score", F.lit(1.0)) + 0.10 * F.col("prior")
+
+
+def reranked(spark, d):
+    """Local reranking of the sparse candidates: coverage, rare words, proximity, score and position."""
+    pool = bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d)), 8)
+    pool = pool.join(docs_of(spark, d), "doc_id").join(asked(spark, d).withColumnRenamed("text", "query"), "query_id")
     n = F.count(F.lit(1)).over(W.partitionBy("query_id"))
-    prior = 1 - (F.col("rank") - 1) / n
-    score = 0.34 * coverage + 0.18 * rare_share + 0.16 * close + 0.10 * F.least("score", F.lit(1.0)) + 0.10 * prior
+    pool = pool.withColumn("prior", 1 - (F.col("rank") - 1) / n)
+    words = F.struct(F.filter(tx.tokens(F.col("query")), lambda t: F.length(t) > 1).alias("qt"), tx.tokens(F.col("text")).alias("t"))
+    score = tx.let(words, lambda v: _rerank_score(v["qt"], v["t"]))
     phrase = F.left(F.array_join(F.filter(tx.tokens(F.col("query")), lambda x: x.rlike(r"^\p{L}+$")), " "), F.lit(60))
     score = F.when((phrase != "") & F.regexp_replace(F.lower("text"), r"\s+", " ").contains(phrase), F.least(F.lit(1.0), score + 0.12)).otherwise(score)
     out = pool.select("query_id", "doc_id", F.round(score, 6).alias("rerank"))

@@ -61,17 +61,17 @@ add("a08_report_totals", lambda s, d: T(s, d, "events").groupBy("user_id").agg(F
 
 def mastery(s, d):
     """Exponential mean of right answers in order of time; the first two count more."""
-    log = T(s, d, "events").groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", (F.col("value") > 10).cast("double").alias("ok")))).alias("log"), F.count(F.lit(1)).alias("attempts"), F.avg((F.col("value") > 10).cast("double")).alias("accuracy"), F.avg("value").alias("seconds"))
+    log = T(s, d, "events").groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", (F.col("value") > 10).cast("double").alias("ok")))).alias("log"), F.count(F.lit(1)).alias("attempts"), F.avg((F.col("value") > 10).cast("double")).alias("accuracy"), F.sum(F.round(F.col("value") * 10000).cast("bigint")).alias("total"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"))
 
     def step(a, x):
         w = F.when(a["n"] + 1 > 2, F.lit(0.4)).otherwise(F.lit(0.6))
         return F.struct((a["n"] + 1).alias("n"), F.round((1 - w) * a["m"] + w * x["ok"], 4).alias("m"))
 
-    return log.select("user_id", "event_type", "attempts", F.round(F.col("accuracy") * 100, 2).alias("accuracy"), F.round(F.round("seconds", 9), 4).alias("seconds"), F.aggregate("log", start, step, lambda a: a["m"]).alias("mastery"))
+    return log.select("user_id", "event_type", "attempts", F.round(F.col("accuracy") * 100, 2).alias("accuracy"), (F.expr("(2 * total + attempts) div (2 * attempts)") / 10000).alias("seconds"), F.aggregate("log", start, step, lambda a: a["m"]).alias("mastery"))
 
 
-MASTERY = """l AS (SELECT user_id, event_type, list({'n': 0, 'm': CASE WHEN value > 10 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END} ORDER BY ts, event_id) AS log, count(*) AS attempts, round(avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END) * 100, 2) AS accuracy, round(round(avg(value), 9), 4) AS seconds FROM events GROUP BY ALL),
+MASTERY = """l AS (SELECT user_id, event_type, list({'n': 0, 'm': CASE WHEN value > 10 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END} ORDER BY ts, event_id) AS log, count(*) AS attempts, round(avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END) * 100, 2) AS accuracy, (2 * sum(CAST(round(value * 10000) AS BIGINT)) + count(*)) // (2 * count(*)) / 10000 AS seconds FROM events GROUP BY ALL),
  m AS (SELECT user_id, event_type, attempts, accuracy, seconds, list_reduce(list_prepend({'n': 0, 'm': CAST(0.0 AS DOUBLE)}, log), lambda a, x: {'n': a.n + 1, 'm': round(CASE WHEN a.n + 1 > 2 THEN CAST(0.6 AS DOUBLE) * a.m + CAST(0.4 AS DOUBLE) * x.m ELSE CAST(0.4 AS DOUBLE) * a.m + CAST(0.6 AS DOUBLE) * x.m END, 4)}).m AS mastery FROM l)"""
 add("a10_mastery", lambda s, d: mastery(s, d).select("user_id", "event_type", "mastery"), f"WITH {MASTERY} SELECT user_id, event_type, mastery FROM m")
 add("a09_topic_accuracy", lambda s, d: mastery(s, d).select("user_id", "event_type", "accuracy"), f"WITH {MASTERY} SELECT user_id, event_type, accuracy FROM m")
