@@ -98,12 +98,13 @@ def payloads(s, d):
 add("g25_rewrite_payload", payloads, "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'topic ' || json_extract_string(props, '$.k') END AS standalone, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'a' || json_extract_string(props, '$.k') END AS keywords, event_id % 3 <> 0 AND value > 10 AS resolved FROM events")
 
 # Context, grounding, answers.
-_HEADER = F.concat(F.lit("Source: "), F.col("source"), F.lit(" | "), F.col("doc_id").cast("string"))
+def header():
+    return F.concat(F.lit("Source: "), F.col("source"), F.lit(" | "), F.col("doc_id").cast("string"))
 
 
 def contexts(s, d):
     top = bm25.best(bm25.scores(docs_of(s, d), asked(s, d)), 8).join(docs_of(s, d), "doc_id")
-    return answering.context(top.select("query_id", "rank", _HEADER.alias("header"), "text"))
+    return answering.context(top.select("query_id", "rank", header().alias("header"), "text"))
 
 
 def context_sql(source: str) -> str:
@@ -123,7 +124,7 @@ _confidence, _confidence_sql = ANSWERS["r17_confidence"]
 def search_only(s, d):
     """The whole way without compression: reranked passages, their context, and how sure it is."""
     found = reranked(s, d).join(docs_of(s, d), "doc_id")
-    body = answering.context(found.select("query_id", F.col("place").alias("rank"), _HEADER.alias("header"), "text"))
+    body = answering.context(found.select("query_id", F.col("place").alias("rank"), header().alias("header"), "text"))
     return body.join(_confidence(s, d), "query_id").select("query_id", "blocks", F.sha2("context", 256).alias("digest"), "confidence", (F.col("confidence") >= answering.FLOOR).alias("grounded"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import answer_queries, answering_queries, learning_queries, retrieval_queries, study_queries, table_queries, text_queries
+from quarry.plans import answer_queries, answering_queries, learning_queries, retrieval_queries, store_queries, study_queries, table_queries, text_queries
 
-MODULES: tuple = (text_queries, retrieval_queries, table_queries, study_queries, answer_queries, learning_queries, answering_queries)
+MODULES: tuple = (text_queries, retrieval_queries, table_queries, study_queries, answer_queries, learning_queries, answering_queries, store_queries)
 
 
 def queries() -> dict:

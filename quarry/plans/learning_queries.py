@@ -180,10 +180,16 @@ def plan_days(s, d):
 
 
 add("g10_plan_validation", lambda s, d: plan_days(s, d).select("o_custkey", "day", F.array_join("act", ",").alias("activities"), "hours"), DAYS_SQL + " SELECT o_custkey, day, array_to_string(act, ',') AS activities, hours FROM v")
-_recall = F.arrays_overlap(F.col("act"), F.array(F.lit("revise"), F.lit("quiz"), F.lit("flashcards")))
-#: In hundredths of an hour, which halves round up in.
-_share = F.expr("(CAST(round(hours * 100) AS BIGINT) * IF(array_contains(act, 'revise'), 30, 20) + 50) div 100") / 100
-add("g11_revision_share", lambda s, d: plan_days(s, d).filter(_recall).select("o_custkey", "day", _share.alias("hours")).filter("hours > 0"),
+
+
+def revision(s, d):
+    """The share of each day that is revision, in hundredths of an hour, which halves round up in."""
+    recall = F.arrays_overlap(F.col("act"), F.array(F.lit("revise"), F.lit("quiz"), F.lit("flashcards")))
+    share = F.expr("(CAST(round(hours * 100) AS BIGINT) * IF(array_contains(act, 'revise'), 30, 20) + 50) div 100") / 100
+    return plan_days(s, d).filter(recall).select("o_custkey", "day", share.alias("hours")).filter("hours > 0")
+
+
+add("g11_revision_share", revision,
     DAYS_SQL + " SELECT * FROM (SELECT o_custkey, day, (CAST(round(hours * 100) AS BIGINT) * CASE WHEN list_contains(act, 'revise') THEN 30 ELSE 20 END + 50) // 100 / 100 AS hours FROM v WHERE list_has_any(act, ['revise', 'quiz', 'flashcards'])) WHERE hours > 0")
 
 

@@ -52,11 +52,18 @@ def sims(spark, d):
     return vectors.similarities(emb, emb.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
+def nearest(spark, d, k, where=None):
+    emb = table(spark, d, "embeddings")
+    asked_ = emb.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return bm25.best(vectors.nearest(emb if where is None else emb.filter(where), asked_, k), k, "similarity", "vec_id").select("query_id", "vec_id", "similarity", "rank")
+
+
 TOPV = "SELECT query_id, vec_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sim {}) WHERE rank <= 10"
 add("m01_l2_normalize", lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.unit(vectors.as_double(F.col("embedding")))).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x")), f"SELECT vec_id, CAST(i AS INT) AS i, round(x, 6) AS x FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(v, lambda x: x / n)) AS x FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, {VEC} AS v FROM embeddings)))")
 add("m02_cosine", lambda spark, d: sims(spark, d).select("query_id", "vec_id", "similarity"), f"WITH {PAIR} SELECT query_id, vec_id, similarity FROM sim")
-add("t01_vector_top_k", lambda spark, d: bm25.best(sims(spark, d), 10, "similarity", "vec_id").select("query_id", "vec_id", "similarity", "rank"), f"WITH {PAIR} {TOPV.replace('{}', '')}")
-add("r04_vector_query_filtered", lambda spark, d: bm25.best(sims(spark, d).filter(F.col("label").cast("string").isin("3", "7")), 10, "similarity", "vec_id").select("query_id", "vec_id", "similarity", "rank"), f"WITH {PAIR} {TOPV.replace('{}', 'WHERE label IN (3, 7)')}")
+add("t01_vector_top_k", lambda spark, d: nearest(spark, d, 10), f"WITH {PAIR} {TOPV.replace('{}', '')}")
+add("j03_query_by_vector", lambda spark, d: nearest(spark, d, 3), f"WITH {PAIR} {TOPV.replace('{}', '').replace('<= 10', '<= 3')}")
+add("r04_vector_query_filtered", lambda spark, d: nearest(spark, d, 10, F.col("label").cast("string").isin("3", "7")), f"WITH {PAIR} {TOPV.replace('{}', 'WHERE label IN (3, 7)')}")
 add("a20_reciprocal_rank_fusion", lambda spark, d: fusion.reciprocal_ranks(bm25.best(sims(spark, d), 20, "similarity", "vec_id").select((F.col("query_id") % 400).alias("query_id"), F.col("vec_id").alias("item"), "rank")), f"WITH {PAIR}, r AS (SELECT query_id % 400 AS query_id, vec_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sim) SELECT query_id, item, round(sum(1 / (60 + rank)), 6) AS rrf FROM r WHERE rank <= 20 GROUP BY ALL")
 
 

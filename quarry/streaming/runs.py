@@ -9,10 +9,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a local one where none is set (tests)."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. On one machine a temporary one where none
+    is set; on a cluster that is an error, since executors would not see each other's files there."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root or 'file://' + tempfile.mkdtemp(prefix='quarry-stream-')}/{name}-{uuid.uuid4().hex}"
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one, for a stream whose progress nobody needs later."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +33,5 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str, batch: Callable[[DataFrame, int], None], at: str) -> None:
-    """Everything that is there, then stop; progress is kept in ``at``, so a restart goes on from there."""
+    """Everything that is there, then stop. Progress is kept in ``at``: a run with the same ``at`` goes on from there."""
     stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
