@@ -20,6 +20,14 @@ def add(name, build, sql=None):
     QUERIES[name] = (build, sql)
 
 
+def edges(pattern: str) -> str:
+    """A pattern whose word edges know letters of any language, as Java's do and RE2's do not. It takes in what is at the edge."""
+    head, tail = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+    flag, rest = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    rest = head + rest[2:] if rest.startswith(r"\b") else rest
+    return flag + (rest[:-2] + tail if rest.endswith(r"\b") else rest)
+
+
 def strings(values) -> str:
     """A list of strings in SQL."""
     return "[" + ", ".join(f"'{q(v)}'" for v in values) + "]"
@@ -226,10 +234,10 @@ def parameters(s, d):
 
 _REJECTED = ", ".join(f"'{r}'" for r in requests.REJECT)
 _BROKEN = ", ".join(f"'{r}'" for r in requests.BREAKS)
-PARAMETERS = SAID + f""", w AS (SELECT *, list_transform(string_split_regex(regexp_extract(regexp_replace(low, '{q(requests.LEAD_NOISE)}', ' ', 'g'), '{requests.TOPIC}', 1), '[\\s,]+')[1:14], lambda x: regexp_replace(x, '{q(requests.EDGES)}', '', 'g')) AS ws FROM a),
+PARAMETERS = SAID + f""", w AS (SELECT *, list_transform(string_split_regex(regexp_extract(regexp_replace(low, '{q(requests.LEAD_NOISE)}', ' ', 'g'), '{edges(requests.TOPIC)}', 1), '[\\s,]+')[1:14], lambda x: regexp_replace(x, '{q(requests.EDGES)}', '', 'g')) AS ws FROM a),
   e AS (SELECT *, coalesce(list_min(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = '' OR regexp_matches(ws[i], '^\\d+$') OR (i > 1 AND ws[i] IN ({_BROKEN})))), len(ws) + 1) AS stop FROM w),
   t AS (SELECT *, {STRIP.format(f"regexp_replace(array_to_string(ws[1:stop - 1], ' '), '{requests.TAIL_NOISE}', '')")} AS topic0 FROM e),
-  p AS (SELECT conv_id, turn, low, CAST(nullif(regexp_extract(low, '{requests.COUNT}', 1), '') AS INT) AS count, {_first_sql(requests.LEVELS)} AS level, {_first_sql(requests.STYLES)} AS style, {_first_sql(requests.DIFFICULTIES)} AS difficulty, CASE WHEN topic0 NOT IN ({_REJECTED}) AND length(topic0) >= 3 THEN topic0 END AS topic, regexp_matches(low, '{requests.SECOND}') AS second FROM t)"""
+  p AS (SELECT conv_id, turn, low, CAST(nullif(regexp_extract(low, '{edges(requests.COUNT)}', 1), '') AS INT) AS count, {_first_sql(requests.LEVELS)} AS level, {_first_sql(requests.STYLES)} AS style, {_first_sql(requests.DIFFICULTIES)} AS difficulty, CASE WHEN topic0 NOT IN ({_REJECTED}) AND length(topic0) >= 3 THEN topic0 END AS topic, regexp_matches(low, '{edges(requests.SECOND)}') AS second FROM t)"""
 add("g15_request_parameters", parameters, PARAMETERS + " SELECT * EXCLUDE (low) FROM p")
 
 

@@ -335,7 +335,7 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, most_mb: float = 200.0) -> DataFrame:
-    """All files below a path; those above ``most_mb`` are left unread, with an error."""
+    """All files below a path that have any bytes; those above ``most_mb`` are left unread, with an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = F.col("length") <= int(most_mb * 1e6)
     parsed = parse(files.filter(small))
