@@ -12,7 +12,7 @@ whatever the reference's size, and the spans of all shards are united by documen
 the shards of the whole corpus, work in the square of its size (README: measured figures), so its
 windows are matched by shuffles instead. Each window of 50 words is named by the least
 hash among its runs of ten words. Names that occur in one document only cannot belong to a repeated
-window, so only windows with a shared name are hashed and shuffled, by 124 bits of two independent
+window, so only windows with a shared name are hashed and shuffled, by 94 bits of two independent
 hashes, and the smallest doc_id of each decides. No window is left out: equal windows have equal names.
 
 Defined results: a null or empty text has no words; rows repeated with one doc_id are one document each
@@ -247,12 +247,14 @@ def earlier_windows(docs: DataFrame) -> DataFrame:
                 starts, row, value = starts[order][fresh], row[order][fresh], value[order][fresh]
                 check = tk.Rolling(tk.mix(words.hash)).of(starts, starts + WINDOW)
                 ids = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(value.view(np.int64)), pa.array(check.view(np.int64))], ["doc_id", "window", "check"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(value.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc_id", "window", "check"])
 
-    window = stash.keep(rows.join(asked, "doc_id").select("doc_id", "text", "names").mapInArrow(windows, "doc_id bigint, window bigint, check bigint"), "windows")
+    window = stash.keep(rows.join(asked, "doc_id").select("doc_id", "text", "names").mapInArrow(windows, "doc_id bigint, window bigint, check int"), "windows")
     first = window.groupBy("window", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("window", "check", "lo")
     again = window.join(first, ["window", "check"]).filter("doc_id > lo").select("doc_id", "window")
-    return stash.keep(again.groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "again")
+    done = stash.keep(again.groupBy("doc_id").agg(F.collect_set("window").alias("windows")), "again")
+    stash.drop("asked", "windows")
+    return done
 
 
 def among(row: np.ndarray, value: np.ndarray, lists: pa.Array) -> np.ndarray:
