@@ -21,7 +21,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+#: Powers are products of two from small tables, so that what a worker keeps does not grow with its longest text.
+_STEP = 16
+_tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
@@ -31,16 +33,31 @@ def _fold(x: np.ndarray) -> np.ndarray:
     return np.where(x >= PRIME, x - PRIME, x)
 
 
-def powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) in the field, or those of its inverse."""
-    have = _powers.get((which, inverse))
-    if have is None or len(have) < n:
-        base = pow(_BASES[which], -1, int(PRIME)) if inverse else _BASES[which]
-        have = np.ones(1, np.uint64)
-        while len(have) < max(n, 1 << 12):  # twice as many in each step
-            have = np.concatenate([have, _fold(have * np.uint64(pow(base, len(have), int(PRIME))))])
-        _powers[which, inverse] = have
-    return have[:n]
+def _table(which: int, inverse: bool) -> tuple[np.ndarray, np.ndarray]:
+    """base**i, and base**(i * 2**16), for i below 2**16."""
+    if (which, inverse) not in _tables:
+        base, found = pow(_BASES[which], -1 if inverse else 1, int(PRIME)), []
+        for b in (base, pow(base, 1 << _STEP, int(PRIME))):
+            have = np.ones(1, np.uint64)
+            while len(have) < 1 << _STEP:  # twice as many in each step
+                have = np.concatenate([have, _fold(have * np.uint64(pow(b, len(have), int(PRIME))))])
+            found.append(have)
+        _tables[which, inverse] = (found[0], found[1])
+    return _tables[which, inverse]
+
+
+def powers(n: int, which: int) -> np.ndarray:
+    """base**0 .. base**(n-1) in the field."""
+    low, high = _table(which, False)
+    if n <= len(low):
+        return low[:n]
+    return _fold(np.multiply.outer(high[: ((n - 1) >> _STEP) + 1], low).ravel()[:n])
+
+
+def back(at: np.ndarray, which: int) -> np.ndarray:
+    """base**-at in the field."""
+    low, high = _table(which, True)
+    return _fold(low[at & (len(low) - 1)] * high[at >> _STEP])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,8 +82,7 @@ class Rolling:
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         """Hashes of [start, end); equal content has equal hashes, wherever it stands."""
-        back = [powers(self.prefix.shape[1], i, inverse=True)[start] for i in (0, 1)]
-        low, high = (_fold(_fold(p[end] - p[start]) * b) for p, b in zip(self.prefix, back, strict=True))
+        low, high = (_fold(_fold(p[end] - p[start]) * back(start, i)) for i, p in enumerate(self.prefix))
         return mix(((high << _HALF) | low) + mix((end - start).astype(np.uint64) + np.uint64(salt)))
 
 
