@@ -7,7 +7,7 @@ same on every run and a lost executor repeats it exactly.
 
 Topics are registers that the text shows: tables, licences, markup, dialogue or prose; ``topic`` can be
 any expression over the input instead. A target margin gives the shares wanted; values without one get
-their share to the power ``flatten``.
+their share to the power ``flatten``, as far as they have it at ``keep``.
 
 A chance is 1 at most, so raking works under that bound: cells at 1 stay there, the others take what is
 missing, until the sample expected has the margins wanted. Where ``keep`` asks more of a value than
@@ -26,6 +26,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import Stash, table, unused
@@ -66,31 +67,46 @@ def weighted(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     return docs.select("doc_id", *named, F.coalesce(topic if topic is not None else topic_of(text), F.lit("(null)")).alias("topic"), words.alias("tokens"))
 
 
-def _target(margin: DataFrame, name: str, mix: Mix) -> DataFrame:
-    """(value, share wanted) of one margin; shares sum to 1."""
+def _target(margin: DataFrame, name: str, mix: Mix, limited: bool) -> DataFrame:
+    """(value, share wanted) of one margin; shares sum to 1.
+
+    Named values get their share. The others divide the rest by their tokens to the power ``flatten``. Where
+    the sample is ``limited`` to what there is, none of them is asked for more than it has at ``keep``: what such
+    a value cannot give, the others give. A margin has a row for each value; they are put in order by how soon
+    they run out.
+    """
     wanted = mix.targets.get(name, {})
-    raw = F.pow(F.col("tokens"), F.lit(mix.flatten))
-    for value, share in wanted.items():
-        raw = F.when(F.col(name) == value, F.lit(float(share))).otherwise(raw)
-    raw = margin.select(name, raw.alias("raw"))
-    if wanted:  # named values get their share, the others divide what is left
-        named = F.col(name).isin(list(wanted))
-        left = max(0.0, 1.0 - sum(map(float, wanted.values())))
-        rest = raw.filter(~named).agg(F.coalesce(F.sum("raw"), F.lit(1.0)).alias("rest"))
-        raw = raw.join(F.broadcast(rest)).select(name, F.when(named, F.col("raw")).otherwise(F.col("raw") * left / F.col("rest")).alias("raw"))
-    total = raw.agg(F.sum("raw").alias("whole"))  # one row
-    return raw.join(F.broadcast(total)).select(name, (F.col("raw") / F.col("whole")).alias("want"))
-
-
-def _targets(cells: DataFrame, mix: Mix, stash: Stash) -> dict[str, DataFrame]:
+    left = max(0.0, 1.0 - sum(map(float, wanted.values())))
+    every = W.partitionBy()
+    has = F.col("tokens") / F.sum("tokens").over(every)
+    given = margin.select(name, has.alias("has"), F.pow("tokens", F.lit(mix.flatten)).alias("raw"))
+    named = given.filter(F.col(name).isin(list(wanted))) if wanted else given.limit(0)
+    share = F.lit(0.0)
+    for value, x in wanted.items():
+        share = F.when(F.col(name) == value, F.lit(float(x))).otherwise(share)
+    rest = (given.filter(~F.col(name).isin(list(wanted))) if wanted else given).withColumn("raw", F.col("raw") / F.sum("raw").over(every))
+    order = W.orderBy(F.col("has") / F.col("raw"), name)
+    rest = rest.withColumn("full", F.col("has") / mix.keep).withColumn("runs_out", F.col("full") / F.col("raw"))
+    before = F.coalesce(F.sum("full").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    level = (left - before) / F.sum("raw").over(order.rowsBetween(0, W.unboundedFollowing))
+    rest = rest.withColumn("level", level)
+    # the first value that lasts at the level that is left by those before it sets the level
+    rest = rest.withColumn("level", F.min_by(F.when(F.col("level") <= F.col("runs_out"), F.col("level")), F.when(F.col("level") <= F.col("runs_out"), F.col("runs_out"))).over(every))
+    if not limited:
+        rest = rest.withColumn("full", left * F.col("raw")).withColumn("level", F.lit(None).cast("double"))
+    out = named.select(name, share.alias("raw")).unionByName(rest.select(name, F.when(F.col("level").isNull(), F.col("full")).otherwise(F.least("full", F.col("level") * F.col("raw"))).alias("raw")))
+    return out.select(name, (F.col("raw") / F.sum("raw").over(every)).alias("want"))
+
+
+def _targets(cells: DataFrame, mix: Mix, stash: Stash, limited: bool) -> dict[str, DataFrame]:
     margins = {name: cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("tokens")) for name in DIMENSIONS}
-    return {name: stash.keep(_target(margin, name, mix), f"target-{name}") for name, margin in margins.items()}
+    return {name: stash.keep(_target(margin, name, mix, limited), f"target-{name}") for name, margin in margins.items()}
 
 
 def calibrate(cells: DataFrame, mix: Mix, stash: Stash) -> DataFrame:
     """Cells (source, lang, topic, tokens) with ``fitted``: token weights raked to the margins."""
     whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))  # one row
-    targets = _targets(cells, mix, stash)
+    targets = _targets(cells, mix, stash, False)
     at = stash.keep(cells.join(F.broadcast(whole)).select(*DIMENSIONS, "tokens", (F.col("tokens") / F.col("whole")).alias("fitted")), "cells-0")
     # each step is written: a step reads its cells twice, so plans of several steps would double with each
     for step in range(1, mix.rounds * len(DIMENSIONS) + 1):
@@ -128,7 +144,7 @@ def bounded(cells: DataFrame, mix: Mix, stash: Stash, near: float = NEAR, patien
     fifth smaller. Targets that ``most`` rounds do not meet are warned of.
     """
     whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))  # one row
-    targets = _targets(cells, mix, stash)
+    targets = _targets(cells, mix, stash, True)
     at = cells.join(F.broadcast(whole)).select(*DIMENSIONS, (F.col("tokens") / F.col("whole")).alias("share"), F.lit(1.0).alias("factor"))
     there = [_margin(at, name, targets[name]).filter("want > 0").select((F.col("fixed") / F.col("want")).alias("room")) for name in DIMENSIONS]
     room = there[0].unionByName(there[1]).unionByName(there[2]).agg(F.min("room")).head()[0]
@@ -150,7 +166,7 @@ def bounded(cells: DataFrame, mix: Mix, stash: Stash, near: float = NEAR, patien
             stash.drop(f"bounded-{place - 1}")
     if miss > near:
         warnings.warn(f"the targets cannot be met: a margin of the sample is off by {miss:.3g} of its target", stacklevel=2)
-    elif keep < mix.keep:
+    elif keep < mix.keep * (1 - 1e-9):
         warnings.warn(f"the targets leave {keep:.3g} of the tokens, not {mix.keep:.3g}: of some values there is no more", stacklevel=2)
     return at.select(*DIMENSIONS, F.least(F.lit(1.0), "factor").alias("probability"))
 
@@ -207,7 +223,13 @@ def oracle(mix: Mix = Mix(), docs: str = "documents") -> str:
     for name in DIMENSIONS:
         going = step(going, name)
     columns = f"{', '.join(DIMENSIONS)}, share, {wants}, factor"
-    targets = ", ".join(f"m_{name} AS (SELECT {name}, sum(share) AS has, pow(sum(tokens), {mix.flatten}) / sum(pow(sum(tokens), {mix.flatten})) OVER () AS want_{name} FROM c GROUP BY {name})" for name in DIMENSIONS)
+    targets = ", ".join(
+        f"""v_{name} AS (SELECT {name}, has, raw / sum(raw) OVER () AS raw, has / {mix.keep} AS f FROM (SELECT {name}, sum(share) AS has, pow(sum(tokens), {mix.flatten}) AS raw FROM c GROUP BY {name})),
+    o_{name} AS (SELECT *, f / raw AS runs_out, (1 - coalesce(sum(f) OVER (ORDER BY has / raw, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(raw) OVER (ORDER BY has / raw, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v_{name}),
+    l_{name} AS (SELECT {name}, has, CASE WHEN lv IS NULL THEN f ELSE least(f, lv * raw) END AS x FROM o_{name}, (SELECT arg_min(level, runs_out) FILTER (level <= runs_out) AS lv FROM o_{name})),
+    m_{name} AS (SELECT {name}, has, x / sum(x) OVER () AS want_{name} FROM l_{name})"""
+        for name in DIMENSIONS
+    )
     room = " UNION ALL ".join(f"SELECT has / want_{name} AS room FROM m_{name} WHERE want_{name} > 0" for name in DIMENSIONS)
     return f"""
     WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang, {topic} AS topic, CAST(greatest(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 1) AS BIGINT) AS tokens FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM {docs})),
