@@ -124,11 +124,25 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def _margin(at: DataFrame, name: str, target: DataFrame) -> DataFrame:
-    """(value, want, fixed, free): shares of all tokens expected from cells at 1 and from the others."""
-    full = F.col("factor") >= 1
-    sums = at.groupBy(name).agg(F.sum(F.when(full, F.col("share")).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("share") * F.col("factor"))).alias("free"))
-    return sums.join(target, name)
+def _step(at: DataFrame, name: str, keep: float, relax: float) -> DataFrame:
+    """``at`` with the factors of one margin moved towards its target; cells at 1 stay there."""
+    full, want = F.col("factor") >= 1, F.lit(keep) * F.col("want")
+    sums = at.groupBy(name).agg(
+        F.max(f"want_{name}").alias("want"),
+        F.sum(F.when(full, F.col("share")).otherwise(0.0)).alias("fixed"),
+        F.sum(F.when(full, 0.0).otherwise(F.col("share") * F.col("factor"))).alias("free"),
+    )
+    have = F.col("fixed") + F.col("free")
+    scale = F.when((F.col("free") > 0) & (want > F.col("fixed")), F.try_divide(want - F.col("fixed"), F.col("free"))).otherwise(F.coalesce(F.try_divide(want, have), F.lit(1.0)))
+    steps = sums.select(name, F.pow(scale, F.lit(relax)).alias("scale"))
+    return at.join(steps, name).withColumn("factor", F.col("factor") * F.col("scale")).select(*at.columns)
+
+
+def _margins(at: DataFrame) -> DataFrame:
+    """(want, got) of each value of the three margins, by one shuffle; ``got`` is the share of all tokens expected."""
+    sides = F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("value"), F.col(f"want_{name}").alias("want")) for name in DIMENSIONS])
+    rows = at.select(F.explode(sides).alias("side"), (F.col("share") * F.least(F.lit(1.0), "factor")).alias("got"))
+    return rows.groupBy("side.name", "side.value").agg(F.max("side.want").alias("want"), F.sum("got").alias("got"))
 
 
 #: A margin is met within this share of its target; rounds without that before the sample is made smaller; rounds in all.
@@ -144,26 +158,26 @@ def bounded(cells: DataFrame, mix: Mix, stash: Stash, near: float = NEAR, patien
     fifth smaller. Targets that ``most`` rounds do not meet are warned of.
     """
     whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))  # one row
-    targets = _targets(cells, mix, stash, True)
     at = cells.join(F.broadcast(whole)).select(*DIMENSIONS, (F.col("tokens") / F.col("whole")).alias("share"), F.lit(1.0).alias("factor"))
-    there = [_margin(at, name, targets[name]).filter("want > 0").select((F.col("fixed") / F.col("want")).alias("room")) for name in DIMENSIONS]
-    room = there[0].unionByName(there[1]).unionByName(there[2]).agg(F.min("room")).head()[0]
+    for name, target in _targets(cells, mix, stash, True).items():
+        at = at.join(target.withColumnRenamed("want", f"want_{name}"), name)
+    at = stash.keep(at, "bounded-0")
+    room = _margins(at).filter("want > 0").agg(F.min(F.col("got") / F.col("want"))).head()[0]
     keep = mix.keep if room is None else min(mix.keep, room)
-    at = stash.keep(at.withColumn("factor", F.lit(keep)), "bounded-0")
+    at = at.withColumn("factor", F.lit(keep))
     for turn in range(most + 1):
-        misses = [_margin(at, name, targets[name]).select(F.abs(F.col("fixed") + F.col("free") - keep * F.col("want")).alias("miss"), (keep * F.col("want")).alias("goal")) for name in DIMENSIONS]
-        miss = misses[0].unionByName(misses[1]).unionByName(misses[2]).agg(F.max(F.col("miss") / F.greatest("goal", F.lit(1e-12)))).head()[0] or 0.0
+        goal = F.lit(keep) * F.col("want")
+        miss = _margins(at).agg(F.max(F.abs(F.col("got") - goal) / F.greatest(goal, F.lit(1e-12)))).head()[0] or 0.0
         if miss <= near or turn == most:
             break
         if turn and turn % patience == 0:
             keep *= 0.8
         relax = 1.3 if turn < patience else 1.0  # longer steps need half the rounds, but need not settle
-        for place, name in enumerate(DIMENSIONS, turn * len(DIMENSIONS) + 1):
-            goal, have = keep * F.col("want"), F.col("fixed") + F.col("free")
-            scale = F.when((F.col("free") > 0) & (goal > F.col("fixed")), F.try_divide(goal - F.col("fixed"), F.col("free"))).otherwise(F.coalesce(F.try_divide(goal, have), F.lit(1.0)))
-            steps = _margin(at, name, targets[name]).select(name, F.pow(scale, F.lit(relax)).alias("scale"))
-            at = stash.keep(at.join(steps, name).select(*DIMENSIONS, "share", (F.col("factor") * F.col("scale")).alias("factor")), f"bounded-{place}")
-            stash.drop(f"bounded-{place - 1}")
+        for name in DIMENSIONS:
+            at = _step(at, name, keep, relax)
+        # a round is written once: the steps within it share their exchanges, those of several rounds would double
+        at = stash.keep(at, f"bounded-{turn + 1}")
+        stash.drop(f"bounded-{turn}")
     if miss > near:
         warnings.warn(f"the targets cannot be met: a margin of the sample is off by {miss:.3g} of its target", stacklevel=2)
     elif keep < mix.keep * (1 - 1e-9):
