@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,7 +41,9 @@ from quarry.llm.shared import Stash, table
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text of a block; bits of its number within a task; bytes of a bin of the range join.
-BLOCK, CHUNKS, BIN = 16 << 20, 11, 16
+BLOCK, CHUNKS, BIN = 32 << 20, 11, 16
+#: Documents of a partition that are folded in memory, about those of a block; more are sorted.
+FOLDED = 5000
 #: Different pairs up to which their counts are sent to every task; beyond it they are shuffled.
 SENT_PAIRS = 300_000
 
@@ -104,31 +106,28 @@ class Tokenizers:
 
     def ids(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of a text that begins with a blank, which the second tokenizer adds."""
-        return self.first.encode(text, add_special_tokens=False).ids, self.second.encode(text[1:], num_threads=1)
+        return self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.second.encode(text[1:], num_threads=1)
 
-    def encode(self, stretches: pa.Array) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both tokenizers for each stretch, or None where bytes are lost. Stretches are encoded as one text
-        as far as none ends in white space, behind a word of their own that keeps the added blank away."""
+    def encode(self, stretches: pa.Array) -> Iterator[tuple[pa.Array, list | None]]:
+        """Runs of stretches with (ids, where each begins) of both tokenizers, or None where bytes are lost.
+
+        Stretches are encoded as one text as far as none ends in white space, behind a word of their own that
+        keeps the added blank away; the others, and all if that text loses bytes, are encoded one by one.
+        """
         data, at = tk.buffers(stretches)
-        last, before = data[at[1:] - 1], data[np.maximum(at[1:] - 2, 0)]
-        plain = np.flatnonzero(~_SPACED[before, last])
-        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(stretches)
-        alone = np.setdiff1d(np.arange(len(stretches)), plain).tolist()
-        ends = np.append(2, 2 + np.cumsum(np.diff(at)[plain]))
-        text = " ." + "".join(stretches.take(pa.array(plain)).to_pylist())
-        cuts = self._cuts(text, ends)
+        plain = np.flatnonzero(~_SPACED[data[np.maximum(at[1:] - 2, 0)], data[at[1:] - 1]])
+        alone = np.setdiff1d(np.arange(len(stretches)), plain)
+        words = stretches.take(pa.array(plain))
+        cuts = self._cuts(" ." + "".join(words.to_pylist()), np.append(2, 2 + np.cumsum(np.diff(at)[plain])))
         if cuts is None:
-            alone = range(len(stretches))
-        else:
-            for k, i in enumerate(plain.tolist()):
-                out[i] = tuple(ids[c[k] : c[k + 1]] for ids, c in cuts)
-        for i in alone:
+            alone = np.arange(len(stretches))
+        elif len(words):
+            yield words, cuts
+        for i in alone.tolist():
             text = " ." + stretches[i].as_py()
-            cuts = self._cuts(text, np.array([2, len(text.encode())]))
-            out[i] = None if cuts is None else tuple(ids[c[0] : c[1]] for ids, c in cuts)
-        return out
+            yield stretches.slice(i, 1), self._cuts(text, np.array([2, len(text.encode())]))
 
-    def _cuts(self, text: str, ends: np.ndarray):
+    def _cuts(self, text: str, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]] | None:
         """(ids, places of ``ends`` among the tokens' ends) of both; None if bytes are lost or a token crosses an end."""
         raw, found = text.encode(), []
         for ids, tokens, sizes in zip(self.ids(text), (self.a, self.b), self.sizes, strict=True):
@@ -139,12 +138,16 @@ class Tokenizers:
             place = np.searchsorted(at, ends)
             if (at[place] != ends).any():
                 return None
-            found.append((ids, place))
+            found.append((ids[place[0] : place[-1]], (place - place[0]).astype(np.int32)))
         return found
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
-    """(block, row, doc_id, units) of each text, the numbers of its stretches; and of each block a row with ``stretches``."""
+    """(block, row, doc_id, units, times, codes) of each text, and of each block a row with ``stretches``.
+
+    ``units`` are the numbers of a text's different stretches, ``times`` how often each occurs, and ``codes`` the
+    text itself, as places in ``units``.
+    """
 
     def flush(part: list[tuple[pa.Array, pa.Array]], block: int) -> Iterator[pa.RecordBatch]:
         ids, texts = pa.concat_arrays([x for x, _ in part]), pa.concat_arrays([x for _, x in part])
@@ -156,12 +159,16 @@ def cut_texts(docs: DataFrame) -> DataFrame:
         starts = np.flatnonzero(begins)
         cut = np.append(starts, len(data))
         coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
-        units = pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, at).astype(np.int32)), coded.indices)
-        n = len(ids)
-        names = ["block", "row", "doc_id", "units", "stretches"]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(np.arange(n, dtype=np.int32)), ids, units, pa.nulls(n, pa.list_(pa.string()))], names)
+        n, first = len(ids), np.searchsorted(starts, at)
+        row = np.repeat(np.arange(n), np.diff(first))
+        own, code, times = np.unique(row << 32 | coded.indices.to_numpy(), return_inverse=True, return_counts=True)
+        begin = np.searchsorted(own >> 32, np.arange(n + 1))
+        lists = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(np.int32)))
+        none = lambda k: pa.nulls(k, pa.list_(pa.int32()))
+        names = ["block", "row", "doc_id", "units", "times", "codes", "stretches"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(np.arange(n, dtype=np.int32)), ids, lists(begin, own & 0xFFFFFFFF), lists(begin, times), lists(first, code - begin[row]), pa.nulls(n, pa.list_(pa.string()))], names)
         words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), words], names)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), none(1), none(1), none(1), words], names)
 
     def run(batches):
         task, part, held, chunk = TaskContext.get().partitionId(), [], 0, 0
@@ -180,7 +187,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
         if part:
             yield from flush(part, task << CHUNKS | chunk)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "block int, row int, doc_id bigint, units array<int>, stretches array<string>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "block int, row int, doc_id bigint, units array<int>, times array<int>, codes array<int>, stretches array<string>")
 
 
 def tokenize(stretches: DataFrame, tokenizers: Tokenizers) -> DataFrame:
@@ -189,29 +196,28 @@ def tokenize(stretches: DataFrame, tokenizers: Tokenizers) -> DataFrame:
 
     def run(batches):
         both = shipped.value
-        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
         for batch in batches:
             for lo, hi, _, _ in tk.blocks(batch.column(0)):
-                words = batch.column(0).slice(lo, hi - lo)
-                found, columns = both.encode(words), []
-                for side, sizes in enumerate(both.sizes):
-                    ids = [f[side] if f else np.zeros(0, np.int32) for f in found]
-                    columns += [lists(ids), lists([sizes[x].astype(np.int32) for x in ids])]
-                yield pa.RecordBatch.from_arrays([words, pa.array([f is not None for f in found]), *columns], ["stretch", "ok", "a", "an", "b", "bn"])
+                for words, found in both.encode(batch.column(0).slice(lo, hi - lo)):
+                    columns = []
+                    for side, sizes in enumerate(both.sizes):
+                        ids, at = found[side] if found else (np.zeros(0, np.int32), np.zeros(2, np.int32))
+                        columns += [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (ids, sizes[ids].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), found is not None)), *columns], ["stretch", "ok", "a", "an", "b", "bn"])
 
     return stretches.mapInArrow(run, "stretch string, ok boolean, a array<int>, an array<int>, b array<int>, bn array<int>")
 
 
 def _ends(tokens: DataFrame, ids: str, sizes: str) -> DataFrame:
-    """(uid, pos, id, n, end): exploded tokens and the running sum of their lengths."""
+    """(uid, id, n, end): exploded tokens and the running sum of their lengths."""
     rows = tokens.select("uid", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(sizes).alias("n"))).alias("pos", "x")).select("uid", "pos", "x.id", "x.n")
-    return rows.withColumn("end", F.sum("n").over(W.partitionBy("uid").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    return rows.withColumn("end", F.sum("n").over(W.partitionBy("uid").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))).drop("pos")
 
 
 def _grouped(own: DataFrame, other: DataFrame) -> DataFrame:
     """Tokens with ``shared``, whether the other side ends there too, and ``part``, the shared ends before."""
-    shared = other.select("uid", "end", F.lit(1).alias("shared")).hint("shuffle_hash")
-    before = F.sum("shared").over(W.partitionBy("uid").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    shared = other.select("uid", "end", F.lit(1).alias("shared")).hint("merge")
+    before = F.sum("shared").over(W.partitionBy("uid").orderBy("end").rowsBetween(W.unboundedPreceding, -1))
     return own.join(shared, ["uid", "end"], "left").withColumn("part", F.coalesce(before, F.lit(0)))
 
 
@@ -222,26 +228,48 @@ def _binned(tokens: DataFrame, name: str) -> DataFrame:
     return tokens.select("uid", "part", F.col("id").cast("bigint").alias(name), start.alias(f"{name}_start"), F.col("end").alias(f"{name}_end"), first.alias(f"{name}_bin"), bins.alias("bin"))
 
 
-def align(tokens: DataFrame) -> DataFrame:
-    """(uid, n_a, n_b, n_groups, groups, links) of each stretch; a link is the first id times 2**32 plus the second."""
-    tokens = tokens.filter("ok").repartition("uid")
+def dealt_once(spark: SparkSession, more: dict[str, str]) -> SparkSession:
+    """A session with the settings of ``spark``, in which rows dealt out by text or by block are joined on further
+    columns without being dealt out again, and in which a step's shuffle files go when it has been written."""
+    other = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            other.conf.set(key, value)
+    other.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    other.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    for key, value in more.items():
+        other.conf.set(key, value)
+    return other
+
+
+def align(tokens: DataFrame, stash: Stash, name: str) -> DataFrame:
+    """(uid, n_a, n_b, n_groups, groups, links) of each stretch; a link is the first id times 2**32 plus the second.
+
+    Tokens of each side with their groups are kept while they are read twice, for the groups and for the links.
+    """
+    tokens = tokens.filter("ok").repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
     a, b = _ends(tokens, "a", "an"), _ends(tokens, "b", "bn")
-    a, b = _grouped(a, b), _grouped(b, a)
+    a, b = (x.persist(StorageLevel.DISK_ONLY) for x in (_grouped(a, b), _grouped(b, a)))
     meet = (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("bin") == F.greatest("a_bin", "b_bin"))
-    links = _binned(a, "a").join(_binned(b, "b").hint("shuffle_hash"), ["uid", "part", "bin"]).filter(meet)
+    links = _binned(a, "a").join(_binned(b, "b").hint("merge"), ["uid", "part", "bin"]).filter(meet)
     links = links.groupBy("uid").agg(F.collect_list(F.shiftleft("a", 32) + F.col("b")).alias("links"))
-    # ids in order of group, side and position, each with the mark that follows it
-    piece = lambda x, side, mark: x.select("uid", ((F.col("part") * 2 + side) * 2**32 + F.col("pos")).alias("order"), F.concat(F.col("id").cast("string"), F.when(F.col("shared") == 1, mark).otherwise(",")).alias("piece"), F.lit(side).alias("side"), "shared")
-    pieces = piece(a, 0, "|").unionByName(piece(b, 1, ";"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "piece"))), lambda x: x["piece"]), "")
-    count = lambda flag: F.count(F.when(flag, 1))
-    groups = pieces.groupBy("uid").agg(count(F.col("side") == 0).alias("n_a"), count(F.col("side") == 1).alias("n_b"), count((F.col("side") == 0) & (F.col("shared") == 1)).alias("n_groups"), text.alias("groups"))
-    return groups.join(links, "uid")
+
+    def side(x: DataFrame, number: int, mark: str) -> DataFrame:
+        """Of each stretch its ids in order, each with the mark that follows it, and how many groups there are."""
+        order = (F.col("part") * 2 + number) * 2**32 + F.col("end")
+        piece = F.concat(F.col("id").cast("string"), F.when(F.col("shared") == 1, mark).otherwise(","))
+        return x.groupBy("uid").agg(F.collect_list(F.struct(order.alias("order"), piece.alias("piece"))).alias(f"side_{number}"), F.count("shared").alias(f"groups_{number}"))
+
+    both = side(a, 0, "|").join(side(b, 1, ";"), "uid").join(links, "uid")
+    text = F.array_join(F.transform(F.array_sort(F.concat("side_0", "side_1")), lambda x: x["piece"]), "")
+    out = stash.keep(both.select("uid", F.size("side_0").alias("n_a"), F.size("side_1").alias("n_b"), F.col("groups_0").alias("n_groups"), text.alias("groups"), "links"), name)
+    a.unpersist(), b.unpersist()
+    return out
 
 
 def pair_counts(units: DataFrame, links: DataFrame, blocks: int) -> DataFrame:
     """(pair, n, top): documents that hold each linked pair, and whether no pair of its first id has more."""
-    held = units.repartition(blocks, "block").select("block", "row", F.explode(F.array_distinct("units")).alias("unit"))
+    held = units.repartition(blocks, "block").select("block", "row", F.explode("units").alias("unit"))
     held = held.join(links.repartition(blocks, "block").hint("shuffle_hash"), ["block", "unit"], "left")
     # a document is folded to its different pairs before any is shuffled
     held = held.groupBy("block", "row").agg(F.bool_and("ok").alias("ok"), F.collect_list("links").alias("links")).filter("ok")
@@ -253,16 +281,20 @@ def pair_counts(units: DataFrame, links: DataFrame, blocks: int) -> DataFrame:
 
 def align_documents(docs: DataFrame, byte_file: str = BYTE_BPE, piece_file: str = PIECE_BPE) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups), groups as text without its last mark."""
-    stash = Stash(docs.sparkSession, "alignment")
-    cut = stash.keep(cut_texts(docs), "cut")
-    texts = cut.filter("stretches IS NULL").select("block", "row", "doc_id", "units")
+    first = Stash(docs.sparkSession, "alignment")
+    first.keep(cut_texts(docs), "cut")
+    stash = first.seen_by(dealt_once(docs.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(FOLDED)}))
+    cut = stash.spark.read.parquet(stash.path("cut"))
+    texts = cut.filter("stretches IS NULL").select("block", "row", "doc_id", "units", "times", "codes")
     dictionary = cut.filter("stretches IS NOT NULL").select("block", F.posexplode("stretches").alias("unit", "stretch"))
-    blocks = max(1, cut.filter("stretches IS NOT NULL").select("block").count())
+    blocks = 3 * max(1, cut.filter("stretches IS NOT NULL").select("block").count())  # so that few share a partition
 
     tokens = tokenize(dictionary.select("stretch").distinct(), Tokenizers(byte_file, piece_file))
     tokens = stash.keep(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
     places = stash.keep(dictionary.join(tokens.select("stretch", "uid", "ok"), "stretch").select("block", "unit", "uid", "ok"), "places")
-    aligned = stash.keep(align(tokens), "aligned")
+    by_text = stash.seen_by(dealt_once(docs.sparkSession, {"spark.sql.execution.useObjectHashAggregateExec": "false"}))  # rows are in order already
+    align(by_text.spark.read.parquet(stash.path("tokens")), by_text, "aligned")
+    aligned = stash.spark.read.parquet(stash.path("aligned"))
     stash.drop("tokens")
 
     links = places.join(aligned.select("uid", "links"), "uid", "left").select("block", "unit", "ok", "links")
@@ -275,12 +307,15 @@ def align_documents(docs: DataFrame, byte_file: str = BYTE_BPE, piece_file: str
     known = places.join(known, "uid", "left").drop("uid")
 
     numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    held = texts.repartition(blocks, "block").select("block", "row", "doc_id", F.posexplode_outer("units").alias("pos", "unit"))
+    held = texts.repartition(blocks, "block").select("block", "row", F.posexplode(F.arrays_zip("units", "times")).alias("pos", "x")).select("block", "row", "pos", F.col("x.units").alias("unit"), F.col("x.times").alias("times"))
     held = held.join(known.repartition(blocks, "block").hint("shuffle_hash"), ["block", "unit"], "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"]), "")
-    held = held.groupBy("block", "row", "doc_id").agg(F.coalesce(F.bool_and(F.coalesce("ok", F.lit(False))), F.lit(False)).alias("ok"), *(F.sum(c).alias(c) for c in numbers), text.alias("groups"))
-    whole = lambda c: F.when(F.col("ok"), F.col(c)).otherwise(0).cast("bigint").alias(c)
-    return held.select("doc_id", *map(whole, numbers), F.when(F.col("ok"), F.expr("left(groups, length(groups) - 1)")).otherwise("").alias("groups"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"])
+    held = held.groupBy("block", "row").agg(F.bool_and("ok").alias("ok"), *(F.sum(F.col(c) * F.col("times")).alias(c) for c in numbers), own.alias("own"))
+    # a text's groups are those of its different stretches, put in its order
+    held = texts.select("block", "row", "doc_id", "codes").repartition(blocks, "block").join(held.filter("ok").hint("merge"), ["block", "row"], "left")
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    text = F.array_join(F.transform("codes", lambda i: F.get("own", i)), "")
+    return held.withColumn("text", text).select("doc_id", *map(whole, numbers), F.coalesce(F.when(F.col("ok"), F.expr("left(text, length(text) - 1)")), F.lit("")).alias("groups"))
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

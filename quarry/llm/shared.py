@@ -47,6 +47,12 @@ class Stash:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+    def seen_by(self, spark: SparkSession) -> Stash:
+        """The same tables, read and written by another session."""
+        other = Stash.__new__(Stash)
+        other.spark, other.root = spark, self.root
+        return other
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -123,7 +123,7 @@ def test_op11_links_stay_in_proportion_where_no_end_is_shared(spark):
         tokens = spark.createDataFrame(rows, "uid bigint, stretch string, ok boolean, a array<int>, an array<int>, b array<int>, bn array<int>")
         if n % width:
             continue
-        got = al.align(tokens).collect()[0]
+        got = al.align(tokens, Stash(spark, "t"), f"aligned-{width}").collect()[0]
         ends_a, ends_b = set(range(3, n + 1, 3)), set(range(width, n + 1, width))
         assert got.n_groups == len(ends_a & ends_b) and len(got.links) == len(ends_a | ends_b)
 
