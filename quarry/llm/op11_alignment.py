@@ -25,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from quarry.llm.shared import Stash, table
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text of a block; bits of its number within a task; bytes of a bin of the range join.
-BLOCK, CHUNKS, BIN = 32 << 20, 11, 16
+BLOCK, CHUNKS, BIN = 16 << 20, 11, 16
 #: Documents of a partition that are folded in memory, about those of a block; more are sorted.
 FOLDED = 5000
 #: Different pairs up to which their counts are sent to every task; beyond it they are shuffled.
@@ -269,7 +270,7 @@ def align(tokens: DataFrame, stash: Stash, name: str) -> DataFrame:
 
 def pair_counts(units: DataFrame, links: DataFrame, blocks: int) -> DataFrame:
     """(pair, n, top): documents that hold each linked pair, and whether no pair of its first id has more."""
-    held = units.repartition(blocks, "block").select("block", "row", F.explode("units").alias("unit"))
+    held = units.select("block", "row", F.explode("units").alias("unit"))
     held = held.join(links.repartition(blocks, "block").hint("shuffle_hash"), ["block", "unit"], "left")
     # a document is folded to its different pairs before any is shuffled
     held = held.groupBy("block", "row").agg(F.bool_and("ok").alias("ok"), F.collect_list("links").alias("links")).filter("ok")
@@ -281,13 +282,16 @@ def pair_counts(units: DataFrame, links: DataFrame, blocks: int) -> DataFrame:
 
 def align_documents(docs: DataFrame, byte_file: str = BYTE_BPE, piece_file: str = PIECE_BPE) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups), groups as text without its last mark."""
-    first = Stash(docs.sparkSession, "alignment")
-    first.keep(cut_texts(docs), "cut")
-    stash = first.seen_by(dealt_once(docs.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(FOLDED)}))
-    cut = stash.spark.read.parquet(stash.path("cut"))
+    session = dealt_once(docs.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(FOLDED)})
+    stash = Stash(docs.sparkSession, "alignment").seen_by(session)
+    # written in buckets of blocks, so that no step deals texts out again; more buckets than tasks, so that few blocks share one
+    blocks = min(100_000, 4 * int(session.conf.get("spark.sql.shuffle.partitions")))
+    name = f"alignment_{uuid.uuid4().hex}"
+    cut_texts(docs).write.bucketBy(blocks, "block").option("path", stash.path("cut")).option("compression", "zstd").saveAsTable(name)
+    cut = session.table(name)
+    session.sql(f"DROP TABLE {name}")  # its files stay, and ``cut`` knows how they are dealt
     texts = cut.filter("stretches IS NULL").select("block", "row", "doc_id", "units", "times", "codes")
     dictionary = cut.filter("stretches IS NOT NULL").select("block", F.posexplode("stretches").alias("unit", "stretch"))
-    blocks = 3 * max(1, cut.filter("stretches IS NOT NULL").select("block").count())  # so that few share a partition
 
     tokens = tokenize(dictionary.select("stretch").distinct(), Tokenizers(byte_file, piece_file))
     tokens = stash.keep(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
@@ -307,12 +311,12 @@ def align_documents(docs: DataFrame, byte_file: str = BYTE_BPE, piece_file: str
     known = places.join(known, "uid", "left").drop("uid")
 
     numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    held = texts.repartition(blocks, "block").select("block", "row", F.posexplode(F.arrays_zip("units", "times")).alias("pos", "x")).select("block", "row", "pos", F.col("x.units").alias("unit"), F.col("x.times").alias("times"))
+    held = texts.select("block", "row", F.posexplode(F.arrays_zip("units", "times")).alias("pos", "x")).select("block", "row", "pos", F.col("x.units").alias("unit"), F.col("x.times").alias("times"))
     held = held.join(known.repartition(blocks, "block").hint("shuffle_hash"), ["block", "unit"], "left")
     own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"])
     held = held.groupBy("block", "row").agg(F.bool_and("ok").alias("ok"), *(F.sum(F.col(c) * F.col("times")).alias(c) for c in numbers), own.alias("own"))
     # a text's groups are those of its different stretches, put in its order
-    held = texts.select("block", "row", "doc_id", "codes").repartition(blocks, "block").join(held.filter("ok").hint("merge"), ["block", "row"], "left")
+    held = texts.select("block", "row", "doc_id", "codes").join(held.filter("ok").hint("merge"), ["block", "row"], "left")
     whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     text = F.array_join(F.transform("codes", lambda i: F.get("own", i)), "")
     return held.withColumn("text", text).select("doc_id", *map(whole, numbers), F.coalesce(F.when(F.col("ok"), F.expr("left(text, length(text) - 1)")), F.lit("")).alias("groups"))
