@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import bm25, hashing, passages, vectors
-from quarry.plans.retrieval_queries import FUSED, QUERIES as RETRIEVAL, SCORE, TOP, asked, docs_of, hybrid, reranked, sims
+from quarry.plans.retrieval_queries import FUSED, QUERIES as RETRIEVAL, SCORE, TOP, asked, dense_candidates, docs_of, hybrid, nearest, reranked, searched
 from quarry.sources.tables import table as T
 
 QUERIES: dict = {}
@@ -21,7 +21,7 @@ add("m03_hashing_embedding", lambda s, d: hashing.embed(docs_of(s, d).select("do
 
 
 def compressed(s, d):
-    pool = bm25.best(bm25.scores(docs_of(s, d), asked(s, d)), 8).join(docs_of(s, d), "doc_id").join(asked(s, d).withColumnRenamed("text", "question"), "query_id")
+    pool = searched(s, d, 8).join(docs_of(s, d), "doc_id").join(asked(s, d).withColumnRenamed("text", "question"), "query_id")
     # a passage that is a table stays whole
     lines = F.when(F.regexp_count("text", F.lit(r"\|")) >= 4, F.array("text")).otherwise(passages.compress(tx.sentences(F.col("text")), F.array_distinct(tx.tokens(F.col("question")))))
     short = F.array_join(lines, "\n")
@@ -32,19 +32,19 @@ add("r11_compress", compressed)
 
 
 def candidates(s, d, pool=24):
-    dense = bm25.best(sims(s, d), pool, "similarity", "vec_id").select("query_id", F.col("vec_id").alias("item"), F.col("similarity").alias("dense"))
-    sparse = bm25.best(bm25.scores(docs_of(s, d), asked(s, d)), pool).select("query_id", F.col("doc_id").alias("item"), F.col("score").alias("sparse"))
+    dense = dense_candidates(s, d, pool).select("query_id", F.col("vec_id").alias("item"), F.col("similarity").alias("dense"))
+    sparse = searched(s, d, pool).select("query_id", F.col("doc_id").alias("item"), F.col("score").alias("sparse"))
     return dense.join(sparse, ["query_id", "item"], "full_outer").na.fill(0.0, ["dense", "sparse"])
 
 
 add("j02_full_outer_candidates", candidates, FUSED + " SELECT query_id, item, coalesce(dl.score, 0) AS dense, coalesce(sl.score, 0) AS sparse FROM dl FULL JOIN sl USING (query_id, item)")
 add("u03_union_of_candidates", lambda s, d: candidates(s, d).select("query_id", "item"), FUSED + " SELECT query_id, item FROM dl UNION SELECT query_id, item FROM sl")
-add("t02_bm25_top_k", lambda s, d: bm25.best(bm25.scores(docs_of(s, d), asked(s, d)), 5), SCORE + TOP.replace("{}", "").replace("<= 10", "<= 5"))
+add("t02_bm25_top_k", lambda s, d: searched(s, d, 5), SCORE + TOP.replace("{}", "").replace("<= 10", "<= 5"))
 add("t03_fused_top_k", lambda s, d: hybrid(s, d, k=5).select("query_id", "item", "rank"), FUSED + " SELECT query_id, item, rank FROM top WHERE rank <= 5")
 
 
 def citations(s, d, most=8):
-    cited = bm25.best(bm25.scores(docs_of(s, d), asked(s, d)), most).join(docs_of(s, d), "doc_id")
+    cited = searched(s, d, most).join(docs_of(s, d), "doc_id")
     return cited.select("query_id", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")).alias("marker"), "doc_id", "source", "score")
 
 
@@ -95,10 +95,9 @@ add("r17_confidence", confidence, f"""WITH found AS ({RETRIEVAL["r07_local_reran
 
 def tutor(s, d):
     """Confidence of an explanation: fixed without passages, else a little below the retrieval's, with a floor."""
-    emb = T(s, d, "embeddings")
-    asked_ = emb.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
-    # a question's own vector is no passage for it
-    best = vectors.similarities(emb, emb.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    asked_ = T(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
+    # a question's own vector is no passage for it, so the best other one is among two
+    best = nearest(s, d, 2)
     best = best.filter("vec_id <> query_id AND similarity >= 0.4").groupBy("query_id").agg(F.max("similarity").alias("c"))
     return asked_.join(best, "query_id", "left").select("query_id", F.when(F.col("c").isNull(), 0.35).otherwise(F.round(F.greatest(0.95 * F.col("c"), F.lit(0.45)), 6)).alias("confidence"))
 

@@ -10,7 +10,7 @@ from quarry.functions import text as tx
 from quarry.operators import answering, bm25, chunks
 from quarry.plans.answer_queries import QUERIES as ANSWERS
 from quarry.plans.learning_queries import sentences_sql, terms_sql
-from quarry.plans.retrieval_queries import QUERIES as RETRIEVAL, SCORE, asked, docs_of, reranked
+from quarry.plans.retrieval_queries import QUERIES as RETRIEVAL, SCORE, asked, docs_of, reranked, searched
 from quarry.plans.text_queries import CLEAN, FOLLOW_UP, HEADING, LINE_ROWS, LINK, PRONOUNS, STRIP, TOKEN_SQL, lines, vague
 from quarry.sources.tables import table as T
 
@@ -103,7 +103,7 @@ def header():
 
 
 def contexts(s, d):
-    top = bm25.best(bm25.scores(docs_of(s, d), asked(s, d)), 8).join(docs_of(s, d), "doc_id")
+    top = searched(s, d, 8).join(docs_of(s, d), "doc_id")
     return answering.context(top.select("query_id", "rank", header().alias("header"), "text"))
 
 
@@ -135,7 +135,7 @@ add("r20_evidence_gate", lambda s, d: _confidence(s, d).withColumn("c", F.col("c
 
 def quoted(s, d):
     """The retrieved passages as they are, for when no model answers."""
-    top = bm25.best(bm25.scores(docs_of(s, d), asked(s, d)), 8).join(docs_of(s, d), "doc_id")
+    top = searched(s, d, 8).join(docs_of(s, d), "doc_id")
     line = F.concat(F.lit("- ["), F.col("rank").cast("string"), F.lit("] "), F.col("source"), F.lit("\n  > "), tx.preview(F.col("text"), 400))
     body = top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
     return body.join(_confidence(s, d), "query_id").select("query_id", F.sha2("body", 256).alias("digest"), F.least("confidence", F.lit(0.5)).alias("confidence"))
@@ -146,7 +146,7 @@ add("r21_extractive_fallback", quoted, f"{TOP8}, pv AS (SELECT query_id, rank, s
 
 
 def offline(s, d):
-    best = bm25.best(bm25.scores(docs_of(s, d), asked(s, d)), 1).join(docs_of(s, d), "doc_id").join(asked(s, d).withColumnRenamed("text", "question"), "query_id")
+    best = searched(s, d, 1).join(docs_of(s, d), "doc_id").join(asked(s, d).withColumnRenamed("text", "question"), "query_id")
     return best.select("query_id", "doc_id", answering.best_sentences(F.col("text"), F.col("question")).alias("s"))
 
 
@@ -189,7 +189,7 @@ add("t10_stable_ties", lambda s, d: T(s, d, "documents").select("doc_id", F.row_
 
 def spots(s, d):
     """Where a passage first and last has a word of the question: how close together it has them."""
-    pool = bm25.best(bm25.scores(docs_of(s, d), asked(s, d)), 8).join(docs_of(s, d), "doc_id").join(asked(s, d).withColumnRenamed("text", "question"), "query_id")
+    pool = searched(s, d, 8).join(docs_of(s, d), "doc_id").join(asked(s, d).withColumnRenamed("text", "question"), "query_id")
     words = F.struct(F.filter(tx.tokens(F.col("question")), lambda t: F.length(t) > 1).alias("q"), tx.tokens(F.col("text")).alias("t"))
     found = tx.let(words, lambda v: F.filter(F.transform(v["t"], lambda x, i: F.when(F.array_contains(v["q"], x), i)), lambda i: i.isNotNull()))
     ends = tx.let(found, lambda f: F.struct(F.array_min(f).alias("first"), F.array_max(f).alias("last")))

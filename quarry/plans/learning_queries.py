@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import bm25, construct, grading, requests
-from quarry.plans.retrieval_queries import SCORE, asked, docs_of
+from quarry.plans.retrieval_queries import SCORE, asked, docs_of, searched
 from quarry.plans.study_queries import dialogue
 from quarry.plans.table_queries import MASTERY, QUERIES as TABLES, mastery
 from quarry.plans.text_queries import ANSWER_SQL, SPLIT, STOP, STRIP, WORDS, q, route
@@ -153,11 +153,11 @@ add("g06_exam_assembly", exam, EXAM.format(key=ANSWER_SQL.format("p_type"), widt
 def drill(s, d, topics=6, questions=8):
     """Passages for each of the first topics; all are searched in one batch."""
     few = asked(s, d).orderBy("query_id").limit(topics)
-    return bm25.best(bm25.scores(docs_of(s, d), few), max(4, questions // topics + 3)).select("query_id", "rank", "doc_id")
+    return searched(s, d, max(4, questions // topics + 3), few).select("query_id", "rank", "doc_id")
 
 
 add("g07_targeted_drill", drill, SCORE + ", t AS (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 6) SELECT query_id, CAST(r AS INT) AS rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc WHERE query_id IN (SELECT item_id FROM t)) WHERE r <= 4")
-add("j12_retrieval_per_key", lambda s, d: bm25.best(bm25.scores(docs_of(s, d), asked(s, d)), 3).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("documents")), SCORE + " SELECT query_id, string_agg(doc_id, ',' ORDER BY r) AS documents FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 3 GROUP BY ALL")
+add("j12_retrieval_per_key", lambda s, d: searched(s, d, 3).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("documents")), SCORE + " SELECT query_id, string_agg(doc_id, ',' ORDER BY r) AS documents FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 3 GROUP BY ALL")
 
 
 def deck(s, d, most=15):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.operators import bm25, fusion, vectors
 from quarry.plans.text_queries import TOKEN_SQL
+from quarry.sources.postings import documents_index
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -25,6 +26,11 @@ def asked(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def searched(spark, d, k, queries=None, allowed=None):
+    """The k best documents of each query, from the stored index."""
+    return documents_index(spark, d).search(asked(spark, d) if queries is None else queries, k, allowed)
+
+
 POST = f"WITH tok AS (SELECT doc_id, unnest({TOKEN_SQL.format('text')}) AS term FROM documents), post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT d.doc_id, count(term) AS dl FROM documents d LEFT JOIN tok USING (doc_id) GROUP BY ALL), stats AS (SELECT count(*) AS n, avg(greatest(dl, 1)) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM post GROUP BY ALL)"
 SCORE = (
     POST
@@ -32,8 +38,8 @@ SCORE = (
 )
 TOP = "SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc {}) WHERE rank <= 10"
 
-add("r05_bm25_search", lambda spark, d: bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d)), 10), SCORE + TOP.replace("{}", ""))
-add("r05_bm25_filtered", lambda spark, d: bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d), F.col("source").isin("src1", "src2")), 10), SCORE + TOP.replace("{}", "JOIN documents USING (doc_id) WHERE source IN ('src1', 'src2')"))
+add("r05_bm25_search", lambda spark, d: searched(spark, d, 10), SCORE + TOP.replace("{}", ""))
+add("r05_bm25_filtered", lambda spark, d: searched(spark, d, 10, allowed=F.col("source").isin("src1", "src2")), SCORE + TOP.replace("{}", "JOIN documents USING (doc_id) WHERE source IN ('src1', 'src2')"))
 add("a15_term_frequency", lambda spark, d: bm25.postings(docs_of(spark, d)), POST + " SELECT doc_id, term, tf FROM post")
 add("a14_document_frequency", lambda spark, d: bm25.frequencies(docs_of(spark, d)), POST + " SELECT term, df FROM df")
 add("a16_average_length", lambda spark, d: bm25.corpus_stats(bm25.lengths(docs_of(spark, d))).select("n", F.round("avgdl", 6).alias("avgdl")), POST + " SELECT n, round(avgdl, 6) AS avgdl FROM stats")
@@ -64,20 +70,27 @@ add("m02_cosine", lambda spark, d: sims(spark, d).select("query_id", "vec_id", "
 add("t01_vector_top_k", lambda spark, d: nearest(spark, d, 10), f"WITH {PAIR} {TOPV.replace('{}', '')}")
 add("j03_query_by_vector", lambda spark, d: nearest(spark, d, 3), f"WITH {PAIR} {TOPV.replace('{}', '').replace('<= 10', '<= 3')}")
 add("r04_vector_query_filtered", lambda spark, d: nearest(spark, d, 10, F.col("label").cast("string").isin("3", "7")), f"WITH {PAIR} {TOPV.replace('{}', 'WHERE label IN (3, 7)')}")
-add("a20_reciprocal_rank_fusion", lambda spark, d: fusion.reciprocal_ranks(bm25.best(sims(spark, d), 20, "similarity", "vec_id").select((F.col("query_id") % 400).alias("query_id"), F.col("vec_id").alias("item"), "rank")), f"WITH {PAIR}, r AS (SELECT query_id % 400 AS query_id, vec_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sim) SELECT query_id, item, round(sum(1 / (60 + rank)), 6) AS rrf FROM r WHERE rank <= 20 GROUP BY ALL")
+add("a20_reciprocal_rank_fusion", lambda spark, d: fusion.reciprocal_ranks(nearest(spark, d, 20).select((F.col("query_id") % 400).alias("query_id"), F.col("vec_id").alias("item"), "rank")), f"WITH {PAIR}, r AS (SELECT query_id % 400 AS query_id, vec_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sim) SELECT query_id, item, round(sum(1 / (60 + rank)), 6) AS rrf FROM r WHERE rank <= 20 GROUP BY ALL")
+
+
+def dense_candidates(spark, d, pool):
+    """The nearest vectors of those whose id is a benchmark text's."""
+    emb, ids = table(spark, d, "embeddings"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    queries = emb.select(F.col("vec_id").alias("query_id"), "embedding").join(ids, "query_id", "left_semi")
+    return bm25.best(vectors.nearest(emb, queries, pool), pool, "similarity", "vec_id")
 
 
 def hybrid(spark, d, k=8, pool=24):
-    """Dense and sparse candidates of the same ids; the queries are all benchmark texts, and every hundredth vector."""
-    dense = bm25.best(sims(spark, d), pool, "similarity", "vec_id").select("query_id", F.lit(0).alias("variant"), F.col("vec_id").alias("item"), F.col("similarity").alias("score"))
-    sparse = bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d)), pool).select("query_id", F.lit(0).alias("variant"), F.col("doc_id").alias("item"), "score")
+    """Dense and sparse candidates of the same ids; the queries are all benchmark texts, with the vectors of their ids."""
+    dense = dense_candidates(spark, d, pool).select("query_id", F.lit(0).alias("variant"), F.col("vec_id").alias("item"), F.col("similarity").alias("score"))
+    sparse = searched(spark, d, pool).select("query_id", F.lit(0).alias("variant"), F.col("doc_id").alias("item"), "score")
     return bm25.best(fusion.fuse(dense, sparse), k, "score", "item")
 
 
 NORM = "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
 FUSED = (
     SCORE
-    + f", {PAIR}, dl AS (SELECT query_id, vec_id AS item, similarity AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM sim) WHERE r <= 24), sl AS (SELECT query_id, doc_id AS item, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 24), dn AS (SELECT query_id, item, {NORM} AS x FROM dl WINDOW w AS (PARTITION BY query_id)), sn AS (SELECT query_id, item, {NORM} AS x FROM sl WINDOW w AS (PARTITION BY query_id)), fu AS (SELECT query_id, item, round(coalesce(dn.x, 0), 6) AS dense, round(coalesce(sn.x, 0), 6) AS sparse, round(0.7 * coalesce(dn.x, 0) + 0.3 * coalesce(sn.x, 0), 6) AS score FROM dn FULL JOIN sn USING (query_id, item)), top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS INT) AS rank FROM fu) WHERE rank <= 8)"
+    + f", {PAIR.replace('b.vec_id % 100 = 0', 'b.vec_id IN (SELECT item_id FROM benchmark)')}, dl AS (SELECT query_id, vec_id AS item, similarity AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM sim) WHERE r <= 24), sl AS (SELECT query_id, doc_id AS item, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 24), dn AS (SELECT query_id, item, {NORM} AS x FROM dl WINDOW w AS (PARTITION BY query_id)), sn AS (SELECT query_id, item, {NORM} AS x FROM sl WINDOW w AS (PARTITION BY query_id)), fu AS (SELECT query_id, item, round(coalesce(dn.x, 0), 6) AS dense, round(coalesce(sn.x, 0), 6) AS sparse, round(0.7 * coalesce(dn.x, 0) + 0.3 * coalesce(sn.x, 0), 6) AS score FROM dn FULL JOIN sn USING (query_id, item)), top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS INT) AS rank FROM fu) WHERE rank <= 8)"
 )
 add("r06_hybrid_retrieve", hybrid, FUSED + " SELECT * FROM top")
 add("j01_hydrate_ranked", lambda spark, d: hybrid(spark, d).join(docs_of(spark, d), F.col("item") == F.col("doc_id")).select("query_id", "rank", "doc_id", "source", F.length("text").alias("n")), FUSED + " SELECT query_id, rank, doc_id, source, CAST(length(text) AS INT) AS n FROM top JOIN documents ON item = doc_id")
@@ -97,7 +110,7 @@ def _rerank_score(qt, t):
 
 def reranked(spark, d):
     """Local reranking of the sparse candidates: coverage, rare words, proximity, score and position."""
-    pool = bm25.best(bm25.scores(docs_of(spark, d), asked(spark, d)), 8)
+    pool = searched(spark, d, 8)
     pool = pool.join(docs_of(spark, d), "doc_id").join(asked(spark, d).withColumnRenamed("text", "query"), "query_id")
     n = F.count(F.lit(1)).over(W.partitionBy("query_id"))
     pool = pool.withColumn("prior", 1 - (F.col("rank") - 1) / n)

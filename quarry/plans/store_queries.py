@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from quarry.functions import structure
 from quarry.functions import text as tx
-from quarry.operators import bm25, hashing
-from quarry.plans.retrieval_queries import POST, docs_of
+from quarry.operators import hashing
+from quarry.plans.retrieval_queries import POST, SCORE, TOP, asked, docs_of
 from quarry.plans.table_queries import MASTERY
+from quarry.plans.text_queries import TOKEN_SQL
 from quarry.sources import loaders
-from quarry.sources.store import Index, Store, embed_missing
+from quarry.sources.postings import PostingsIndex
+from quarry.sources.snapshots import Catalog
+from quarry.sources.store import Store, embed_missing
 from quarry.sources.tables import table as T
 from quarry.streaming import events
 
@@ -111,28 +114,27 @@ add("m08_trim_to_tokens", trimmed)
 
 
 # Stored tables.
-def saved(s, d):
-    store = Store.fresh(s, "saved")
-    return store.save("frequencies", bm25.frequencies(docs_of(s, d)))
+def indexed(s, d):
+    index = PostingsIndex(Catalog.fresh(s, "index"))
+    index.add(docs_of(s, d))
+    return index
 
 
-add("k06_index_save", saved, POST + " SELECT term, df FROM df")
+add("k06_index_save", lambda s, d: indexed(s, d).frequencies().select("term", "df"), POST + " SELECT term, df FROM df")
 
 
 def found_or_not(s, d):
-    store = Store.fresh(s, "loads")
-    store.save("there", T(s, d, "region"))
-    names = ["there", "missing"]
-    return s.createDataFrame([(n, store.load(n) is not None) for n in names], "name string, found boolean")
-
+    """Passages of the index as it is stored, of one that is missing, and of one whose manifest is no manifest."""
+    index, broken = indexed(s, d), Catalog.fresh(s, "broken")
+    broken._write(f"log/{1:020d}.json", "{")
+    rows = []
+    for name, catalog in (("stored", index.catalog), ("missing", Catalog.fresh(s, "nothing")), ("corrupt", broken)):
+        there = Store(s, catalog.root).load("passages")
+        rows.append((name, there is not None, there.count() if there is not None else 0))
+    return s.createDataFrame(rows, "name string, found boolean, passages bigint")
 
-add("s15_index_load", found_or_not, "SELECT * FROM (VALUES ('there', true), ('missing', false)) AS t(name, found)")
 
-
-def indexed(s, d):
-    index = Index(Store.fresh(s, "index"))
-    index.add(docs_of(s, d))
-    return index
+add("s15_index_load", found_or_not, "SELECT 'stored' AS name, true AS found, count(*) AS passages FROM documents UNION ALL SELECT * FROM (VALUES ('missing', false, 0), ('corrupt', false, 0))")
 
 
 def emptied(s, d):
@@ -146,27 +148,71 @@ add("k03_index_reset", emptied, "SELECT count(*) AS before, CAST(0 AS BIGINT) AS
 
 
 def without(s, d):
-    """What is left in both tables after one source is removed."""
+    """What is left of the frequencies after one source is removed."""
     index = indexed(s, d)
     gone = index.remove(F.col("source") == "src3")
-    left = index.store.load(Index.POSTINGS).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return left.withColumn("gone", F.lit(gone).cast("bigint"))
+    return index.frequencies().select("term", "df", F.lit(gone).cast("bigint").alias("gone"))
 
 
 add("k08_remove_document", without, POST + " SELECT term, count(*) AS df, (SELECT count(*) FROM documents WHERE source = 'src3') AS gone FROM post JOIN documents USING (doc_id) WHERE source <> 'src3' GROUP BY term")
-add("k09_index_rebuild", lambda s, d: indexed(s, d).rebuild().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), POST + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
+
+
+def rebuilt(s, d):
+    """All tables made anew from what is stored, after texts were replaced by themselves."""
+    index = indexed(s, d)
+    index.add(docs_of(s, d).filter("source = 'src1'"))
+    index.compact()
+    return index.frequencies()
+
+
+add("k09_index_rebuild", rebuilt, POST + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
 
 
 def again(s, d):
     """A source whose documents are indexed again with other texts: nothing of the first ones is left."""
     index = indexed(s, d)
     index.add(docs_of(s, d).filter("source = 'src2'").withColumn("text", F.concat(F.lit("entry "), F.col("doc_id").cast("string"))))
-    return index.store.load(Index.POSTINGS).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.frequencies().select("term", "df")
 
 
 add("k18_reindex_document", again, POST.replace("FROM documents), post", "FROM (SELECT doc_id, CASE WHEN source = 'src2' THEN 'entry ' || doc_id ELSE text END AS text FROM documents)), post") + " SELECT term, df FROM df")
 
 
+def changed_search(s, d):
+    """Searches after a source was removed and another one's texts were cut in half: the index as it is now answers."""
+    index = indexed(s, d)
+    index.remove(F.col("source") == "src3")
+    index.add(docs_of(s, d).filter("source = 'src2'").withColumn("text", F.left("text", F.floor(F.length("text") / 2).cast("int"))))
+    return index.search(asked(s, d), 10)
+
+
+HALVED = "(SELECT doc_id, CASE WHEN source = 'src2' THEN left(text, length(text) // 2) ELSE text END AS text FROM documents WHERE source <> 'src3')"
+add("r05_search_after_changes", changed_search, SCORE.replace("FROM documents), post", f"FROM {HALVED}), post").replace("FROM documents d LEFT JOIN", f"FROM {HALVED} d LEFT JOIN") + TOP.replace("{}", ""))
+
+
+def boosted_search(s, d):
+    """Key terms and the source as a heading count twice besides the text."""
+    index = PostingsIndex(Catalog.fresh(s, "boosted"))
+    index.add(docs_of(s, d).withColumn("boost_terms", F.array(F.upper("source"), F.regexp_extract("text", "[A-Za-z]{4,}", 0))))
+    return index.search(asked(s, d).withColumn("text", F.concat(F.left("text", F.lit(60)), F.lit(" src2"))), 10)
+
+
+BOOSTED = f"{TOKEN_SQL.format('text')} || [lower(source), lower(source), lower(regexp_extract(text, '[A-Za-z]{{4,}}', 0)), lower(regexp_extract(text, '[A-Za-z]{{4,}}', 0))]"
+add("r05_boosted_search", boosted_search, SCORE.replace(f"unnest({TOKEN_SQL.format('text')}) AS term FROM documents", f"unnest({BOOSTED}) AS term FROM documents").replace(f"unnest({TOKEN_SQL.format('text')}) AS term FROM benchmark", f"unnest({TOKEN_SQL.format("left(text, 60) || ' src2'")}) AS term FROM benchmark") + TOP.replace("{}", ""))
+
+
+def versions(s, d):
+    """Postings and passages of each version of an index that grew and shrank: an older one stays as it was."""
+    index = indexed(s, d)
+    index.remove(F.col("source") == "src3")
+    index.remove(F.col("source") == "src2")
+    rows = [(v, index.passages(index.catalog.snapshot(v)).count(), index.frequencies(index.catalog.snapshot(v)).count()) for v in index.catalog.versions()]
+    return s.createDataFrame(rows, "version bigint, passages bigint, terms bigint")
+
+
+add("k18_versions", versions, POST + ", v AS (SELECT * FROM (VALUES (1, ['']), (2, ['src3']), (3, ['src3', 'src2'])) AS t(version, gone)) SELECT CAST(version AS BIGINT) AS version, count(DISTINCT d.doc_id) AS passages, count(DISTINCT term) AS terms FROM v JOIN documents d ON NOT list_contains(gone, source) LEFT JOIN post USING (doc_id) GROUP BY version")
+
+
 def cached(s, d):
     """Entries written, some deleted by key, then all cleared."""
     store = Store.fresh(s, "cache")

@@ -1,108 +1,64 @@
-"""Tables that live across jobs: saved in one move, loaded if they are there, and an index of passages over them."""
+"""Tables that live across jobs, under versions, and embeddings worked out only where a cache has none."""
 
 from __future__ import annotations
 
-import uuid
-
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import bm25
-from quarry.streaming.runs import shared_root
+from quarry.sources.snapshots import Catalog, Drop, Put
 
 
 class Store:
-    """Parquet tables below one folder of a file system that all executors share."""
+    """Named tables of a catalog. Each change is one commit: a reader sees all of it or nothing."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.catalog = spark, Catalog(spark, root)
 
     @staticmethod
     def fresh(spark: SparkSession, name: str) -> Store:
-        return Store(spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+        return Store(spark, Catalog.fresh(spark, name).root)
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        """The table is complete under its name, or as it was: it is written aside, then renamed."""
-        aside = f".{name}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{aside}")
-        fs, path = self._path(name)
-        fs.delete(path, True)
-        if not fs.rename(self._path(aside)[1], path):
-            raise OSError(f"could not rename {aside} to {name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def load(self, name: str) -> DataFrame | None:
-        """The table, or None if it is missing or no table."""
+        """The table is complete under its name, or as it was."""
+        return self.catalog.commit(lambda _: {name: Put(df)}).load(name)
+
+    def load(self, name: str, version: int | None = None) -> DataFrame | None:
+        """The table, or None if there is none or its version cannot be read."""
         try:
-            return self.spark.read.parquet(f"{self.root}/{name}")
-        except (AnalysisException, Py4JJavaError):
+            return self.catalog.load(name, version)
+        except (AnalysisException, Py4JJavaError, ValueError, KeyError):
             return None
 
     def delete(self, name: str) -> bool:
-        fs, path = self._path(name)
-        return bool(fs.delete(path, True))
+        there = self.load(name) is not None
+        if there:
+            self.catalog.commit(lambda _: {name: Drop()})
+        return there
 
     def upsert(self, name: str, rows: DataFrame, key: str) -> DataFrame:
         """Rows take the place of those with their key; one of several new rows with a key is kept."""
         rows = rows.dropDuplicates([key])
-        old = self.load(name)
-        return self.save(name, rows if old is None else old.join(rows.select(key), key, "left_anti").unionByName(rows))
+
+        def change(now):
+            old = now.load(name)
+            return {name: Put(rows if old is None else old.join(rows.select(key), key, "left_anti").unionByName(rows))}
+
+        return self.catalog.commit(change).load(name)
 
     def remove(self, name: str, condition) -> int:
         """How many rows met the condition and are gone."""
-        old = self.load(name)
-        if old is None:
-            return 0
-        gone = old.filter(condition).count()
-        if gone:
-            self.save(name, old.filter(~F.coalesce(condition, F.lit(False))))
-        return gone
+        gone = 0
 
+        def change(now):
+            nonlocal gone
+            old = now.load(name)
+            gone = 0 if old is None else old.filter(condition).count()
+            return {name: Put(old.filter(~F.coalesce(condition, F.lit(False))))} if gone else {}
 
-class Index:
-    """Passages with their postings and lengths; what is added replaces what has its id."""
-
-    PASSAGES, POSTINGS = "passages", "postings"
-
-    def __init__(self, store: Store, key: str = "doc_id"):
-        self.store, self.key = store, key
-
-    def add(self, docs: DataFrame) -> None:
-        self.store.upsert(self.PASSAGES, docs, self.key)
-        fresh = bm25.postings(docs.dropDuplicates([self.key]), self.key)
-        old = self.store.load(self.POSTINGS)
-        # all postings of a replaced passage go, also those of terms that it no longer has
-        self.store.save(self.POSTINGS, fresh if old is None else old.join(docs.select(self.key).distinct(), self.key, "left_anti").unionByName(fresh))
-
-    def remove(self, condition) -> int:
-        """Passages that meet a condition on their columns, from both tables."""
-        passages = self.store.load(self.PASSAGES)
-        if passages is None:
-            return 0
-        gone = passages.filter(condition).select(self.key)
-        postings = self.store.load(self.POSTINGS)
-        if postings is not None:
-            self.store.save(self.POSTINGS, postings.join(gone, self.key, "left_anti"))
-        return self.store.remove(self.PASSAGES, condition)
-
-    def rebuild(self) -> DataFrame | None:
-        """Postings made anew from the stored passages."""
-        passages = self.store.load(self.PASSAGES)
-        return None if passages is None else self.store.save(self.POSTINGS, bm25.postings(passages, self.key))
-
-    def reset(self) -> None:
-        self.store.delete(self.PASSAGES)
-        self.store.delete(self.POSTINGS)
-
-    def count(self) -> int:
-        passages = self.store.load(self.PASSAGES)
-        return 0 if passages is None else passages.count()
+        self.catalog.commit(change)
+        return gone
 
 
 def embed_missing(docs: DataFrame, cache: DataFrame | None, embed, key: str) -> DataFrame:

@@ -13,7 +13,7 @@ from quarry.functions import structure
 from quarry.functions import text as tx
 from quarry.operators import bm25, chunks, vectors
 from quarry.sources import loaders
-from quarry.sources.store import Index, Store
+from quarry.sources.store import Store
 from quarry.streaming import events, ingest
 
 SF = "/root/testdata/sf0.001"
@@ -147,7 +147,7 @@ def test_json_within_text():
     assert structure.json_within("{" * 3000) is None and structure.json_within(None) is None
 
 
-def test_store_and_index(spark):
+def test_store(spark):
     store = Store.fresh(spark, "t")
     rows = lambda *r: spark.createDataFrame([*r], "doc_id bigint, text string")
     assert store.load("x") is None and store.remove("x", F.lit(True)) == 0
@@ -155,14 +155,6 @@ def test_store_and_index(spark):
     store.upsert("x", rows((2, "c"), (3, None)), "doc_id")
     assert sorted((r.doc_id, r.text) for r in store.load("x").collect() if r.text) == [(1, "a"), (2, "c")]
     assert store.remove("x", F.col("text") == "a") == 1 and store.load("x").count() == 2
-    index = Index(store)
-    index.add(rows((1, "cats dogs"), (2, "dogs")))
-    index.add(rows((1, "birds")))
-    assert {(r.doc_id, r.term) for r in store.load(Index.POSTINGS).collect()} == {(1, "birds"), (1, "bird"), (2, "dogs"), (2, "dog")}
-    assert index.remove(F.col("doc_id") == 2) == 1 and index.count() == 1
-    assert {r.term for r in index.rebuild().collect()} == {"birds", "bird"}
-    index.reset()
-    assert index.count() == 0 and index.rebuild() is None
 
 
 def test_streams_go_on_where_they_were(spark, tmp_path):
