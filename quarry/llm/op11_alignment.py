@@ -42,7 +42,7 @@ from quarry.llm.shared import Stash, table
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text of a block; bits of its number within a task; bytes of a bin of the range join.
-BLOCK, CHUNKS, BIN = 16 << 20, 11, 16
+BLOCK, CHUNKS, BIN = 8 << 20, 11, 16
 #: Documents of a partition that are folded in memory, about those of a block; more are sorted.
 FOLDED = 5000
 #: Different pairs up to which their counts are sent to every task; beyond it they are shuffled.
