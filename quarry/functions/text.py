@@ -83,11 +83,13 @@ def forms(raw: Column) -> Column:
     folded = (
         F.when(low.endswith("ies") & (n > 5), F.array(low, F.concat(cut(3), F.lit("y"))))
         .when(low.endswith("sses"), F.array(low, cut(2)))
-        .when(low.endswith("s") & ~low.rlike("(ss|us|is)$"), F.array(low, cut(1)))
+        .when(low.endswith("s") & ~(low.endswith("ss") | low.endswith("us") | low.endswith("is")), F.array(low, cut(1)))
         .when(~low.endswith("s") & low.endswith("ing") & (n > 6), F.array(low, cut(3)))
         .otherwise(F.array(low))
     )
-    return F.when(~raw.rlike(r"^\p{L}+$"), F.array(raw)).when(n < 2, F.array(low)).otherwise(folded)
+    # longer tokens are numbers, or begin with a Latin letter and are words unless they hold one of two marks
+    mixed = raw.contains("'") | raw.contains("-") | F.substring(raw, 1, 1).between("0", "9")
+    return F.when(n < 2, F.when(raw.rlike(r"^\p{L}$"), F.array(low)).otherwise(F.array(raw))).when(mixed, F.array(raw)).otherwise(folded)
 
 
 def raw_tokens(text: Column) -> Column:
@@ -118,32 +120,30 @@ def key_terms(text: Column, limit: int = 12) -> Column:
     """The most frequent content words, earlier ones first on ties: counted within the row."""
     raw = F.regexp_extract_all(text, F.lit(WORD_OR_NUMBER), F.lit(0))
     usable = F.filter(F.transform(raw, lambda w: F.lower(w)), lambda w: (F.length(w) >= 2) & w.rlike("^[a-z]") & ~w.isin(CONTENT_STOPWORDS))
-    runs = F.aggregate(
-        F.array_sort(F.transform(usable, lambda w, i: F.struct(w.alias("w"), i.alias("i")))),
-        F.array().cast("array<struct<n:int,i:int,w:string>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["w"] == x["w"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct((F.element_at(acc, -1)["n"] - 1).alias("n"), F.element_at(acc, -1)["i"].alias("i"), x["w"].alias("w")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(F.lit(-1).alias("n"), x["i"].alias("i"), x["w"].alias("w"))))),
-    )
-    return F.transform(F.slice(F.array_sort(runs), 1, limit), lambda x: x["w"])
+    in_order = F.array_sort(F.transform(usable, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def runs(x: Column) -> Column:
+        """Neighbours that are the same word, as (-count, first place, word): cut where a word differs from the one before."""
+        first = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda k: (k == 0) | (F.get(x, k)["w"] != F.get(x, k - 1)["w"]))
+        count = lambda f: F.transform(f, lambda k, j: F.struct((k - F.coalesce(F.get(f, j + 1), F.size(x))).alias("n"), F.get(x, k)["i"].alias("i"), F.get(x, k)["w"].alias("w")))
+        return F.when(F.size(x) > 0, let(first, count)).otherwise(F.array().cast("array<struct<n:int,i:int,w:string>>"))
+
+    return F.transform(F.slice(F.array_sort(let(in_order, runs)), 1, limit), lambda x: x["w"])
 
 
 def sentences(text: Column, least: int = 25) -> Column:
     """Sentences, with fragments below ``least`` characters merged into what follows."""
     flat = F.replace(squeeze(text), F.lit("\n"), F.lit(" "))
-    raw = F.split(flat, "(?<=[.!?])\\s+(?=[A-Z0-9(\\[\"'“])")
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
-
-    def step(acc: Column, part: Column) -> Column:
-        joined = strip(F.when(acc["held"] != "", F.concat(acc["held"], F.lit(" "), part)).otherwise(part))
-        keep_on = F.struct(acc["out"].alias("out"), joined.alias("held"))
-        short = (F.length(joined) < least) & ~joined.rlike(r"[.!?]$")
-        take = (F.length(joined) >= least) | (F.size(acc["out"]) > 0)
-        done = F.struct(F.concat(acc["out"], F.array(joined)).alias("out"), F.lit("").alias("held"))
-        return F.when(joined == "", acc).when(short | ~take, keep_on).otherwise(done)
-
-    return F.aggregate(raw, empty, step, lambda acc: F.when(acc["held"] != "", F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"]))
+    raw = F.transform(F.split(flat, "(?<=[.!?])\\s+(?=[A-Z0-9(\\[\"'“])"), strip)
+    # all parts but the last end a sentence, so only those before the first of enough characters go together
+    start = F.struct(F.lit(0).alias("parts"), F.lit(-1).alias("chars"))
+    step = lambda acc, part: F.when(acc["chars"] >= least, acc).otherwise(F.struct((acc["parts"] + 1).alias("parts"), (acc["chars"] + 1 + F.length(part)).alias("chars")))
+
+    def merged(parts: Column) -> Column:
+        taken = F.aggregate(F.slice(parts, 1, least + 1), start, step)["parts"]
+        return let(taken, lambda n: F.concat(F.array(F.array_join(F.slice(parts, F.lit(1), n), " ")), F.slice(parts, n + 1, F.size(parts))))
+
+    return F.filter(let(raw, merged), lambda x: x != "")
 
 
 def is_heading(line: Column) -> Column:

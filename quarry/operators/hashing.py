@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from functools import lru_cache
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,35 +11,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.operators import digest
 
 WORD = re.compile(tx.WORD_OR_NUMBER)
 STOP = frozenset(tx.CONTENT_STOPWORDS)
 #: Width, gram sizes and weights.
 WIDTH, GRAMS, GRAM_WEIGHT, KEY_BOOST, STEM_WEIGHT, KEY_TERMS = 384, (3, 4, 5), 0.35, 1.6, 0.4, 8
+#: Words that a worker remembers.
+REMEMBERED = 1 << 16
 
 
-def bucket(feature: str, width: int = WIDTH) -> int:
-    return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "replace"), digest_size=8).digest(), "big") % width
+class Places:
+    """Where words, their stem marks and their grams go. New words of a batch are hashed together."""
 
+    def __init__(self, width: int = WIDTH):
+        self.width, self.known = width, {}
 
-@lru_cache(maxsize=1 << 16)
-def _places(word: str, width: int) -> tuple[int, int, np.ndarray]:
-    """Where a word, its stem mark and its grams go; frequent words are hashed once in a worker."""
-    framed = f"<{word}>"
-    grams = [framed[at : at + size] for size in GRAMS for at in range(max(1, len(framed) - size + 1))]
-    return bucket(word, width), bucket(f"{word}~stem", width), np.array([bucket(g, width) for g in grams])
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        new = [w for w in words if w not in self.known]
+        features, ends = [], []
+        for word in new:
+            framed = f"<{word}>"
+            features += [word, f"{word}~stem", *(framed[at : at + size] for size in GRAMS for at in range(max(1, len(framed) - size + 1)))]
+            ends.append(len(features))
+        places, lo = (digest.hashes(features) % np.uint64(self.width)).astype(np.int64), 0
+        for word, hi in zip(new, ends, strict=True):
+            self.known[word] = (places[lo], places[lo + 1], places[lo + 2 : hi])
+            lo = hi
 
 
 def vector(text: str, width: int = WIDTH) -> np.ndarray:
-    """Of a lower-case text; unit length, or zeros for a text without words. Its most frequent content words count for more."""
-    counts: dict[str, int] = {}
-    for word in WORD.findall(text):
-        counts[word] = counts.get(word, 0) + 1
+    return _vector(Counter(WORD.findall(text)), Places(width))
+
+
+def _vector(counts: Counter, places: Places) -> np.ndarray:
+    """Of a text's words in their order; unit length, or zeros without words. The most frequent content words count for more."""
+    places.learn(counts.keys())
+    width = places.width
     content = [w for w in counts if len(w) >= 2 and "a" <= w[0] <= "z" and w not in STOP]
     boosted = set(sorted(content, key=lambda w: -counts[w])[:KEY_TERMS])  # ties: in the order of the text
     out = np.zeros(width)
     for word, n in counts.items():
-        own, stem, grams = _places(word, width)
+        own, stem, grams = places.known[word]
         weight = (1.0 + np.log(n)) * (KEY_BOOST if word in boosted else 1.0)
         out[own] += weight
         out[stem] += weight * STEM_WEIGHT
@@ -55,10 +69,12 @@ def embed(docs: DataFrame, key: str = "doc_id", width: int = WIDTH) -> DataFrame
     rows = docs.select(key, lower.alias("text"))
 
     def run(batches):
+        places = Places(width)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            flat = np.concatenate([vector(t, width) for t in texts]) if texts else np.zeros(0, np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width), pa.array(flat))
+            counts = [Counter(WORD.findall(t)) for t in batch.column(1).to_pylist()]
+            places.learn(set().union(*counts))
+            flat = np.concatenate([_vector(c, places) for c in counts]) if counts else np.zeros(0, np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * width), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "embedding"])
 
     return rows.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, embedding array<float>")

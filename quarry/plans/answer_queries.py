@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import bm25, hashing, passages, vectors
+from quarry.operators import bm25, digest, hashing, passages, vectors
 from quarry.plans.retrieval_queries import FUSED, QUERIES as RETRIEVAL, SCORE, TOP, asked, dense_candidates, docs_of, hybrid, nearest, reranked, searched
 from quarry.sources.tables import table as T
 
@@ -17,6 +17,7 @@ def add(name, build, sql=None):
 
 
 add("r02_split_long_block", lambda s, d: docs_of(s, d).select("doc_id", F.posexplode(passages.pack(tx.sentences(F.col("text"), 40))).alias("place", "passage")))
+add("m11_stable_hash", lambda s, d: digest.stable_hash(docs_of(s, d), "doc_id", "text"))
 add("m03_hashing_embedding", lambda s, d: hashing.embed(docs_of(s, d).select("doc_id", "text")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import structure
 from quarry.functions import text as tx
-from quarry.operators import answering, bm25, chunks
+from quarry.operators import answering, bm25, chunks, scans
 from quarry.plans.answer_queries import QUERIES as ANSWERS
 from quarry.plans.learning_queries import sentences_sql, terms_sql
 from quarry.plans.retrieval_queries import QUERIES as RETRIEVAL, SCORE, asked, docs_of, reranked, searched
@@ -184,7 +184,7 @@ def compared(s, d):
 
 add("r22_compare_sources", compared, SCORE + ", b AS (SELECT query_id, source, max(score) AS best FROM sc JOIN documents USING (doc_id) GROUP BY ALL) SELECT query_id, count(*) AS sources, min(best) AS least, max(best) AS most FROM b GROUP BY ALL")
 add("j14_marker_lookup", lambda s, d: ANSWERS["r14_build_citations"][0](s, d).join(s.range(1, 10, 3).select(F.concat(F.lit("["), F.col("id").cast("string"), F.lit("]")).alias("marker")), "marker").select("query_id", "marker", "doc_id"), f"WITH c AS ({ANSWERS['r14_build_citations'][1]}) SELECT query_id, marker, doc_id FROM c WHERE marker IN ('[1]', '[4]', '[7]')")
-add("t10_stable_ties", lambda s, d: T(s, d, "documents").select("doc_id", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).alias("place")), "SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INT) AS place FROM documents")
+add("t10_stable_ties", lambda s, d: scans.numbered(T(s, d, "documents").select("lang", "n_chars", "doc_id"), ["lang"], [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", (F.col("place") + 1).cast("int").alias("place")), "SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INT) AS place FROM documents")
 
 
 def spots(s, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.operators import bm25, fusion, vectors
 from quarry.plans.text_queries import TOKEN_SQL
+from quarry.sources.cells import CellVectors
 from quarry.sources.postings import documents_index
 from quarry.sources.tables import table
 
@@ -69,6 +70,20 @@ add("m01_l2_normalize", lambda spark, d: table(spark, d, "embeddings").select("v
 add("m02_cosine", lambda spark, d: sims(spark, d).select("query_id", "vec_id", "similarity"), f"WITH {PAIR} SELECT query_id, vec_id, similarity FROM sim")
 add("t01_vector_top_k", lambda spark, d: nearest(spark, d, 10), f"WITH {PAIR} {TOPV.replace('{}', '')}")
 add("j03_query_by_vector", lambda spark, d: nearest(spark, d, 3), f"WITH {PAIR} {TOPV.replace('{}', '').replace('<= 10', '<= 3')}")
+
+
+def in_cells(spark, d, k, probes=None):
+    """The vectors in cells, of which those of the nearest centres are read; one source's labels are put in anew."""
+    cells = CellVectors.fresh(spark)
+    emb = table(spark, d, "embeddings")
+    cells.upsert(emb)
+    cells.upsert(emb.filter("label = 3"))
+    return cells.query(emb.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k, probes=probes).select("query_id", "vec_id", "similarity", "rank")
+
+
+# all cells give the exact result; the fitted number of them gives most of it
+add("t01_all_cells", lambda spark, d: in_cells(spark, d, 10, 10**6), f"WITH {PAIR} {TOPV.replace('{}', '')}")
+add("t01_nearest_cells", lambda spark, d: in_cells(spark, d, 10))
 add("r04_vector_query_filtered", lambda spark, d: nearest(spark, d, 10, F.col("label").cast("string").isin("3", "7")), f"WITH {PAIR} {TOPV.replace('{}', 'WHERE label IN (3, 7)')}")
 add("a20_reciprocal_rank_fusion", lambda spark, d: fusion.reciprocal_ranks(nearest(spark, d, 20).select((F.col("query_id") % 400).alias("query_id"), F.col("vec_id").alias("item"), "rank")), f"WITH {PAIR}, r AS (SELECT query_id % 400 AS query_id, vec_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sim) SELECT query_id, item, round(sum(1 / (60 + rank)), 6) AS rrf FROM r WHERE rank <= 20 GROUP BY ALL")
 
@@ -138,7 +153,10 @@ add("w04_context_budget", lambda spark, d: _budget(spark, d), """WITH b AS (SELE
 def _budget(spark, d):
     """Blocks of a source in order until one overflows; that one is cut if enough room is left."""
     earlier = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    blocks = table(spark, d, "documents").select("source", "doc_id", (F.col("n_chars") + 20).alias("size"))
+    blocks = table(spark, d, "documents").select("source", "doc_id", (F.col("n_chars") + 20).alias("size")).filter("size IS NOT NULL")
+    # a block takes 22 characters at least, so that no later one can have room: each task keeps as many of a source
+    most = 12000 // 22 + 1
+    blocks = blocks.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).filter(F.col("place") <= most)
     blocks = blocks.withColumn("before", F.coalesce(F.sum(F.col("size") + 2).over(earlier), F.lit(0)))
     blocks = blocks.withColumn("over", F.col("before") + F.col("size") > 12000)
     blocks = blocks.withColumn("past", F.coalesce(F.max(F.col("over").cast("int")).over(earlier), F.lit(0)))

@@ -244,3 +244,4 @@ add("x06_rolling_timings", lambda s, d: events.rolling_timings(s, d).select("eve
 add("x05_rolling_memory", lambda s, d: events.rolling_memory(s, d, after=4).select("conv_id", "messages", "recent", F.col("summary").isNotNull().alias("summarised")),
     r"""WITH r AS (SELECT *, CASE WHEN role = 'user' THEN 'Learner: ' ELSE 'Tutor: ' END || left(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), 400) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
   SELECT conv_id, any_value(n) AS messages, string_agg(line, e'\n' ORDER BY turn, role, text) AS recent, any_value(n) > 6 AS summarised FROM r WHERE p <= 6 GROUP BY conv_id""")
+add("s17_expiring_cache", lambda s, d: events.expiring_cache(s, d, ttl=3 * 86_400_000), "WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r, max(ts) OVER () AS now FROM events) SELECT user_id, event_type, value, ts + INTERVAL 3 DAY <= date_trunc('millisecond', now) AS expired FROM l WHERE r = 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators import scans
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -123,8 +124,8 @@ add("a30_counters", lambda s, d: T(s, d, "events").groupBy("event_type").agg(F.c
 add("a31_distinct_documents", lambda s, d: T(s, d, "documents").select("source").distinct(), "SELECT DISTINCT source FROM documents")
 add("w05_last_turns", lambda s, d: T(s, d, "conversations").withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text"))).filter("r <= 6").select("conv_id", "turn", "role"), "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS r FROM conversations) WHERE r <= 6")
 add("w07_ordered_dedup", lambda s, d: T(s, d, "documents").withColumn("r", F.row_number().over(W.partitionBy(F.sha2("text", 256)).orderBy("doc_id"))).filter("r = 1").select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)")
-add("w08_stride_sample", lambda s, d: T(s, d, "documents").withColumn("i", F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("source"))).filter("i < greatest(3, floor(n / 4)) OR i % 5 = 0").select("source", "doc_id"), "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE i < greatest(3, n // 4) OR i % 5 = 0")
-add("w10_rolling_mean", lambda s, d: T(s, d, "events").select("event_id", F.round(F.round(F.avg("value").over(W.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-199, 0)), 9), 6).alias("mean")), "SELECT event_id, round(round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 9), 6) AS mean FROM events")
+add("w08_stride_sample", lambda s, d: scans.numbered(T(s, d, "documents").select("source", "doc_id"), ["source"], [F.col("doc_id")], "i").join(T(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source").filter("i < greatest(3, floor(n / 4)) OR i % 5 = 0").select("source", "doc_id"), "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE i < greatest(3, n // 4) OR i % 5 = 0")
+add("w10_rolling_mean", lambda s, d: scans.rolling(T(s, d, "events").select("event_type", "ts", "event_id", "value"), ["event_type"], [F.col("ts"), F.col("event_id")], 200, {"mean": lambda w: F.round(F.round(F.avg("value").over(w), 9), 6)}).select("event_id", "mean"), "SELECT event_id, round(round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 9), 6) AS mean FROM events")
 add("w03_min_max", lambda s, d: T(s, d, "events").select("event_id", F.round((F.col("value") - F.min("value").over(W.partitionBy("user_id"))) / F.greatest(F.max("value").over(W.partitionBy("user_id")) - F.min("value").over(W.partitionBy("user_id")), F.lit(1e-9)), 6).alias("x")), "SELECT event_id, round((value - min(value) OVER w) / greatest(max(value) OVER w - min(value) OVER w, 1e-9), 6) AS x FROM events WINDOW w AS (PARTITION BY user_id)")
 add("t07_order_limit", lambda s, d: T(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 add("t09_worst_five", lambda s, d: mastery(s, d).orderBy("accuracy", "user_id", "event_type").limit(5).select("user_id", "event_type", "accuracy"), f"WITH {MASTERY} SELECT user_id, event_type, accuracy FROM m ORDER BY accuracy, user_id, event_type LIMIT 5")

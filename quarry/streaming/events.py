@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quarry.streaming import runs
+from quarry.streaming import runs, state
 
 
 def day_counts(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
@@ -19,73 +17,39 @@ def day_counts(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataF
     return spark.read.parquet(f"{at}/days")
 
 
-def keyed(spark: SparkSession, stream: DataFrame, keys: list[str], update, output: str, state: str, at: str, latest: str) -> DataFrame:
-    """The last row of ``output`` of each key, of a stream whose state of a key has a fixed size.
+def keyed(spark: SparkSession, stream: DataFrame, keys: list[str], processor, at: str, clock: str = "None") -> DataFrame:
+    """The last row that a processor gave for each key; a batch's rows go to a folder of its own."""
+    with runs.settings(spark, {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}):
+        rows = stream.groupBy(*keys).transformWithStateInPandas(processor, processor.OUTPUT, "Update", clock)
+        runs.drain(rows, "update", lambda df, n: df.write.mode("overwrite").parquet(f"{at}/rows/batch={n}"), at)
+    names = [c.strip().split()[0] for c in processor.OUTPUT.split(",")]
+    return spark.read.parquet(f"{at}/rows").groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("x")).select("x.*")
 
-    ``update(key, rows, state or None)`` gives (state, output row); rows come in batches, and a batch's output
-    goes to a folder of its own. ``latest`` is the column whose largest value is the last.
-    """
 
-    def step(key, parts, held):
-        rows = pd.concat(list(parts))
-        now, out = update(key, rows, held.get if held.exists else None)
-        held.update(now)
-        yield pd.DataFrame([out])
-
-    rows = stream.groupBy(*keys).applyInPandasWithState(step, output, state, "update", GroupStateTimeout.NoTimeout)
-    runs.drain(rows, "update", lambda df, n: df.write.mode("overwrite").parquet(f"{at}/rows/batch={n}"), at)
-    names = [c.strip().split()[0] for c in output.split(",")]
-    return spark.read.parquet(f"{at}/rows").groupBy(*keys).agg(F.max_by(F.struct(*names), latest).alias("x")).select("x.*")
-
-
-#: The weight of a new answer, while there are few and later.
-EARLY, LATER, FEW = 0.6, 0.4, 2
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with ``ms``, their time in milliseconds, whatever the session's time zone."""
+    rows = runs.source(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return rows.select("at", F.unix_millis("at").alias("ms"), "event_id", "user_id", "event_type", "value")
 
 
 def running_mastery(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
-    """(user_id, event_type, attempts, mastery): an exponential mean of right answers, one event at a time."""
-
-    def update(key, rows, held):
-        n, mastery = held or (0, 0.0)
-        for value in rows.sort_values(["ts", "event_id"])["value"]:
-            n += 1
-            weight = EARLY if n <= FEW else LATER
-            mastery = round((1 - weight) * mastery + weight * float(value > 10), 4)
-        return (n, mastery), {"user_id": key[0], "event_type": key[1], "attempts": n, "mastery": mastery}
-
-    at = at or runs.folder(spark, "mastery")
-    return keyed(spark, runs.source(spark, sf_dir, "events"), ["user_id", "event_type"], update, "user_id long, event_type string, attempts long, mastery double", "n long, mastery double", at, "attempts")
+    """(user_id, event_type, attempts, mastery)"""
+    return keyed(spark, log(spark, sf_dir).drop("at"), ["user_id", "event_type"], state.Mastery(), at or runs.folder(spark, "mastery"))
 
 
 def rolling_timings(spark: SparkSession, sf_dir: str, at: str | None = None, window: int = 200) -> DataFrame:
-    """(event_type, n, last, p95) over the last ``window`` values of each type, which are the state."""
+    """(event_type, n, last, p95) over the last values of each type."""
+    rows, processor = log(spark, sf_dir).select("ms", "event_id", "event_type", "value"), state.Timings(window)
+    return keyed(spark, rows.mapInPandas(processor.last, rows.schema), ["event_type"], processor, at or runs.folder(spark, "timings"))
 
-    def update(key, rows, held):
-        seen, values = (held[0], list(held[1])) if held else (0, [])
-        values = (values + rows.sort_values(["ts", "event_id"])["value"].tolist())[-window:]
-        seen += len(rows)
-        order = sorted(values)
-        return (seen, values), {"event_type": key[0], "seen": seen, "n": len(values), "last": values[-1], "p95": order[min(int(len(order) * 0.95), len(order) - 1)]}
 
-    at = at or runs.folder(spark, "timings")
-    return keyed(spark, runs.source(spark, sf_dir, "events"), ["event_type"], update, "event_type string, seen long, n long, last double, p95 double", "seen long, held array<double>", at, "seen")
+def rolling_memory(spark: SparkSession, sf_dir: str, at: str | None = None, window: int = 6, after: int = 12, chars: int = 1200) -> DataFrame:
+    """(conv_id, messages, recent, summary)"""
+    rows = runs.source(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return keyed(spark, rows, ["conv_id"], state.Memory(window, after, chars), at or runs.folder(spark, "memory"))
 
 
-def rolling_memory(spark: SparkSession, sf_dir: str, at: str | None = None, window: int = 6, after: int = 12, chars: int = 1200) -> DataFrame:
-    """(conv_id, messages, recent, summary): the last turns of a conversation, and a digest of those before once there are more than ``after``."""
-
-    def digest(text: str) -> str:
-        return text if len(text) <= chars else f"{text[: chars // 2]}\n...\n{text[-(chars // 2) :]}"
-
-    def update(key, rows, held):
-        seen, recent, summary = (held[0], list(held[1]), held[2]) if held else (0, [], "")
-        lines = [f"{'Learner' if r.role == 'user' else 'Tutor'}: {(r.text or '').strip()[:400]}" for r in rows.sort_values(["turn", "role", "text"]).itertuples()]
-        seen += len(lines)
-        every = recent + lines
-        older, recent = every[:-window], every[-window:]
-        if older:  # the digest takes in what leaves the window, and is shown once there are enough
-            summary = digest("\n".join(filter(None, [summary, *older])))
-        return (seen, recent, summary), {"conv_id": key[0], "messages": seen, "recent": "\n".join(recent), "summary": summary if summary and seen > after else None}
-
-    at = at or runs.folder(spark, "memory")
-    return keyed(spark, runs.source(spark, sf_dir, "conversations"), ["conv_id"], update, "conv_id long, messages long, recent string, summary string", "seen long, recent array<string>, summary string", at, "messages")
+def expiring_cache(spark: SparkSession, sf_dir: str, at: str | None = None, ttl: int = 86_400_000, late: str = "0 seconds") -> DataFrame:
+    """(user_id, event_type, value, expired): the last value of each key, and whether its time was over before the log ends."""
+    rows = log(spark, sf_dir).withWatermark("at", late)
+    return keyed(spark, rows, ["user_id", "event_type"], state.Cache(ttl), at or runs.folder(spark, "cache"), "EventTime")
