@@ -101,7 +101,7 @@ def summaries(spark: SparkSession, path: str, header: int = 0, block_bytes: int
     """
     if block_bytes % 2 or block_bytes < 2 * max(1, header):
         raise ValueError("a block is an even number of bytes and holds a header")
-    lines = spark.read.option("lineSep", LINE.decode()).option("pathGlobFilter", "part-*").schema("value string").text(path)
+    lines = spark.read.option("lineSep", LINE.decode()).schema("value string").text(path)
     lines = lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
     names = [c.split()[0] for c in SUMMARY.split(", ")]
     part = pa.struct([("ends", pa.list_(pa.int64())), ("heads", pa.list_(pa.binary()))])

@@ -549,7 +549,7 @@ def test_op9_files_from_elsewhere(spark, tmp_path):
     want, kinds = collections.Counter(), [[], [0], [5, 6], [0, 0, 7], [10, 2560, 0, 10, 0, 2570, 2570], rng.choice([0, 10, 2560, 256, 1, 50_000], 4000).tolist()]
     for n, tokens in enumerate(kinds):
         raw = np.array(tokens, "<u2").tobytes() + (b"\x07" if n % 2 else b"")
-        (tmp_path / f"part-{n}").write_bytes(raw)
+        (tmp_path / ("part-0", "tokens.bin", "no ending", "x.idx", "part-4.bin", "7")[n]).write_bytes(raw)
         start = 0
         for place, t in enumerate([*tokens, None]):
             if t == 0 or (t is None and start < len(tokens)):
