@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from quarry.functions import text as tx
 from quarry.plans import catalog
+from quarry.sources import postings
+from quarry.sources.postings import PostingsIndex
+from quarry.sources.snapshots import Catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +20,48 @@ def test_choice_is_worked_out_once(spark):
     """Steps that refer to one another are bound, not written out again in each place that names them."""
     plan = catalog.queries()["g04_resolve_choice"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") < 60
+
+
+def test_ascii_forms(spark):
+    raw = ["a", "A", "7", ".", "'", "dog", "DOGS", "ties", "Bodies", "glasses", "bus", "this", "grass", "sing", "Running", "rings", "it's", "re-use", "3.5", "42", "ss", "s-", "Is"]
+    rows = spark.createDataFrame([(x,) for x in raw], "raw string").select("raw", tx.forms(F.col("raw")).alias("forms")).collect()
+    assert [(r.raw, tx.ascii_forms(r.raw)) for r in rows] == [(r.raw, r.forms) for r in rows]
+
+
+def test_long_queries_put_no_postings_together(spark, monkeypatch):
+    """Many queries over common words: passages are scored where they are, with the results that the postings give."""
+    monkeypatch.setattr(postings, "SENT", 40)  # several passes
+    rng = np.random.default_rng(8)
+    words = ["oak", "ash", "elms", "Ñu", "ñ", ".", "firs", "pining", "yew's", "x-1"]
+    text = lambda n: " ".join(rng.choice(words, size=n, p=np.arange(10, 0, -1) / 55))
+    docs = [(i, text(int(rng.integers(0, 12))) if i % 5 else "oak ash", f"s{i % 3}") for i in range(300)] + [(300, None, "s0")]
+    index = PostingsIndex(Catalog.fresh(spark, "t"))
+    index.add(spark.createDataFrame(docs, "doc_id bigint, text string, source string"))
+    index.add(spark.createDataFrame([(7, "elms . ñ", "s1")], "doc_id bigint, text string, source string"))
+    queries = [(q, text(20)) for q in range(30)] + [(30, "unknown"), (31, None)]
+    asked = spark.createDataFrame(queries, "query_id bigint, text string")
+    now = {i: t for i, t, _ in docs} | {7: "elms . ñ"}
+    every = spark.createDataFrame([(t or "",) for t in {*now.values(), *dict(queries).values()}], "text string").select("text", tx.tokens(F.col("text")).alias("t")).collect()
+    cut = {r.text: r.t for r in every}
+    tokens = lambda t: cut[t or ""]
+    n, mean = index.statistics()
+    for allowed in (None, F.col("source") == "s1"):
+        found = index.search(asked, 4, allowed)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "explode(found" not in plan
+        got = sorted((r.query_id, r.doc_id, r.score, r.rank) for r in found.collect())
+        assert len(got) == 4 * 30
+        terms = {q: tokens(t) for q, t in queries}
+        have = {i: tokens(t) for i, t in now.items()}
+        df = {t: sum(t in d for d in have.values()) for d in have.values() for t in d}
+        for q in range(30):
+            score = {}
+            for i, d in have.items():
+                if allowed is not None and i % 3 != 1:
+                    continue
+                tf, dl = {t: d.count(t) for t in set(d)}, max(len(d), 1)
+                score[i] = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (1 + math.log(terms[q].count(t))) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * dl / mean)) for t in set(terms[q]) if t in tf)
+            want = sorted((-round(x, 6), i) for i, x in score.items() if x > 0)[:4]
+            mine = [(i, x) for k, i, x, _ in got if k == q]
+            assert sorted(mine) == sorted((i, x) for i, x in mine if abs(x - round(score[i], 6)) < 2e-6)
+            assert sorted(x for _, x in mine) == [pytest.approx(-w, abs=2e-6) for w, _ in want[::-1]]
