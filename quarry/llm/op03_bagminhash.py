@@ -19,9 +19,10 @@ are found in three turns, each followed by the components of the links so far:
 3. in buckets that still hold several components, documents of different components that share a shingle
    among their rarest: two multisets that reach the threshold must share one of the first
    n - ceil(threshold * n) + 1 shingles of each in any common order (prefix filter), and have enough left
-   from there on, so no link is missed, and frequent shingles and those of one component are not among them.
+   from there on, so no link is missed, and frequent shingles and those of one component are not among them;
+   of each document one pair with each other component is compared first, then those that are still apart.
 The first two turns make at most a number of pairs for each document; the third joins what is left by rare
-shingles only; members of one component are not paired again.
+shingles only; members of one component are not paired again, and of the links between two components one counts.
 
 Defined results: null texts equal empty texts; texts without words are a class by whole text; texts of
 one to four words are one shingle; a document is a doc_id with a text, so repeated rows are one document,
@@ -251,22 +252,36 @@ def _roots(rows: DataFrame, chosen: DataFrame, p: Params, stash: Stash) -> DataF
     links = stash.keep(_verified(pairs, items, p), "links-1")
     root = components(links, stash, "turn-1")
 
-    def of(name: str) -> DataFrame:
-        return root.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of different components, with these."""
+        of = lambda name: root.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+        rows = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        rows = rows.select("a", "b", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb"))
+        return rows.filter(F.col("ra") != F.col("rb"))
 
-    rest = asked.select("b", "c.a").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    def grown(found: DataFrame, turn: str) -> DataFrame:
+        """The components with the links ``found``: as many links as there are nodes and pairs of components, however many lead from one to another."""
+        between = apart(found).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        return components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(between), stash, turn)
+
+    rest = apart(asked.select("b", "c.a"))
     pairs = stash.keep(_ordered(rest.select("a", "b")).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     found = stash.keep(_verified(pairs, items, p), "links-2")
     if found.limit(1).count():
-        links = links.unionByName(found)
-        root = components(links, stash, "turn-2")
+        root = grown(found, "turn-2")
     tagged = bucket.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
     mixed = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
     open_ = stash.keep(tagged.join(mixed, "band").select("doc_id", "root", "n").distinct(), "open")
-    found = stash.keep(_verified(_rare_pairs(open_, each, p), items, p), "links-3")
+    # of each document one pair with each other component first: what these link is not compared again
+    rare = stash.keep(_rare_pairs(open_, each, p), "rare")
+    pairs = stash.keep(apart(rare).groupBy("a", "rb").agg(F.min("b").alias("b")).select("a", "b"), "pairs-3")
+    found = stash.keep(_verified(pairs, items, p), "links-3")
+    if found.limit(1).count():
+        root = grown(found, "turn-3")
+    pairs = stash.keep(apart(rare).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs-4")
+    found = stash.keep(_verified(pairs, items, p), "links-4")
     if found.limit(1).count():
-        root = components(links.unionByName(found), stash, "turn-3")
+        root = grown(found, "turn-4")
     return root
 
 

@@ -65,3 +65,33 @@ def test_long_queries_put_no_postings_together(spark, monkeypatch):
             mine = [(i, x) for k, i, x, _ in got if k == q]
             assert sorted(mine) == sorted((i, x) for i, x in mine if abs(x - round(score[i], 6)) < 2e-6)
             assert sorted(x for _, x in mine) == [pytest.approx(-w, abs=2e-6) for w, _ in want[::-1]]
+
+
+def test_one_link_counts_between_two_components(spark, monkeypatch):
+    """A large group of near copies, in which nearly every two texts are linked somehow: each turn takes few links to what is there."""
+    from quarry.llm import op03_bagminhash as op3
+
+    rng = np.random.default_rng(3)
+
+    def near(i):
+        """One word of sixty is another one: alike are those whose places are next to each other."""
+        words = [f"w{j}" for j in range(60)]
+        words[4 + i % 52] = f"v{i}"
+        return " ".join(words)
+
+    order = rng.permutation(312)
+    rows = spark.createDataFrame([(int(k), near(i)) for i, k in enumerate(order)], "doc_id bigint, text string")
+    taken, real = [], op3.components
+    monkeypatch.setattr(op3, "components", lambda links, *a: taken.append((links.count(), links.select("a").union(links.select("b")).distinct().count())) or real(links, *a))
+    classes = op3.near_duplicates(rows)
+    texts = {r.doc_id: r.text.split() for r in rows.collect()}
+    bags = {i: {tuple(t[j : j + 5]) for j in range(len(t) - 4)} for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in range(i):
+            same = len(bags[i] & bags[j])
+            if same >= 0.8 * (len(bags[i]) + len(bags[j]) - same) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert {r.doc_id: r.class_id for r in classes.collect()} == root
+    assert all(links <= 2 * nodes for links, nodes in taken), taken
