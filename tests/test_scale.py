@@ -67,6 +67,32 @@ def test_long_queries_put_no_postings_together(spark, monkeypatch):
             assert sorted(x for _, x in mine) == [pytest.approx(-w, abs=2e-6) for w, _ in want[::-1]]
 
 
+def test_the_index_of_a_batch_is_built_from_one_pass(spark, monkeypatch, tmp_path):
+    """Texts are cut into terms once, tables are written once, no text is dealt out, and postings wait until they are read."""
+    spark.createDataFrame([(i, f"Öl oak ties {i % 7}", "s0") for i in range(50)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    staged, real = [], Catalog._stage
+    monkeypatch.setattr(Catalog, "_stage", lambda self, table, rows, by: staged.append((table, rows._jdf.queryExecution().optimizedPlan().toString())) or real(self, table, rows, by))
+    index = postings.documents_index(spark, str(tmp_path))
+    assert sorted(t for t, _ in staged) == ["forward", "frequencies", "passages", "sizes"]
+    assert not any("Aggregate" in plan for t, plan in staged if t in ("passages", "forward"))
+    found = index.search(spark.createDataFrame([(1, "öl 3")], "query_id bigint, text string"), 9)  # few postings: they are folded first
+    assert [r.doc_id for r in found.orderBy("rank").collect()] == [3, 10, 17, 24, 31, 38, 45, 0, 1]
+    assert [t for t, _ in staged][4:] == ["postings"]
+    assert {r.term: (r.df, r.cf) for r in index.frequencies().collect()}["ö"] == (50, 50)
+
+
+@pytest.mark.parametrize("name", ["r07_local_rerank", "r13_build_context", "r14_build_citations", "r17_confidence", "r11_compress"])
+def test_found_rows_are_sent_to_the_documents(spark, name):
+    """Texts of what was found are joined where they are read: the documents are never shuffled, however large."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [doc_id" not in plan
+
+
 def test_one_link_counts_between_two_components(spark, monkeypatch):
     """A large group of near copies, in which nearly every two texts are linked somehow: each turn takes few links to what is there."""
     from quarry.llm import op03_bagminhash as op3
