@@ -93,6 +93,18 @@ def test_found_rows_are_sent_to_the_documents(spark, name):
     assert "SortMergeJoin [doc_id" not in plan
 
 
+def test_shared_terms_are_counted_where_texts_are_read(spark, monkeypatch):
+    """No posting is shuffled; repeated and missing ids are documents, and repeated ids of queries are queries, as groups have them."""
+    monkeypatch.setattr(postings, "SENT", 3)  # several passes
+    docs = spark.createDataFrame([(1, "Oak oaks ash"), (2, "elm"), (3, None), (3, "ash ash"), (None, "Oak"), (None, "ñ Ñ")], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(7, "oak Ñ"), (7, "ash oak"), (8, "elms"), (9, None)], "query_id bigint, text string")
+    want = {(7, 1): (2, 3), (7, 3): (1, 2), (7, None): (2, 3), (8, 2): (1, 1)}
+    assert {(r.query_id, r.doc_id): (r.terms, r.hits) for r in postings.shared_terms(docs, queries).collect()} == want
+    monkeypatch.undo()
+    plan = catalog.queries()["j04_terms_and_postings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
+
+
 def test_one_link_counts_between_two_components(spark, monkeypatch):
     """A large group of near copies, in which nearly every two texts are linked somehow: each turn takes few links to what is there."""
     from quarry.llm import op03_bagminhash as op3
