@@ -81,6 +81,22 @@ def test_the_index_of_a_batch_is_built_from_one_pass(spark, monkeypatch, tmp_pat
     assert {r.term: (r.df, r.cf) for r in index.frequencies().collect()}["ö"] == (50, 50)
 
 
+def test_passages_that_wait_are_folded_with_later_ones(spark):
+    index = PostingsIndex(Catalog.fresh(spark, "t"))
+    rows = lambda *ids: spark.createDataFrame([(i, f"oak n{i} " + "elm " * i) for i in ids], "doc_id bigint, text string")
+    index.add(rows(1, 2, 3), fold=False)
+    index.add(rows(3, 4))
+    found = index.search(spark.createDataFrame([(1, "oak")], "query_id bigint, text string"), 9)
+    assert [r.doc_id for r in found.orderBy("rank").collect()] == [1, 2, 3, 4]
+
+
+def test_a_rebuild_folds_the_postings_once(spark, monkeypatch):
+    staged, real = [], Catalog._stage
+    monkeypatch.setattr(Catalog, "_stage", lambda self, table, rows, by: staged.append(table) or real(self, table, rows, by))
+    catalog.queries()["k09_index_rebuild"](spark, SF)
+    assert staged.count("postings") == 1 and staged.count("forward") == 3
+
+
 @pytest.mark.parametrize("name", ["r07_local_rerank", "r13_build_context", "r14_build_citations", "r17_confidence", "r11_compress"])
 def test_found_rows_are_sent_to_the_documents(spark, name):
     """Texts of what was found are joined where they are read: the documents are never shuffled, however large."""
