@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -15,7 +16,7 @@ from quarry.llm import (
 )
 from quarry.llm import queries as llm
 from quarry.llm import textkit as tk
-from quarry.llm.shared import Stash
+from quarry.llm.shared import CLEANED, Stash
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -488,6 +489,20 @@ def test_op8_equals_brute_force(docs, texts):
     assert got == brute_removed(texts)
 
 
+def test_op8_steps_leave_no_shuffle_files(spark, docs):
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {f for f in found.split() if f.endswith(".data")}
+
+    before, session = files(), spark.conf.get(CLEANED, None)
+    again = op08_substring.earlier_windows(docs)
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # they are removed in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert again.count() and spark.conf.get(CLEANED, None) == session
+
+
 def test_op8_rows_that_share_a_doc_id(spark):
     other = " ".join(f"o{i}" for i in range(400))
     rows = [(1, PASSAGE), (5, "x " * 100 + PASSAGE), (5, "short text"), (9, other), (5, PASSAGE), (None, PASSAGE), (7, PASSAGE), (7, PASSAGE)]
