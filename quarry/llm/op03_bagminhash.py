@@ -203,21 +203,33 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rare_pairs(open_: DataFrame, each: DataFrame, p: Params) -> DataFrame:
-    """Pairs of ``open_`` (doc_id, root, n) in different components that could reach the threshold.
+def _prefixes(open_: DataFrame, each: DataFrame, p: Params) -> DataFrame:
+    """(item, doc_id, root, n, left): the first shingles of ``open_`` (doc_id, root, n), and how many are left from each on.
 
     ``each`` (doc_id, item) has the shingles. Those of one component only come first in a document's order,
-    then the others from the rarest on. A pair is met at the first shingle that both have; from there on
-    neither may have fewer left than the overlap that the threshold asks for (prefix and positional filter).
+    then the others from the rarest on.
+    Of shingles that the very same documents hold, the first stands for all, which is the same one in each of
+    them: near copies share long runs of such shingles, and would meet at every one.
     """
     held = each.join(open_, "doc_id")
-    split = held.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("item", "holders")
-    ranked = held.join(split, "item").groupBy("doc_id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "item"))).alias("items"))
+    who = F.struct(F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(p.seed))).alias("y"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    split = held.groupBy("item").agg(F.count(F.lit(1)).alias("holders"), F.min("root").alias("lo"), F.max("root").alias("hi"), who.alias("who")).filter("lo < hi").select("item", "holders", "who")
+    ranked = held.join(split, "item").groupBy("doc_id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "item", "who"))).alias("items"))
     length = F.col("n") - F.ceil(F.lit(p.threshold) * F.col("n") - 1e-9) + 1
     own = F.col("n") - F.size("items")
     prefix = F.slice("items", F.lit(1), F.greatest(length - own, F.lit(0)).cast("int"))
     first = ranked.select("doc_id", "root", "n", own.alias("own"), F.posexplode(prefix).alias("place", "x"))
-    first = first.select("doc_id", "root", "n", (F.col("n") - F.col("own") - F.col("place")).alias("left"), "x.item")
+    first = first.groupBy("doc_id", "root", "n", "own", "x.holders", "x.who").agg(F.min(F.struct("place", "x.item")).alias("x"))
+    return first.select("x.item", "doc_id", "root", "n", (F.col("n") - F.col("own") - F.col("x.place")).alias("left"))
+
+
+def _rare_pairs(open_: DataFrame, each: DataFrame, p: Params) -> DataFrame:
+    """Pairs of ``open_`` (doc_id, root, n) in different components that could reach the threshold.
+
+    A pair is met at the first shingle that both have; from there on neither may have fewer left than the
+    overlap that the threshold asks for (prefix and positional filter).
+    """
+    first = _prefixes(open_, each, p)
     one = first.select("item", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"))
     two = first.select("item", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
     enough = F.least("la", "lb") * (1 + p.threshold) >= F.lit(p.threshold) * (F.col("na") + F.col("nb")) - 1e-9

@@ -247,6 +247,19 @@ def test_op3_recall_on_planted_near_copies(spark):
     assert got == {i: find(i) for i, _ in rows}
 
 
+def test_op3_near_copies_meet_once_at_shingles_of_the_same_documents(spark):
+    """Twenty documents of 90 shingles in common, ten of each two neighbours and ten of their own."""
+    p, n = op03_bagminhash.Params(), 20
+    open_ = spark.range(n).selectExpr("id AS doc_id", "id AS root", "110L AS n")
+    held = [(d, i) for d in range(n) for i in [*range(90), *range(1000 + 10 * (d // 2), 1010 + 10 * (d // 2)), *range(5000 + 10 * d, 5010 + 10 * d)]]
+    each = spark.createDataFrame(held, "doc_id bigint, item bigint")
+    first = collections.defaultdict(set)
+    for r in op03_bagminhash._prefixes(open_, each, p).collect():
+        first[r.doc_id].add((r.item, r.left))
+    assert dict(first) == {d: {(1000 + 10 * (d // 2), 100), (0, 90)} for d in range(n)}
+    assert {(r.a, r.b) for r in op03_bagminhash._rare_pairs(open_, each, p).collect()} == {(d, d + 1) for d in range(0, n, 2)}
+
+
 def test_op3_stage_keeps_rows_without_id_and_one_of_repeated_rows(spark, texts):
     clean = [(None if i % 3 == 0 else i, texts[i]) for i in sorted(texts)[:60]]
     other = " ".join(f"z{i}" for i in range(70))
