@@ -1,17 +1,19 @@
 """Alignment of two tokenizers' tokens, as joins and windows of Spark.
 
-Tokens are exploded with their positions, and running sums of their byte lengths give their ends. An equi-join
-on text and end finds the ends that both tokenizers share; their running count numbers the groups. Links are the
-pairs of one group whose byte ranges overlap: a range join on text, group and bin of bytes, so that no group's
-tokens all meet each other.
+Tokens are exploded with their positions, and running sums of their byte lengths give their ends. Both tokenizers'
+tokens of a text are put in one order by their ends, where those that both share lie next to each other; their
+running count numbers the groups. Between two ends next to each other lies one token of each tokenizer, and any two
+tokens that overlap have one such place: the links are read off in the same order, so that no group's tokens all
+meet each other, and a text's tokens are sorted and passed through once.
 
 Neither tokenizer has a token over a place where a blank or a line break follows a character that is no white
 space: the first one's words take a blank at their start only, and no piece of the second holds a word mark or a
 line break after other characters (both are checked). Texts are cut there into stretches, and a stretch has the
 same tokens in every text. So a narrow first pass cuts each block of texts into its different stretches and every
 text into their numbers, and the joins and windows above run once for each different stretch of the corpus. Its
-result goes back to the blocks that hold it, and to their texts by an equi-join on block and number, which are
-dealt out by block, so that a frequent word is one row of each block and never one hot key.
+result takes along the places that hold it, a number in a block each, and goes back to their texts by an equi-join
+on block and number, which are dealt out by block, so that a frequent word is one row of each block and never one
+hot key.
 
 Documents that hold a linked pair are counted from the different stretches of each document.
 
@@ -31,18 +33,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm import textkit as tk
-from quarry.llm.shared import Stash, table
+from quarry.llm.shared import Stash, cleaned, table
 
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Bytes of text of a block; bits of its number within a task; bytes of a bin of the range join.
-BLOCK, CHUNKS, BIN = 8 << 20, 11, 16
+#: Bytes of text of a block; bits of its number within a task.
+BLOCK, CHUNKS = 8 << 20, 11
 #: Documents of a partition that are folded in memory, about those of a block; more are sorted.
 FOLDED = 5000
 #: Different pairs up to which their counts are sent to every task; beyond it they are shuffled.
@@ -109,8 +111,8 @@ class Tokenizers:
         """Ids of a text that begins with a blank, which the second tokenizer adds."""
         return self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.second.encode(text[1:], num_threads=1)
 
-    def encode(self, stretches: pa.Array) -> Iterator[tuple[pa.Array, list | None]]:
-        """Runs of stretches with (ids, where each begins) of both tokenizers, or None where bytes are lost.
+    def encode(self, stretches: pa.Array) -> Iterator[tuple[np.ndarray, list | None]]:
+        """Places of runs of stretches with (ids, where each begins) of both tokenizers, or None where bytes are lost.
 
         Stretches are encoded as one text as far as none ends in white space, behind a word of their own that
         keeps the added blank away; the others, and all if that text loses bytes, are encoded one by one.
@@ -123,10 +125,10 @@ class Tokenizers:
         if cuts is None:
             alone = np.arange(len(stretches))
         elif len(words):
-            yield words, cuts
+            yield plain, cuts
         for i in alone.tolist():
             text = " ." + stretches[i].as_py()
-            yield stretches.slice(i, 1), self._cuts(text, np.array([2, len(text.encode())]))
+            yield np.array([i]), self._cuts(text, np.array([2, len(text.encode())]))
 
     def _cuts(self, text: str, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]] | None:
         """(ids, places of ``ends`` among the tokens' ends) of both; None if bytes are lost or a token crosses an end."""
@@ -192,41 +194,21 @@ def cut_texts(docs: DataFrame) -> DataFrame:
 
 
 def tokenize(stretches: DataFrame, tokenizers: Tokenizers) -> DataFrame:
-    """(stretch, ok, a, an, b, bn): ids of both tokenizers and their byte lengths."""
+    """Of rows (stretch, places) (places, ok, a, an, b, bn): ids of both tokenizers and their byte lengths."""
     shipped = stretches.sparkSession.sparkContext.broadcast(tokenizers)  # of the size of the two files
 
     def run(batches):
         both = shipped.value
         for batch in batches:
             for lo, hi, _, _ in tk.blocks(batch.column(0)):
-                for words, found in both.encode(batch.column(0).slice(lo, hi - lo)):
+                for rows, found in both.encode(batch.column(0).slice(lo, hi - lo)):
                     columns = []
                     for side, sizes in enumerate(both.sizes):
                         ids, at = found[side] if found else (np.zeros(0, np.int32), np.zeros(2, np.int32))
                         columns += [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (ids, sizes[ids].astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), found is not None)), *columns], ["stretch", "ok", "a", "an", "b", "bn"])
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(lo + rows)), pa.array(np.full(len(rows), found is not None)), *columns], ["places", "ok", "a", "an", "b", "bn"])
 
-    return stretches.mapInArrow(run, "stretch string, ok boolean, a array<int>, an array<int>, b array<int>, bn array<int>")
-
-
-def _ends(tokens: DataFrame, ids: str, sizes: str) -> DataFrame:
-    """(uid, id, n, end): exploded tokens and the running sum of their lengths."""
-    rows = tokens.select("uid", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(sizes).alias("n"))).alias("pos", "x")).select("uid", "pos", "x.id", "x.n")
-    return rows.withColumn("end", F.sum("n").over(W.partitionBy("uid").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))).drop("pos")
-
-
-def _grouped(own: DataFrame, other: DataFrame) -> DataFrame:
-    """Tokens with ``shared``, whether the other side ends there too, and ``part``, the shared ends before."""
-    shared = other.select("uid", "end", F.lit(1).alias("shared")).hint("merge")
-    before = F.sum("shared").over(W.partitionBy("uid").orderBy("end").rowsBetween(W.unboundedPreceding, -1))
-    return own.join(shared, ["uid", "end"], "left").withColumn("part", F.coalesce(before, F.lit(0)))
-
-
-def _binned(tokens: DataFrame, name: str) -> DataFrame:
-    start = F.col("end") - F.col("n")
-    first = F.floor(start / BIN)
-    bins = F.explode(F.sequence(first, F.floor((F.col("end") - 1) / BIN)))
-    return tokens.select("uid", "part", F.col("id").cast("bigint").alias(name), start.alias(f"{name}_start"), F.col("end").alias(f"{name}_end"), first.alias(f"{name}_bin"), bins.alias("bin"))
+    return stretches.select("stretch", "places").mapInArrow(run, "places array<bigint>, ok boolean, a array<int>, an array<int>, b array<int>, bn array<int>")
 
 
 def dealt_once(spark: SparkSession, more: dict[str, str]) -> SparkSession:
@@ -243,29 +225,47 @@ def dealt_once(spark: SparkSession, more: dict[str, str]) -> SparkSession:
     return other
 
 
+def _dealt(df: DataFrame, stash: Stash, name: str, by: str, buckets: int) -> DataFrame:
+    """The rows, written in buckets of a column, so that no later step deals them out by it again."""
+    spark, made = df.sparkSession, f"alignment_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
+    spark.sql(f"CREATE TABLE {made} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{stash.path(name)}'")
+    with cleaned(spark):
+        df.write.insertInto(made)
+    out = stash.spark.table(made)
+    spark.sql(f"DROP TABLE {made}")  # its files stay, and the rows' reader knows how they are dealt
+    return out
+
+
 def align(tokens: DataFrame, stash: Stash, name: str) -> DataFrame:
-    """(uid, n_a, n_b, n_groups, groups, links) of each stretch; a link is the first id times 2**32 plus the second.
+    """(uid, n_a, n_b, n_groups, groups, links, other columns) of each stretch; a link is the first id times 2**32 plus the second.
 
-    Tokens of each side with their groups are kept while they are read twice, for the groups and for the links.
+    From the last end to the first: of tokens that end at one place the second follows the first, and the last token
+    seen of each side is the one that lies before the end.
     """
-    tokens = tokens.filter("ok").repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
-    a, b = _ends(tokens, "a", "an"), _ends(tokens, "b", "bn")
-    a, b = (x.persist(StorageLevel.DISK_ONLY) for x in (_grouped(a, b), _grouped(b, a)))
-    meet = (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("bin") == F.greatest("a_bin", "b_bin"))
-    links = _binned(a, "a").join(_binned(b, "b").hint("merge"), ["uid", "part", "bin"]).filter(meet)
-    links = links.groupBy("uid").agg(F.collect_list(F.shiftleft("a", 32) + F.col("b")).alias("links"))
-
-    def side(x: DataFrame, number: int, mark: str) -> DataFrame:
-        """Of each stretch its ids in order, each with the mark that follows it, and how many groups there are."""
-        order = (F.col("part") * 2 + number) * 2**32 + F.col("end")
-        piece = F.concat(F.col("id").cast("string"), F.when(F.col("shared") == 1, mark).otherwise(","))
-        return x.groupBy("uid").agg(F.collect_list(F.struct(order.alias("order"), piece.alias("piece"))).alias(f"side_{number}"), F.count("shared").alias(f"groups_{number}"))
-
-    both = side(a, 0, "|").join(side(b, 1, ";"), "uid").join(links, "uid")
-    text = F.array_join(F.transform(F.array_sort(F.concat("side_0", "side_1")), lambda x: x["piece"]), "")
-    out = stash.keep(both.select("uid", F.size("side_0").alias("n_a"), F.size("side_1").alias("n_b"), F.col("groups_0").alias("n_groups"), text.alias("groups"), "links"), name)
-    a.unpersist(), b.unpersist()
-    return out
+    parts = min(100_000, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    more = [c for c in tokens.columns if c not in ("uid", "ok", "a", "an", "b", "bn")]
+    first, second = (F.arrays_zip(F.col(ids).alias("id"), F.col(sizes).alias("n")) for ids, sizes in (("a", "an"), ("b", "bn")))
+    rows = tokens.filter("ok").repartition(parts, "uid").select("uid", *more, F.size("a").alias("n_a"), F.posexplode(F.concat(first, second)).alias("pos", "x"))
+    once = [F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in more]
+    rows = rows.select("uid", *once, (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", "x.id", "x.n")
+    rows = rows.withColumn("end", F.sum("n").over(W.partitionBy("uid", "side").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+
+    down = W.partitionBy("uid").orderBy(F.desc("end"), "side")
+    seen = down.rowsBetween(W.unboundedPreceding, 0)
+    last = lambda side: F.last(F.when(F.col("side") == side, F.col("id")), ignorenulls=True).over(seen).cast("bigint")
+    rows = rows.withColumns({"again": F.lead("end").over(down).eqNullSafe(F.col("end")), "shared": F.lag("end").over(down).eqNullSafe(F.col("end")), "first": last(0), "second": last(1)})
+    rows = rows.withColumn("shared", F.col("again") | F.col("shared")).withColumn("part", F.count(F.when(F.col("again"), 1)).over(seen))
+    link = F.when(~F.col("again"), F.shiftleft("first", 32) + F.col("second"))
+    order = (F.col("side") - 2 * F.col("part")) * 2**32 + F.col("end")
+    mark = F.when(~F.col("shared"), ",").when(F.col("side") == 0, "|").otherwise(";")
+    pieces = F.sort_array(F.collect_list(F.struct(order.alias("order"), F.concat(F.col("id").cast("string"), mark).alias("piece"))))
+    text = F.array_join(F.transform(pieces, lambda x: x["piece"]), "")
+    out = rows.groupBy("uid").agg(
+        F.count_if(F.col("side") == 0).cast("int").alias("n_a"), F.count_if(F.col("side") == 1).cast("int").alias("n_b"), F.count_if("again").alias("n_groups"), text.alias("groups"),
+        F.collect_list(link).alias("links"), *(F.first(c, ignorenulls=True).alias(c) for c in more),
+    )
+    return _dealt(out, stash, name, "uid", parts)
 
 
 def pair_counts(units: DataFrame, links: DataFrame, blocks: int) -> DataFrame:
@@ -273,7 +273,7 @@ def pair_counts(units: DataFrame, links: DataFrame, blocks: int) -> DataFrame:
     held = units.select("block", "row", F.explode("units").alias("unit"))
     held = held.join(links.repartition(blocks, "block").hint("shuffle_hash"), ["block", "unit"], "left")
     # a document is folded to its different pairs before any is shuffled
-    held = held.groupBy("block", "row").agg(F.bool_and("ok").alias("ok"), F.collect_list("links").alias("links")).filter("ok")
+    held = held.groupBy("block", "row").agg(F.bool_and(F.col("links").isNotNull()).alias("ok"), F.collect_list("links").alias("links")).filter("ok")
     pairs = held.select(F.explode(F.array_distinct(F.flatten("links"))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.withColumn("a", F.shiftright("pair", 32))
     most = pairs.groupBy(F.col("a").alias("first")).agg(F.max("n").alias("most"))
@@ -285,36 +285,35 @@ def align_documents(docs: DataFrame, byte_file: str = BYTE_BPE, piece_file: str
     session = dealt_once(docs.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(FOLDED)})
     stash = Stash(docs.sparkSession, "alignment").seen_by(session)
     # written in buckets of blocks, so that no step deals texts out again; more buckets than tasks, so that few blocks share one
-    blocks = min(100_000, 4 * int(session.conf.get("spark.sql.shuffle.partitions")))
-    name = f"alignment_{uuid.uuid4().hex}"
-    cut_texts(docs).write.bucketBy(blocks, "block").option("path", stash.path("cut")).option("compression", "zstd").saveAsTable(name)
-    cut = session.table(name)
-    session.sql(f"DROP TABLE {name}")  # its files stay, and ``cut`` knows how they are dealt
+    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
+    blocks = min(100_000, 4 * parts)
+    by_text = stash.seen_by(dealt_once(docs.sparkSession, {"spark.sql.execution.useObjectHashAggregateExec": "false"}))  # rows are in order already
+    cut = _dealt(cut_texts(docs), stash.seen_by(session), "cut", "block", blocks)
     texts = cut.filter("stretches IS NULL").select("block", "row", "doc_id", "units", "times", "codes")
-    dictionary = cut.filter("stretches IS NOT NULL").select("block", F.posexplode("stretches").alias("unit", "stretch"))
 
-    tokens = tokenize(dictionary.select("stretch").distinct(), Tokenizers(byte_file, piece_file))
-    tokens = stash.keep(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    places = stash.keep(dictionary.join(tokens.select("stretch", "uid", "ok"), "stretch").select("block", "unit", "uid", "ok"), "places")
-    by_text = stash.seen_by(dealt_once(docs.sparkSession, {"spark.sql.execution.useObjectHashAggregateExec": "false"}))  # rows are in order already
-    align(by_text.spark.read.parquet(stash.path("tokens")), by_text, "aligned")
-    aligned = stash.spark.read.parquet(stash.path("aligned"))
+    own = by_text.spark.read.schema(cut.schema).parquet(stash.path("cut")).filter("stretches IS NOT NULL")
+    places = own.select(F.shiftleft(F.col("block").cast("bigint"), 32).alias("block"), F.posexplode("stretches").alias("unit", "stretch"))
+    places = places.select("stretch", (F.col("block") + F.col("unit")).alias("place")).repartition(parts, "stretch")
+    tokens = tokenize(places.groupBy("stretch").agg(F.collect_list("place").alias("places")), Tokenizers(byte_file, piece_file))
+    tokens = by_text.keep(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
+    aligned = align(tokens, stash, "aligned")
     stash.drop("tokens")
 
-    links = places.join(aligned.select("uid", "links"), "uid", "left").select("block", "unit", "ok", "links")
+    at_block = (F.shiftright("place", 32).cast("int").alias("block"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("unit"))
+    links = aligned.select("links", F.explode("places").alias("place")).select(*at_block, "links")
     pairs = stash.keep(pair_counts(texts, links, blocks), "pairs")
     if pairs.limit(SENT_PAIRS + 1).count() <= SENT_PAIRS:
         pairs = F.broadcast(pairs)
     linked = aligned.select("uid", F.explode("links").alias("pair")).join(pairs, "pair")
     linked = linked.groupBy("uid").agg(F.sum("n").alias("count_sum"), F.count(F.when(F.col("top"), 1)).alias("n_best"))
-    known = aligned.select("uid", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups").join(linked, "uid")
-    known = places.join(known, "uid", "left").drop("uid")
+    known = aligned.select("uid", "places", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups").join(linked.hint("shuffle_hash"), "uid")
+    known = known.withColumn("place", F.explode("places")).select(*at_block, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
     numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     held = texts.select("block", "row", F.posexplode(F.arrays_zip("units", "times")).alias("pos", "x")).select("block", "row", "pos", F.col("x.units").alias("unit"), F.col("x.times").alias("times"))
     held = held.join(known.repartition(blocks, "block").hint("shuffle_hash"), ["block", "unit"], "left")
-    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"])
-    held = held.groupBy("block", "row").agg(F.bool_and("ok").alias("ok"), *(F.sum(F.col(c) * F.col("times")).alias(c) for c in numbers), own.alias("own"))
+    own = F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"])
+    held = held.groupBy("block", "row").agg(F.bool_and(F.col("n_a").isNotNull()).alias("ok"), *(F.sum(F.col(c) * F.col("times")).alias(c) for c in numbers), own.alias("own"))
     # a text's groups are those of its different stretches, put in its order
     held = texts.select("block", "row", "doc_id", "codes").join(held.filter("ok").hint("merge"), ["block", "row"], "left")
     whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)

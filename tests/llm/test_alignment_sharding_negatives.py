@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import zlib
+from pathlib import Path
 
 import numpy as np
 import oracle
@@ -128,6 +129,24 @@ def test_op11_links_stay_in_proportion_where_no_end_is_shared(spark):
         assert got.n_groups == len(ends_a & ends_b) and len(got.links) == len(ends_a | ends_b)
 
 
+def test_op11_leaves_little_on_disk(spark, tokenizers, monkeypatch):
+    """Between steps only what is written is there: no shuffle files, and no kept rows, of the steps before."""
+    texts = [" ".join(f"{(i * 7919 + j * 104_729) % 1_000_003:x}" for j in range(200)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    held = lambda: sum(f.stat().st_size for f in local.rglob("*") if f.is_file() and f.name.startswith(("shuffle_", "rdd_")))
+    before, left, drop = held(), [], Stash.drop
+
+    def dropped(stash, *names):
+        left.append(held() - before)
+        drop(stash, *names)
+
+    monkeypatch.setattr(Stash, "drop", dropped)
+    want = plain_alignment(texts, tokenizers)
+    assert sorted(aligned_rows(docs)) == [(i, *x) for i, x in enumerate(want)]
+    assert len(left) == 1 and left[0] <= 0
+
+
 def test_op11_empty(spark):
     assert al.align_documents(spark.createDataFrame([], DOCS)).count() == 0
 
