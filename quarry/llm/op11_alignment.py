@@ -45,6 +45,8 @@ BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piec
 MARK = "▁"
 #: Bytes of text of a block; bits of its number within a task.
 BLOCK, CHUNKS = 8 << 20, 11
+#: How tables in buckets are written; numbers that rise within a row are kept as differences.
+PACKED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", **{f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("units", "places")}}
 #: Documents of a partition that are folded in memory, about those of a block; more are sorted.
 FOLDED = 5000
 #: Different pairs up to which their counts are sent to every task; beyond it they are shuffled.
@@ -229,7 +231,8 @@ def _dealt(df: DataFrame, stash: Stash, name: str, by: str, buckets: int) -> Dat
     """The rows, written in buckets of a column, so that no later step deals them out by it again."""
     spark, made = df.sparkSession, f"alignment_{uuid.uuid4().hex}"
     columns = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
-    spark.sql(f"CREATE TABLE {made} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{stash.path(name)}'")
+    options = ", ".join(f"'{key}' '{value}'" for key, value in PACKED.items())
+    spark.sql(f"CREATE TABLE {made} ({columns}) USING parquet OPTIONS ({options}) CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{stash.path(name)}'")
     with cleaned(spark):
         df.write.insertInto(made)
     out = stash.spark.table(made)
@@ -245,10 +248,11 @@ def align(tokens: DataFrame, stash: Stash, name: str) -> DataFrame:
     """
     parts = min(100_000, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     more = [c for c in tokens.columns if c not in ("uid", "ok", "a", "an", "b", "bn")]
-    first, second = (F.arrays_zip(F.col(ids).alias("id"), F.col(sizes).alias("n")) for ids, sizes in (("a", "an"), ("b", "bn")))
-    rows = tokens.filter("ok").repartition(parts, "uid").select("uid", *more, F.size("a").alias("n_a"), F.posexplode(F.concat(first, second)).alias("pos", "x"))
+    rows = tokens.filter("ok").repartition(parts, "uid").select("uid", *more, "an", "bn", F.size("a").alias("n_a"), F.posexplode(F.concat("a", "b")).alias("pos", "id"))
     once = [F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in more]
-    rows = rows.select("uid", *once, (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", "x.id", "x.n")
+    behind = F.col("pos") >= F.col("n_a")
+    size = F.when(behind, F.get("bn", F.col("pos") - F.col("n_a"))).otherwise(F.get("an", F.col("pos")))
+    rows = rows.select("uid", *once, behind.cast("int").alias("side"), "pos", "id", size.alias("n"))
     rows = rows.withColumn("end", F.sum("n").over(W.partitionBy("uid", "side").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
 
     down = W.partitionBy("uid").orderBy(F.desc("end"), "side")
@@ -306,19 +310,23 @@ def align_documents(docs: DataFrame, byte_file: str = BYTE_BPE, piece_file: str
         pairs = F.broadcast(pairs)
     linked = aligned.select("uid", F.explode("links").alias("pair")).join(pairs, "pair")
     linked = linked.groupBy("uid").agg(F.sum("n").alias("count_sum"), F.count(F.when(F.col("top"), 1)).alias("n_best"))
-    known = aligned.select("uid", "places", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups").join(linked.hint("shuffle_hash"), "uid")
-    known = known.withColumn("place", F.explode("places")).select(*at_block, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    known = aligned.select("uid", "places", "n_a", "n_b", "groups").join(linked.hint("shuffle_hash"), "uid")
+    known = known.withColumn("place", F.explode("places")).select(*at_block, "n_a", "n_b", "n_best", "count_sum", "groups")
 
-    numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    held = texts.select("block", "row", F.posexplode(F.arrays_zip("units", "times")).alias("pos", "x")).select("block", "row", "pos", F.col("x.units").alias("unit"), F.col("x.times").alias("times"))
+    held = texts.select("block", "row", "times", F.posexplode("units").alias("pos", "unit")).select("block", "row", "pos", "unit", F.get("times", F.col("pos")).alias("times"))
     held = held.join(known.repartition(blocks, "block").hint("shuffle_hash"), ["block", "unit"], "left")
-    own = F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"])
-    held = held.groupBy("block", "row").agg(F.bool_and(F.col("n_a").isNotNull()).alias("ok"), *(F.sum(F.col(c) * F.col("times")).alias(c) for c in numbers), own.alias("own"))
+    sums = (F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n_a", "n_b", "n_best", "count_sum"))
+    held = held.groupBy("block", "row").agg(F.bool_and(F.col("n_a").isNotNull()).alias("ok"), *sums, F.collect_list("pos").alias("order"), F.collect_list(F.coalesce("groups", F.lit(""))).alias("own"))
+    # mostly they come in order
+    sorted_own = F.transform(F.sort_array(F.arrays_zip("order", "own")), lambda x: x["own"])
+    held = held.withColumn("own", F.when(F.col("order") == F.sequence(F.lit(0), F.size("order") - 1), F.col("own")).otherwise(sorted_own)).drop("order")
     # a text's groups are those of its different stretches, put in its order
     held = texts.select("block", "row", "doc_id", "codes").join(held.filter("ok").hint("merge"), ["block", "row"], "left")
-    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    text = F.array_join(F.transform("codes", lambda i: F.get("own", i)), "")
-    return held.withColumn("text", text).select("doc_id", *map(whole, numbers), F.coalesce(F.when(F.col("ok"), F.expr("left(text, length(text) - 1)")), F.lit("")).alias("groups"))
+    held = held.withColumn("text", F.array_join(F.transform("codes", lambda i: F.get("own", i)), ""))
+    # a group has one mark of its end; each end, of one side or of both, ends one link
+    held = held.withColumn("n_groups", F.length("text") - F.length(F.replace("text", F.lit(";")))).withColumn("n_links", F.col("n_a") + F.col("n_b") - F.col("n_groups"))
+    whole = (F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))
+    return held.select("doc_id", *whole, F.coalesce(F.when(F.col("ok"), F.expr("left(text, length(text) - 1)")), F.lit("")).alias("groups"))
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
