@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quarry.functions import text as tx
+from quarry.operators import hashing
 from quarry.plans import catalog
 from quarry.sources import postings
 from quarry.sources.postings import PostingsIndex
@@ -149,3 +151,19 @@ def test_one_link_counts_between_two_components(spark, monkeypatch):
                 root = {k: new if v == old else v for k, v in root.items()}
     assert {r.doc_id: r.class_id for r in classes.collect()} == root
     assert all(links <= 2 * nodes for links, nodes in taken), taken
+
+
+def test_words_that_texts_share_are_hashed_once(spark, monkeypatch):
+    """More words than are remembered: those of texts that are read together are hashed together all the same."""
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    counts = [Counter(words[i:] + words[:i] + words[i : i + 40]) for i in range(120)]
+    alone = np.array([hashing._vectors([c], hashing.Places())[0] for c in counts])
+    hashed, real = [], hashing.Places.place
+    monkeypatch.setattr(hashing, "REMEMBERED", 50)
+    monkeypatch.setattr(hashing, "WORDS", 70)  # several runs
+    monkeypatch.setattr(hashing.Places, "place", lambda self, feature: hashed.append(feature) or real(self, feature))
+    places = hashing.Places()
+    together = np.concatenate([hashing._vectors(counts[at : at + 60], places) for at in (0, 60)])
+    assert np.array_equal(alone, together)
+    assert len(hashed) < 2 * 300 * 12 and sum(w in words for w in hashed) <= 2 * 300
+    assert hashing._vectors([], places).shape == (0, hashing.WIDTH) and not hashing.vector("").any()
