@@ -167,3 +167,11 @@ def test_words_that_texts_share_are_hashed_once(spark, monkeypatch):
     assert np.array_equal(alone, together)
     assert len(hashed) < 2 * 300 * 12 and sum(w in words for w in hashed) <= 2 * 300
     assert hashing._vectors([], places).shape == (0, hashing.WIDTH) and not hashing.vector("").any()
+
+
+def test_the_cache_of_vectors_is_worked_out_once(spark, monkeypatch):
+    """Vectors of the cache are written; what reads it, twice, works none of them out again."""
+    made, real = [], hashing.embed
+    monkeypatch.setattr(hashing, "embed", lambda *a, **k: made.append(1) or real(*a, **k))
+    plan = catalog.queries()["r03_embed_missing"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 2 and plan.count("MapInArrow") == 1
