@@ -169,9 +169,32 @@ def test_words_that_texts_share_are_hashed_once(spark, monkeypatch):
     assert hashing._vectors([], places).shape == (0, hashing.WIDTH) and not hashing.vector("").any()
 
 
+def test_many_short_queries_put_no_postings_together(spark, monkeypatch):
+    """Some words of many queries come to many postings of a passage, fewer than it has tokens; the results are those that the postings give."""
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}ul" for a in "bcdfgklmnprt" for b in "aeio"]
+    text = lambda n: " ".join(rng.choice(words, size=n))
+    index = PostingsIndex(Catalog.fresh(spark, "t"))
+    index.add(spark.createDataFrame([(i, text(int(rng.integers(60, 120))), [text(1)]) for i in range(80)], "doc_id bigint, text string, boost_terms array<string>"), fold=False)
+    asked = spark.createDataFrame([(q, text(2)) for q in range(36)], "query_id bigint, text string")
+    found = index.search(asked, 5)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString() and index.catalog.load("postings") is None
+    monkeypatch.setattr(postings, "MANY", 1 << 30)
+    same = index.search(asked, 5)
+    assert index.catalog.load("postings") is not None
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, same.collect()))
+
+
 def test_the_cache_of_vectors_is_worked_out_once(spark, monkeypatch):
     """Vectors of the cache are written; what reads it, twice, works none of them out again."""
     made, real = [], hashing.embed
     monkeypatch.setattr(hashing, "embed", lambda *a, **k: made.append(1) or real(*a, **k))
     plan = catalog.queries()["r03_embed_missing"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(made) == 2 and plan.count("MapInArrow") == 1
+
+
+def test_boosted_search_folds_no_postings(spark, monkeypatch):
+    staged, real = [], Catalog._stage
+    monkeypatch.setattr(Catalog, "_stage", lambda self, table, rows, by: staged.append(table) or real(self, table, rows, by))
+    assert catalog.queries()["r05_boosted_search"](spark, SF).count() > 0
+    assert sorted(staged) == ["forward", "frequencies", "passages", "sizes"]
